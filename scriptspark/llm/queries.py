@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import gif, harmonic, mixing, quality, simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (quality.op8_host_rules, simhash.op9_simhash)}
+    return {f.__name__: f for f in (gif.op1_gif_media, mixing.op2_mixing, quality.op8_host_rules, simhash.op9_simhash, harmonic.op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
