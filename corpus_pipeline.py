@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptspark.llm import quality, simhash
+from scriptspark.llm import harmonic, mixing, passages, quality, simhash
+from scriptspark.llm.common import release, shared_folder
+
+
+
+def _after_release(stage: Callable) -> Callable:
+    """A stage that first removes what the stages before it stored on the way: their results are written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 STAGES = [
     ("quality_rules", quality.stage),
-    ("simhash_near_dedup", simhash.stage),
+    ("simhash_near_dedup", _after_release(simhash.stage)),
+    ("substring_dedup", _after_release(passages.stage)),
+    ("source_mixing", _after_release(mixing.stage)),
+    ("harmonic_packing", _after_release(harmonic.stage)),
 ]
 
 #: Fingerprints, links and packing have no SQL form; the tests hold run() against a brute-force version.
@@ -16,12 +35,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scriptspark.llm.common import new_path
-
+    """Applies STAGES to documents; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs.sparkSession  # noqa: B018
-        path = new_path(spark, f"pipeline-{name}")
+        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
