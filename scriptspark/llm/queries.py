@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import gif, harmonic, mixing, passages, quality, sharding, simhash, warc
+from . import bestfit, gif, harmonic, labeller, mixing, passages, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (gif.op1_gif_media, mixing.op2_mixing, sharding.op4_label_propagation, passages.op5_paragraph_minhash, warc.op7_warc_index, quality.op8_host_rules, simhash.op9_simhash, harmonic.op10_harmonic_packing)}
+    return {f.__name__: f for f in (gif.op1_gif_media, mixing.op2_mixing, labeller.op3_block_labeller, sharding.op4_label_propagation, passages.op5_paragraph_minhash, bestfit.op6_best_fit_decreasing, warc.op7_warc_index, quality.op8_host_rules, simhash.op9_simhash, harmonic.op10_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
