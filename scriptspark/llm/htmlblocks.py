@@ -6,7 +6,7 @@ import re
 import zlib
 from html import unescape
 
-PATH_BINS, WORD_BINS = 1024, 512
+PATH_BINS, WORD_BINS = 8192, 512
 
 # Element names of the HTML standard by their role.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -21,36 +21,41 @@ _attribute = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^'
 _part = re.compile(r"[a-z0-9]+")
 
 
-def _bin(token: str, bins: int = PATH_BINS) -> int:
-    return zlib.crc32(token.encode()) % bins
+def _bin(token: str) -> int:
+    return zlib.crc32(token.encode()) % PATH_BINS
 
 
-def element_bins(tag: str, attributes: str) -> tuple[int, ...]:
-    """The hashed names of an element: its tag and the parts of its class, id and role."""
-    out = [_bin(tag)]
+def element_names(tag: str, attributes: str) -> tuple[str, ...]:
+    """The names of an element: its tag, the words of its class, id and role, and their parts."""
+    out = [tag]
     for m in _attribute.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").lower().split():
-            out.append(_bin(f"{m[1][0].lower()}:{name}"))
-            out += [_bin(f"part:{p}") for p in _part.findall(name)]
+            out.append(f"{m[1][0].lower()}:{name}")
+            out += [f"part:{p}" for p in _part.findall(name)]
     return tuple(dict.fromkeys(out))
 
 
 class Blocks:
-    """Splits pages into blocks (text, path bins, characters inside links); keeps bins of elements it has met."""
+    """Splits pages into blocks (text, path, characters inside links).
 
-    def __init__(self):
-        self.met: dict[tuple[str, str], tuple[int, ...]] = {}
+    The path holds the hashed names of the elements around a block, or the names themselves. What has
+    been met is kept.
+    """
 
-    def _element(self, tag: str, attributes: str) -> tuple[int, ...]:
+    def __init__(self, hashed: bool = True):
+        self.code = _bin if hashed else str
+        self.met: dict[tuple[str, str], tuple] = {}
+
+    def _element(self, tag: str, attributes: str) -> tuple:
         key = (tag, attributes)
         if key not in self.met:
             if len(self.met) > 1 << 16:
                 self.met.clear()
-            self.met[key] = element_bins(tag, attributes if "=" in attributes else "")
+            self.met[key] = tuple(map(self.code, element_names(tag, attributes if "=" in attributes else "")))
         return self.met[key]
 
-    def split(self, html: str) -> list[tuple[str, tuple[int, ...], int]]:
-        stack: list[tuple[str, tuple[int, ...]]] = []
+    def split(self, html: str) -> list[tuple[str, tuple, int]]:
+        stack: list[tuple[str, tuple]] = []
         out, parts, linked, path, links = [], [], 0, (), 0
 
         def close() -> None:
@@ -72,7 +77,7 @@ class Blocks:
                     return
                 bins = [b for _, e in stack for b in e]
                 blocks = [t for t, _ in stack if t not in INLINE]
-                bins += [_bin(f"{a}>{b}") for a, b in zip(blocks, blocks[1:])] + [_bin(f"leaf:{stack[-1][0] if stack else ''}")]
+                bins += [self.code(f"{a}>{b}") for a, b in zip(blocks, blocks[1:])] + [self.code(f"leaf:{stack[-1][0] if stack else ''}")]
                 path = tuple(dict.fromkeys(bins))
             parts.append(raw)
             if links:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .htmlblocks import PATH_BINS, WORD_BINS, Blocks, element_bins
+from .htmlblocks import PATH_BINS, WORD_BINS, Blocks
 
 PATH_DIMS, WORD_DIMS, NUMBERS, HIDDEN = 24, 8, 3, 16
 #: Bound of the labelled sample, composed pages, passes over both, and blocks of a page in training.
@@ -200,13 +200,13 @@ def train(examples: list[tuple[Page, np.ndarray]], epochs: int = EPOCHS, seed: i
 
 # Labelled pages ------------------------------------------------------------
 
-_MAIN_BINS = {element_bins(t, "")[0] for t in MAIN_TAGS} | {element_bins("div", f' class="{n}"')[1] for n in MAIN_NAMES} | {element_bins("div", f' id="{n}"')[1] for n in MAIN_NAMES}
-_OTHER_BINS = {element_bins(t, "")[0] for t in OTHER_TAGS} | {element_bins("div", f' {a}="{n}"')[1] for names in OTHER_NAMES.values() for n in names for a in ("class", "id")}
+_MAIN = {*MAIN_TAGS, *(f"{a}:{n}" for n in MAIN_NAMES for a in "ci")}
+_OTHER = {*OTHER_TAGS, *(f"{a}:{n}" for names in OTHER_NAMES.values() for n in names for a in "ci")}
 
 
-def label(blocks: list[tuple[str, tuple[int, ...], int]]) -> np.ndarray | None:
+def label(html: str) -> np.ndarray | None:
     """Labels of a table's page by its containers; None if it has none for main text."""
-    y = np.array([bool(_MAIN_BINS & set(b)) and not _OTHER_BINS & set(b) for _, b, _ in blocks], np.float32)
+    y = np.array([bool(_MAIN & set(names)) and not _OTHER & set(names) for _, names, _ in Blocks(hashed=False).split(html)], np.float32)
     return y if y.any() else None
 
 
@@ -285,7 +285,7 @@ def fit(htmls: list[str | None]) -> Weights:
     for html in htmls[:TRAIN_PAGES]:
         blocks = split.split(html or "")
         vocabulary.update(w for text, _, _ in blocks[:40] for w in text.split(" ")[:40])
-        if 0 < len(blocks) <= TRAIN_BLOCKS and (y := label(blocks)) is not None:
+        if 0 < len(blocks) <= TRAIN_BLOCKS and (y := label(html)) is not None:
             examples.append((features.page(blocks), y))
     return train(examples + composed(COMPOSED_PAGES, SEED, sorted(vocabulary) or ["word"]))
 
