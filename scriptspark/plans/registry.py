@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptspark.plans import dialogue_queries, signal_queries, text_queries, timeline_queries, voice_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_MODULES = (text_queries, dialogue_queries, voice_queries, timeline_queries, signal_queries)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
