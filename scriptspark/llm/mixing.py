@@ -154,7 +154,8 @@ def draws(placed: DataFrame, goals: DataFrame) -> DataFrame:
     words = F.lit(BLOCK_WORDS)
     blocks = F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}"))
     spread = placed.where("size > 0").select("key", "rank", "start", "size", F.explode(blocks).alias("block"))
-    met = spread.join(drawn, ["rank", "block"])
+    # slots grow with the words, and Spark can't tell the size of what a Python function returns: never broadcast them
+    met = spread.join(drawn.hint("merge"), ["rank", "block"])
     begin = F.col("block") * words
     first = F.greatest(F.col("start"), begin) - F.col("start")
     last = F.least(F.col("start") + F.col("size"), begin + F.col("words")) - F.col("start")
