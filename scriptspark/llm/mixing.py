@@ -187,7 +187,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     piece = F.struct("first", "last")
     took = draws(placed, goals).groupBy("key", "rank", "start", "size", "pass").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(F.col("last") - F.col("first")).alias("taken"))
     once = keyed.dropDuplicates(["__row"])  # rows alike in all columns share a key: the text is the same
-    return _cut(once.join(took.withColumnRenamed("key", "__row"), "__row"), docs)
+    own = took.select(F.col("key").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("pieces").alias("__pieces"))
+    return _cut(once.join(own, "__row"), docs)
 
 
 def _cut(taken: DataFrame, docs: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def _cut(taken: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, size, n, pieces in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "taken", "pieces")), strict=True):
+            for text, size, n, pieces in zip(*(batch.column(c).to_pylist() for c in ("text", "__size", "__taken", "__pieces")), strict=True):
                 if n < size:
                     words = _WORD_AND_SPACE.findall(text)
                     runs: list[list[int]] = []
@@ -211,4 +212,4 @@ def _cut(taken: DataFrame, docs: DataFrame) -> DataFrame:
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
-    return taken.select(*names, "size", "taken", "pieces").mapInArrow(run, docs.schema)
+    return taken.select(*names, "__size", "__taken", "__pieces").mapInArrow(run, docs.schema)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import chunk_of, running_total, store
 
 SHARDS, ROUNDS, SLACK = 16, 8, 0.2
+#: The last moves go on, this often at most, until shards differ by this share of their mean.
+EVEN_ROUNDS, EVEN_SHARE = 4, 0.002
 #: Size classes (powers of two) by which the last moves are ordered.
 CLASSES = 40
 
@@ -121,8 +123,12 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     alone = first.where("not linked")
     together = propagate(store(first.where("linked").select("id", "size", "shard"), "labels"), links, _sums(alone, shards), shards)
     labels = store(alone.unionByName(together.withColumn("linked", F.lit(True))), "propagated")
-    labels = store(even_out(labels, shards, chunks).select("id", "shard"), "even")
-    placed = store(nodes.drop("digest").join(labels, "id").withColumn("one", F.lit(1).cast("long")), "placed")
+    for _ in range(EVEN_ROUNDS):
+        sums = _sums(labels, shards)
+        if max(sums) - min(sums) <= EVEN_SHARE * sum(sums) / shards:
+            break
+        labels = store(even_out(labels, shards, chunks), "even")
+    placed = store(nodes.drop("digest").join(labels.select("id", "shard"), "id").withColumn("one", F.lit(1).cast("long")), "placed")
     return running_total(placed, ["shard"], "one", ["id"], chunks, "slot").select(F.col("key").alias(key), "size", "text_crc32", "shard", "slot")
 
 
