@@ -9,5 +9,26 @@ def queries() -> dict:
     return {f.__name__: f for f in (gif.op1_gif_media, mixing.op2_mixing, labeller.op3_block_labeller, sharding.op4_label_propagation, passages.op5_paragraph_minhash, bestfit.op6_best_fit_decreasing, warc.op7_warc_index, quality.op8_host_rules, simhash.op9_simhash, harmonic.op10_harmonic_packing)}
 
 
+OP7 = """with p as (select page_id, coalesce(html, '') as h from pages), g as (select h, max(page_id) as k from p where strlen(h) >= 1000 group by h)
+select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest, case when page_id < k then 'revisit' else 'response' end as record_type, case when page_id < k then k end as refers_to from p left join g using (h)"""
+
+_SPACE = r"[\x20\x09-\x0D]"
+OP8 = rf"""with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+v as (select r, i, array_to_string(ws[i:i + {quality.WINDOW - 1}], ' ') as g from (select r, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) as i from w)),
+f as (select r, unnest(range(i, i + {quality.WINDOW})) as j from (select *, count(*) over (partition by r, g) as n from v) where n > 1),
+h as (select r, count(distinct j) as n_repeat_words from f group by r),
+c as (select w.r, doc_id, source, len(ws) as n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) as n_lines,
+  len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join h using (r)),
+j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols > {quality.MAX_SYMBOLS}::double * n_words or n_dup_lines > {quality.MAX_DUP_LINES}::double * n_lines
+  or word_chars < {quality.WORD_LENGTH[0]}::double * n_words or word_chars > {quality.WORD_LENGTH[1]}::double * n_words as soft_failed from c),
+o as (select source, count(*)::double as n, count(*) filter (where base_failed or soft_failed)::double as x from j group by source),
+m as (select sum(n) as n, sum(x) / sum(n) as mean, sum(x * x / n) as m2, count(*)::double as k from o),
+s as (select mean, (m2 / n - mean * mean) - k / n * mean * (1 - mean) as spread from m),
+a as (select mean, case when spread > 0 then least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) else 1e6 end as strength from s),
+b as (select source, (x + mean * strength) / (n + strength) >= {quality.STRICT_RATE}::double as strict from o, a)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and strict) as kept from j join b on j.source is not distinct from b.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc_index": OP7, "op8_host_rules": OP8}
