@@ -24,7 +24,7 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: A host is strict if its shrunk rate of soft failures is at least this.
 STRICT_RATE = 0.05
-#: Soft rules: symbols per word, share of repeated lines, characters per word.
+#: Soft rules: symbols per word, share of repeated lines (of two and more), characters per word.
 MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTH = 0.1, 0.3, (2.0, 15.0)
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
@@ -87,7 +87,7 @@ def rule_columns(counts: DataFrame) -> DataFrame:
     n = F.col("n_words")
     return counts.withColumns({
         "base_failed": (n < 20) | (100 * F.col("n_repeat_words") > 30 * n),
-        "soft_failed": (F.col("n_symbols") > MAX_SYMBOLS * n) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines")) | (F.col("word_chars") < WORD_LENGTH[0] * n) | (F.col("word_chars") > WORD_LENGTH[1] * n),
+        "soft_failed": (F.col("n_symbols") > MAX_SYMBOLS * n) | ((F.col("n_dup_lines") > 1) & (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))) | (F.col("word_chars") < WORD_LENGTH[0] * n) | (F.col("word_chars") > WORD_LENGTH[1] * n),
     })
 
 

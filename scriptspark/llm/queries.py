@@ -20,7 +20,7 @@ f as (select r, unnest(range(i, i + {quality.WINDOW})) as j from (select *, coun
 h as (select r, count(distinct j) as n_repeat_words from f group by r),
 c as (select w.r, doc_id, source, len(ws) as n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) as n_lines,
   len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join h using (r)),
-j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols > {quality.MAX_SYMBOLS}::double * n_words or n_dup_lines > {quality.MAX_DUP_LINES}::double * n_lines
+j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, n_symbols > {quality.MAX_SYMBOLS}::double * n_words or (n_dup_lines > 1 and n_dup_lines > {quality.MAX_DUP_LINES}::double * n_lines)
   or word_chars < {quality.WORD_LENGTH[0]}::double * n_words or word_chars > {quality.WORD_LENGTH[1]}::double * n_words as soft_failed from c),
 o as (select source, count(*)::double as n, count(*) filter (where base_failed or soft_failed)::double as x from j group by source),
 m as (select sum(n) as n, sum(x) / sum(n) as mean, sum(x * x / n) as m2, count(*)::double as k from o),
