@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, store
+from .passages import near_copies, whole_texts
 
 SHINGLE, SEED, BITS, MAX_BITS = 3, 42, 64, 2
 _BLOCK = 1 << 15
@@ -87,8 +88,15 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id (of repeated ids, one row)."""
+    """One document of each group stays: that with the smallest doc_id (of repeated ids, one row).
+
+    Fingerprints at two bits link texts that differ in a word or so; copies with similarity 0.8 over
+    five-word shingles differ in six and more, beyond what an index of one-bit variants reaches. So the
+    documents that stay are held against each other once more by banded MinHash and exact Jaccard.
+    """
     keyed = docs.withColumn("__key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64(*docs.columns).alias("h")))
-    firsts = near_duplicates(keyed, "__key").where("__key = component").select("__key").distinct()
-    kept = keyed.join(firsts, "__key", "left_semi")
+    firsts = store(near_duplicates(keyed, "__key").where("__key = component").select("__key").distinct(), "firsts")
+    units = store(whole_texts(keyed, "__key", "text"), "whole-texts").join(firsts.withColumnRenamed("__key", "key"), "key", "left_semi")
+    again = near_copies(store(units, "first-texts"), keyed, "__key", "text").withColumnRenamed("key", "__key")
+    kept = keyed.join(store(firsts.join(again, "__key", "left_anti"), "kept"), "__key", "left_semi")
     return kept.dropDuplicates(["__key"]).select(*docs.columns)
