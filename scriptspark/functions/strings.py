@@ -11,16 +11,24 @@ SAID_OR_CALLED = SAID + "|called|cried|laughed"
 FORWARD_VERBS = SAID_OR_CALLED + "|nodded|smiled|sighed"
 ACTION_VERBS = "leaned|turned|looked|pulled|dropped|reached|stood|sat|crossed|folded|put|set|held|stepped|walked|moved|nodded|smiled|frowned|paused|hesitated|glanced|watched|studied|opened|closed"
 
-#: Forward (`Name said`) and inverted (`said Name`) attribution; both without regard to case.
+# Forward (`Name said`) and inverted (`said Name`) attribution, both without regard to case.
 FORWARD = rf"(?i)\b([A-Za-z][a-z]{{1,19}}|he|she|they|it)\s+(?:{SAID_OR_CALLED})"
 INVERTED = rf"(?i)\b(?:{SAID_OR_CALLED})\s+([A-Za-z][a-z]{{1,19}})\b"
 
 # Names taken as female.
 FEMALE_NAMES = "elena sarah mary anne anna emma lucy kate clara alice julia lydia grace ruth helen rose jane sophie lily eva nina nora vera iris ada".split()
 
+# Voices known by name.
 NAMED_SPEAKERS = "serena vivian uncle_fu ryan aiden ono_anna sohee eric dylan".split()
 
 
+# What is taken off in front of a direction, and its first sentence.
+DIRECTION_LABEL = r"(?i)^(?:\[[^\]]*\]|[A-Z][A-Za-z ]{0,20}):\s*"
+DIRECTION_MARKS = r"""^[\[\]()"'`\s]+(\S)"""
+DIRECTION_OPENERS = r"""^[\[("'`]+"""
+FIRST_SENTENCE = r"^[^.!?]*[.!?]?"
+
+
 def preview(text: Column, n: int = 80) -> Column:
     """The first n characters and an ellipsis, if the text is over n bytes."""
     return F.when(F.octet_length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
@@ -89,10 +97,10 @@ def direction_prompt(speaker: Column, text: Column) -> Column:
 def clean_direction(raw: Column, text: Column) -> Column:
     """A model's direction made usable, or null: echoes and leftovers under 4 bytes are refused."""
     r = F.trim(raw)
-    bare = F.trim(F.regexp_replace(r, r"(?i)^(?:\[[^\]]*\]|[A-Z][A-Za-z ]{0,20}):\s*", ""))
-    bare = F.regexp_replace(bare, r"""^[\[\]()"'`\s]+(\S)""", "$1")
-    bare = F.regexp_replace(bare, r"""^[\[("'`]+""", "")
-    first = F.trim(F.substring(F.regexp_extract(bare, r"^[^.!?]*[.!?]?", 0), 1, 80))
+    bare = F.trim(F.regexp_replace(r, DIRECTION_LABEL, ""))
+    bare = F.regexp_replace(bare, DIRECTION_MARKS, "$1")
+    bare = F.regexp_replace(bare, DIRECTION_OPENERS, "")
+    first = F.trim(F.substring(F.regexp_extract(bare, FIRST_SENTENCE, 0), 1, 80))
     return F.when(~F.contains(r, F.substring(text, 1, 30)) & (F.octet_length(first) >= 4), first)
 
 

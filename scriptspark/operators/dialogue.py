@@ -17,6 +17,7 @@ from scriptspark.operators.packing import heading_instruct
 STOP_WORDS = "HE SHE THEY IT WE YOU SAID ASKED NARRATOR TITLE CHAPTER SECTION".split()
 NEUTRAL = "Neutral, even narration."
 
+# Patterns that name a speaker, and pronouns beside them.
 _FORWARD_NAME = rf'(?:"[^"]*,"\s+)?([A-Z][a-z]{{1,19}})\s+(?:{S.FORWARD_VERBS})'
 _INVERTED_NAME = rf"(?i)\b(?:{S.SAID})\s+([A-Za-z][a-z]{{1,19}})\b"
 _ACTION_NAME = rf"\b([A-Z][a-z]{{1,19}})\s+(?:{S.ACTION_VERBS})"

@@ -81,7 +81,7 @@ def chapter_marks(spark, sf_dir):
 _ESC = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '=', '\='), ';', '\;'), '#', '\#'), chr(10), ' ')"
 
 
-@query(with_duck(MARKS + f""" select book_id, concat(';FFMETADATA1', chr(10), 'title=', {_ESC.format("concat('Book #', book_id)")}, chr(10), 'artist=A\;B', chr(10), 'genre=Audiobook', chr(10), chr(10),
+@query(with_duck(MARKS + rf""" select book_id, concat(';FFMETADATA1', chr(10), 'title=', {_ESC.format("concat('Book #', book_id)")}, chr(10), 'artist=A\;B', chr(10), 'genre=Audiobook', chr(10), chr(10),
  string_agg(concat('[CHAPTER]', chr(10), 'TIMEBASE=1/1000', chr(10), 'START=', start_ms, chr(10), 'END=', end_ms, chr(10), 'title=', {_ESC.format('title')}, chr(10), chr(10)), '' order by chapter_no)) as metadata from mk group by book_id""", "fx_segments", "fx_outputs"))
 def chapter_ffmeta(spark, sf_dir):
     m = marks(spark, sf_dir)
