@@ -70,8 +70,9 @@ def pack_ids(units: Column, most: int) -> Column:
 def with_pack(units: DataFrame, keys: list[str], order: list[str], most: int, long_keys: bool = False) -> DataFrame:
     """units (keys, order, len, slack, glue, force) with column pack.
 
-    The fold sees lengths, never text. long_keys: fold in a grouped Python function, which doesn't copy
-    its state at each step; for keys of more than some ten thousand units.
+    The fold sees lengths, never text, and a key's rows are gathered once. long_keys: fold in a grouped
+    Python function over lengths alone, which doesn't copy its state at each step, and join the packs
+    back; for keys of more than some ten thousand units.
     """
     if long_keys:
         names = [*keys, *order]
@@ -90,12 +91,12 @@ def with_pack(units: DataFrame, keys: list[str], order: list[str], most: int, lo
 
         packed = units.select(*names, "len", "slack", "glue", "force").groupBy(*keys).applyInPandas(fold, ", ".join(f"{n} {kinds[n]}" for n in names) + ", pack int")
         return units.join(packed, names)
-    row = F.struct(*order, F.struct("len", "slack", "glue", "force").cast(_UNIT).alias("u"))
+    rest = [c for c in units.columns if c not in (*keys, *order)]
+    row = F.struct(*order, F.struct("len", "slack", "glue", "force").cast(_UNIT).alias("u"), *(F.col(c) for c in rest))
     rows = units.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     ids = rows.withColumn("ids", pack_ids(F.transform("rows", lambda r: r["u"]), most))
-    flat = ids.select(*keys, F.posexplode("ids").alias("at", "pack"), "rows")
-    flat = flat.select(*keys, *(F.col("rows")[F.col("at")][o].alias(o) for o in order), "pack")
-    return units.join(flat, [*keys, *order])
+    flat = ids.select(*keys, F.explode(F.arrays_zip("rows", "ids")).alias("x"))
+    return flat.select(*keys, *(F.col(f"x.rows.{c}").alias(c) for c in (*order, *rest)), F.col("x.ids").alias("pack"))
 
 
 def _paragraph_units(paragraphs: DataFrame, keys: list[str], most: int, sentences, para_slack: int, para_glue: int) -> DataFrame:
