@@ -165,8 +165,9 @@ def draws(placed: DataFrame, goals: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per document: key, size, source_size, target, taken."""
     placed, goals = place(docs, key, source, text)
-    took = draws(placed, goals).groupBy("key", "rank", "start", "size").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    on = ["key", "rank", "start", "size"]
+    # the place where a document starts tells it apart, even where keys are null or repeated
+    on = ["rank", "start"]
+    took = draws(placed, goals).groupBy(*on).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     # a wordless document has no place of its own in the row of words, so it takes no part in the join
     full = placed.where("size > 0").join(took, on, "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return full.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

@@ -189,7 +189,10 @@ def test_op2(spark, documents, texts, odd, empty):
     assert len(rows) == len(texts)
     held_mix(rows, texts)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.mix(documents.repartition(7)).collect()))
-    assert len(mixing.mix(odd).collect()) == 8 and mixing.mix(empty).count() == 0
+    more = mixing.mix(odd).collect()
+    assert len(more) == 8 and mixing.mix(empty).count() == 0
+    assert abs(sum(r["taken"] for r in more) - 1.5 * sum(r["size"] for r in more)) <= 3
+    assert all(r["taken"] == 2 * r["size"] for r in more if r["doc_id"] is None)
     pieces = mixing.stage(spark, documents, "")
     assert pieces.columns == documents.columns
     count = lambda t: len(t.encode().split())
