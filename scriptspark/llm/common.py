@@ -72,12 +72,12 @@ def chunk_of(n_rows: int, rows_per_chunk: int = 1500, most: int = 65_536) -> int
 def running_total(df: DataFrame, keys: list[str], value: str, order: list[str], chunks: int, out: str, chunk: Column | None = None) -> DataFrame:
     """Column `out`: the sum of `value` over the rows before this one with the same keys.
 
-    Rows go by a chunk number first (a hash of the order columns, unless `chunk` is given), then by
-    `order`. Sums inside a chunk and sums of chunks are taken apart, so a hot key is spread over
+    Rows go by a chunk number first (a hash of the order columns and of `out`, so that totals taken one
+    after the other are cut in different ways, unless `chunk` is given), then by `order`. Sums inside a chunk and sums of chunks are taken apart, so a hot key is spread over
     `chunks` tasks. `df` should be a stored table: it is read twice. No key may be null.
     """
     part = f"__{out}_chunk"
-    df = df.withColumn(part, (F.pmod(F.xxhash64(*order), F.lit(chunks)) if chunk is None else chunk).cast("int"))
+    df = df.withColumn(part, (F.pmod(F.xxhash64(*order, F.lit(out)), F.lit(chunks)) if chunk is None else chunk).cast("int"))
     sums = df.groupBy(*keys, part).agg(F.sum(value).alias("__sum"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(part)
     before = sums.select(*keys, part, (F.sum("__sum").over(w) - F.col("__sum")).alias("__before"))

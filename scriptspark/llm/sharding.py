@@ -87,7 +87,7 @@ def even_out(labels: DataFrame, shards: int, chunks: int) -> DataFrame:
     surplus = [(i, max(0.0, s - mean)) for i, s in enumerate(sums)]
     per_class = max(1, chunks // 4)
     size_class = F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.col("size").cast("double")))).cast("int")
-    spread = F.pmod(F.xxhash64("id"), F.lit(per_class))
+    spread = F.pmod(F.xxhash64("id", F.lit("spread")), F.lit(per_class))
     order = (F.col("linked").cast("int") * CLASSES + size_class) * per_class + spread
     above = labels.join(F.broadcast(spark.createDataFrame(surplus, "shard int, surplus double")), "shard").where("surplus > 0")
     queued = running_total(above, ["shard"], "size", ["id"], chunks, "before", order)
