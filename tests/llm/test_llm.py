@@ -341,7 +341,9 @@ def shingle_set(words):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def test_similar_paragraphs_match_brute_force(spark):
+@pytest.mark.parametrize("small", [24, 2])
+def test_similar_paragraphs_match_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(passages, "SMALL_BUCKET", small)  # 2: leaders stand for nearly all pairs
     rng = random.Random(10)
     base = [[rng.choice(WORDS) for _ in range(80)] for _ in range(25)]
     lines = []
