@@ -7,9 +7,9 @@ a run of sentences that other documents have first, of PASSAGE_WORDS or more, is
 
 Equal paragraphs are one node, so copies cost nothing. In a bucket, every paragraph is first held
 against a few leaders; when the components of these links are known, only pairs that stand in
-different components are left. Buckets of up to SMALL_BUCKET verify all of these; in larger ones every
-paragraph is held against leaders of other components, so work grows with the rows of a bucket and
-not with their pairs.
+different components are left, and all of these are verified. Buckets of up to SMALL_BUCKET take them
+directly. Paragraphs of larger ones meet again by their rarest shingles: at similarity 0.8 two sets share
+one of the first fifth of each (prefix filter), so no pair is lost.
 
 The first occurrence (by key, then place) stays. Null text is empty. Rows alike in key and text count
 as one document. Short paragraphs, and passages that repeat only within one document, are left alone.
@@ -214,7 +214,7 @@ def similar_paragraphs(paragraphs: DataFrame, docs: DataFrame, key: str, text: s
     low = F.min("component").alias("low")
     split = placed.groupBy("band").agg(low, F.max("component").alias("high")).where("low < high").select("band", "low")
     open_ = store(placed.join(split, "band"), "open-buckets")
-    rest = _small_buckets(open_).unionByName(_large_buckets(open_)).distinct()
+    rest = _small_buckets(open_).unionByName(_large_buckets(open_, sets)).distinct()
     rest = store(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
     return components(links.unionByName(store(_verified(rest, sets), "rest-links")), "a", "b")
 
@@ -228,16 +228,26 @@ def _small_buckets(open_: DataFrame) -> DataFrame:
     return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _large_buckets(open_: DataFrame) -> DataFrame:
-    """Each paragraph with leaders of other components, from the lowest component and from the rest."""
-    large = open_.where(F.col("n") > SMALL_BUCKET)
-    one = F.struct("h", "component")
-    inside = F.col("component") == F.col("low")
-    leaders = [F.min_by(one, F.when(side, F.xxhash64("h", F.lit(LEADERS + i)))) for side in (inside, ~inside) for i in range(LEADERS)]
-    known = large.groupBy("band").agg(F.array(*leaders).alias("leaders"))
-    apart = F.filter("leaders", lambda x: x["component"] != F.col("component"))
-    met = large.join(known, "band").select("h", F.explode(apart).alias("leader"))
-    return met.select(F.least("h", "leader.h").alias("a"), F.greatest("h", "leader.h").alias("b"))
+def _large_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs across components, among the paragraphs of larger buckets, that a prefix filter leaves.
+
+    Shingles are ordered by rarity, those of a single component first: they can't link two. Of n shingles, two
+    sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of each.
+    """
+    large = open_.where(F.col("n") > SMALL_BUCKET).select("h", "component").distinct()
+    tokens = store(large.join(sets, "h").select("h", "component", F.size("set").alias("size"), F.explode("set").alias("token")), "large-tokens")
+    spread = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    met = tokens.join(spread.where("low < high").select("token", "n"), "token")
+    ranked = met.groupBy("h", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
+    ranked = ranked.withColumn("alone", F.col("size") - F.size("ranked"))
+    taken = F.greatest(F.lit(0), F.expr("size - (4 * size + 4) div 5 + 1 - alone").cast("int"))
+    prefix = store(ranked.select("h", "component", "size", "alone", F.posexplode(F.slice("ranked", F.lit(1), taken)).alias("pos", "at")).select("h", "component", "size", F.col("at.token").alias("token"), (F.col("size") - F.col("alone") - F.col("pos") - 1).alias("after")), "prefixes")
+    other = prefix.select("token", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("after").alias("after_b"))
+    fits = "component < component_b and 5 * size >= 4 * size_b and 5 * size_b >= 4 * size"
+    apart = prefix.withColumnRenamed("h", "a").join(other, "token").where(fits)
+    # Shared shingles: those met so far, and at most what comes after the last of them.
+    counted = apart.groupBy("a", "b", "size", "size_b").agg((F.count("*") + F.least(F.min("after"), F.min("after_b"))).alias("most"))
+    return counted.where("9 * most >= 4 * (size + size_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -364,6 +364,33 @@ def test_similar_paragraphs_match_brute_force(spark, monkeypatch, small):
     assert same({n: got.get(n, n) for n in want}) == same(want)
 
 
+def linked_like_brute_force(spark, lines):
+    df = docs_of(spark, [(i, " ".join(w), "s") for i, w in enumerate(lines)])
+    _, paragraphs = passages.units(df, "doc_id", "text")
+    got = {r["node"]: r["component"] for r in passages.similar_paragraphs(paragraphs, df, "doc_id", "text").collect()}
+    hashes = {r["key"]: r["h"] for r in paragraphs.collect()}
+    sets = [shingle_set(w) for w in lines]
+    links = [(hashes[a], hashes[b]) for a, b in combinations(range(len(lines)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = components_of(set(hashes.values()), links)
+    same = lambda c: {frozenset(n for n in c if c[n] == k) for k in set(c.values())}
+    assert same({n: got.get(n, n) for n in want}) == same(want)
+    return same(want)
+
+
+def test_a_large_bucket_of_many_families(spark):
+    """One template in families that are under 0.8 to one another; each has two members that are over."""
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(220)]
+    families = [c for c in combinations(range(37), 3) if sum(c) % 37 == 0]  # two share one changed place at most
+    lines = []
+    for f, places in enumerate(families):
+        w = list(base)
+        for at in places:
+            w[5 + 5 * at] = f"x{f}"
+        lines += [w, [*w[:-22], *(f"last{f}" + x for x in w[-22:])]]
+    assert len(linked_like_brute_force(spark, lines)) == len(families) > 200
+
+
 def test_op5_odd_tables(spark, odd, empty):
     got = passages.removals(odd).collect()
     assert {r["doc_id"] for r in got} == {5}
