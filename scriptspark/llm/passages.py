@@ -1,6 +1,7 @@
 """Substring dedup by paragraphs.
 
-Paragraphs (lines of PARAGRAPH_WORDS or more) are banded by MinHash over five-word shingles; colliding
+Paragraphs (lines of PARAGRAPH_WORDS or more, and blocks of lines under PASSAGE_WORDS without a blank
+line between them that reach PASSAGE_WORDS together: wrapped text) are banded by MinHash over five-word shingles; colliding
 paragraphs are joined, verified by exact Jaccard and clustered by components, and all but the first
 of a cluster are removed. Passages that stand inside longer paragraphs are found by their sentences:
 a run of sentences that other documents have first, of PASSAGE_WORDS or more, is removed as well.
@@ -31,8 +32,8 @@ from .common import components, new_path, store
 SHINGLE, SIMILAR = 5, 0.8
 #: 16 bands of 4: at similarity 0.8 a pair is missed with probability 0.0002, at 0.9 never in practice.
 BANDS, ROWS = 16, 4
-#: A changed word takes 5 of n-4 shingles away on both sides: under 49 words similarity 0.8 allows no change.
-PARAGRAPH_WORDS = 49
+#: A changed last word takes one of n-4 shingles away on both sides: from 13 words on similarity 0.8 allows it.
+PARAGRAPH_WORDS = 13
 PASSAGE_WORDS = 50
 LEADERS = 3
 SMALL_BUCKET = 24
@@ -101,6 +102,14 @@ def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
                     whole = x.as_py() or ""
                     seq = start = line_at = 0
                     line: list[bytes] = []
+                    block: list[bytes] = []
+                    block_at = block_stop = lines = 0
+
+                    def paragraph(words: list[bytes], start: int, stop: int, i: int = i) -> None:
+                        row.append(i)
+                        rows.append((1, digest(b" ".join(words)), 0, start, stop, len(words)))
+                        sets.append(bands(words))
+
                     for stop, closes in _ends(whole):
                         words = _norm(whole[start:stop])
                         if words:
@@ -111,9 +120,16 @@ def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
                             line += words
                         if closes:
                             if len(line) >= PARAGRAPH_WORDS:
-                                row.append(i)
-                                rows.append((1, digest(b" ".join(line)), 0, line_at, stop, len(line)))
-                                sets.append(bands(line))
+                                paragraph(line, line_at, stop)
+                            short = 0 < len(line) < PASSAGE_WORDS
+                            if short:
+                                block_at = block_at if lines else line_at
+                                block += line
+                                block_stop, lines = stop, lines + 1
+                            if not short or stop == len(whole) or whole[stop - 2 : stop] == "\n\n":
+                                if lines > 1 and len(block) >= PASSAGE_WORDS:
+                                    paragraph(block, block_at, block_stop)
+                                block, lines = [], 0
                             line, line_at = [], stop
                         start = stop
                 kinds, h, *numbers = zip(*rows, strict=True) if rows else [[]] * 6
@@ -255,8 +271,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     sentences, paragraphs = units(docs, key, text)
     runs = repeated_runs(sentences).withColumn("kind", F.lit("passage"))
     classes = store(similar_paragraphs(paragraphs, docs, key, text), "classes").withColumnRenamed("node", "h")
-    members = store(paragraphs.drop("bands").join(classes, "h"), "members")
-    keepers = members.groupBy("component").agg(F.min("key").alias("keeper"))
+    members = paragraphs.drop("bands").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    members = store(members, "members")
+    keepers = members.groupBy("component").agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper <> last").drop("last")
     near = members.join(keepers, "component").where("key <> keeper").select("key", "start", "stop", F.col("words").cast("long").alias("words"), "keeper", F.lit("paragraph").alias("kind")).distinct()
     return runs.unionByName(near).select(F.col("key").alias(key), "start", "stop", "words", F.col("keeper").alias("keeper"), "kind")
 

@@ -391,6 +391,24 @@ def test_a_large_bucket_of_many_families(spark):
     assert len(linked_like_brute_force(spark, lines)) == len(families) > 200
 
 
+def test_short_lines_and_wrapped_text(spark):
+    rng = random.Random(13)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    line, wrapped = words(30), words(88)
+    lines_of = lambda w: "\n".join(" ".join(w[i : i + 11]) for i in range(0, len(w), 11))
+    changed = list(wrapped)
+    changed[30] = "xone"
+    texts = [
+        "\n".join([" ".join(words(60)), " ".join(line), " ".join(words(60))]),
+        "\n".join([" ".join(words(60)), " ".join([*line[:-1], "xlast"]), " ".join(words(60))]),
+        f"{lines_of(words(77))}\n\n{lines_of(wrapped)}\n\n{lines_of(words(99))}",
+        f"{lines_of(words(66))}\n\n{lines_of(changed)}\n\n{lines_of(words(77))}",
+        "\n".join([" ".join(words(70)), " ".join(line)]),
+    ]
+    got = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["stop"]].strip(), r["keeper"]) for r in passages.removals(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).where("kind = 'paragraph'").collect()}
+    assert got == {(1, " ".join([*line[:-1], "xlast"]), 0), (3, lines_of(changed), 2), (4, " ".join(line), 0)}
+
+
 def test_op5_odd_tables(spark, odd, empty):
     got = passages.removals(odd).collect()
     assert {r["doc_id"] for r in got} == {5}
