@@ -4,7 +4,10 @@ Paragraphs (lines of PARAGRAPH_WORDS or more, and blocks of lines under PASSAGE_
 line between them that reach PASSAGE_WORDS together: wrapped text) are banded by MinHash over five-word shingles; colliding
 paragraphs are joined, verified by exact Jaccard and clustered by components, and all but the first
 of a cluster are removed. Passages that stand inside longer paragraphs are found by their sentences:
-a run of sentences that other documents have first, of PASSAGE_WORDS or more, is removed as well.
+a run of sentences that other documents have first, of PASSAGE_WORDS or more, is removed as well. So is
+every stretch of PASSAGE_WORDS or more that stands word for word in an earlier document, wherever it starts.
+Such a stretch holds an anchor, a window of ANCHOR_WORDS whose hash is the least of its neighbours; around
+shared anchors, all windows of PASSAGE_WORDS are compared by hash.
 
 Equal paragraphs are one node, so copies cost nothing. In a bucket, every paragraph is first held
 against a few leaders; when the components of these links are known, only pairs that stand in
@@ -35,6 +38,7 @@ BANDS, ROWS = 16, 4
 #: A changed last word takes one of n-4 shingles away on both sides: from 13 words on similarity 0.8 allows it.
 PARAGRAPH_WORDS = 13
 PASSAGE_WORDS = 50
+ANCHOR_WORDS = 25
 LEADERS = 3
 SMALL_BUCKET = 24
 
@@ -44,6 +48,8 @@ _SHIFT = _rng.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64)
 _FOLD = _rng.integers(0, 2**63, (ROWS,), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+_BASE = 0x5851F42D4C957F2D
+_word = re.compile(r"[^ \t\n\r\x0b\x0c]+").finditer
 _sentence_end = re.compile(r"[.!?]+[ \t\r\x0b\x0c]+|\n+").finditer
 
 
@@ -70,6 +76,30 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return (acc ^ acc >> np.uint64(29)) * _MIX
 
 
+def windows(words: list[bytes], size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` words."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n - size, pow(_BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    total = np.r_[np.uint64(0), np.cumsum(h * power[:n], dtype=np.uint64)]
+    x = (total[size:] - total[:-size]) * back
+    x = (x ^ x >> np.uint64(31)) * _MIX
+    return x ^ x >> np.uint64(29)
+
+
+def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of windows of ANCHOR_WORDS such that PASSAGE_WORDS words in a row always hold one."""
+    x = windows(words, ANCHOR_WORDS)
+    near = PASSAGE_WORDS - ANCHOR_WORDS + 1
+    if len(x) < near:
+        return np.zeros(0, np.int64), x[:0]
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(x, near).argmin(axis=1) + np.arange(len(x) - near + 1))
+    return at, x[at]
+
+
 def bands(words: list[bytes]) -> np.ndarray:
     """The 16 band keys of a paragraph."""
     x = shingles(words)
@@ -86,9 +116,15 @@ def _norm(text: str) -> list[bytes]:
 
 
 def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(sentences, paragraphs), both stored by one reading of the texts.
+    """(sentences, paragraphs) of all_units."""
+    return all_units(docs, key, text)[:2]
+
+
+def all_units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sentences, paragraphs, anchors, wholes), stored by one reading of the texts.
 
     sentences: key, h, seq, start, stop, words. paragraphs: the same and bands. Places count characters.
+    anchors: key, h, seq, the place of its first word. wholes: key, h, start, stop, words of each whole text.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = ["key", "kind", "h", "seq", "start", "stop", "words", "bands"]
@@ -102,6 +138,7 @@ def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
                     whole = x.as_py() or ""
                     seq = start = line_at = 0
                     line: list[bytes] = []
+                    every: list[bytes] = []
                     block: list[bytes] = []
                     block_at = block_stop = lines = 0
 
@@ -118,6 +155,7 @@ def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
                             sets.append(None)
                             seq += 1
                             line += words
+                            every += words
                         if closes:
                             if len(line) >= PARAGRAPH_WORDS:
                                 paragraph(line, line_at, stop)
@@ -132,6 +170,13 @@ def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
                                 block, lines = [], 0
                             line, line_at = [], stop
                         start = stop
+                    if len(every) >= PASSAGE_WORDS:
+                        places, marks = anchors(every)
+                        found = [(2, h, at, 0, 0, 0) for at, h in zip(places.tolist(), marks.tolist(), strict=True)]
+                        found.append((3, digest(b" ".join(every)), 0, 0, len(whole), len(every)))
+                        rows += found
+                        row += [i] * len(found)
+                        sets += [None] * len(found)
                 kinds, h, *numbers = zip(*rows, strict=True) if rows else [[]] * 6
                 columns = [pa.array(np.array(kinds, np.int32)), pa.array(np.array(h, np.uint64).view(np.int64)), *(pa.array(np.array(c, np.int32)) for c in numbers)]
                 yield pa.RecordBatch.from_arrays([small.column(0).take(pa.array(row, pa.int64())), *columns, pa.array(sets, pa.list_(pa.int64()))], names)
@@ -141,7 +186,8 @@ def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     made = docs.select(F.col(key), F.col(text)).mapInArrow(run, ddl)
     made.write.partitionBy("kind").parquet(path)
     found = spark.read.schema(made.schema).parquet(path)
-    return found.where("kind = 0").drop("kind", "bands"), found.where("kind = 1").drop("kind", "seq")
+    of = lambda n, *names: found.where(F.col("kind") == n).drop("kind", *names)
+    return of(0, "bands"), of(1, "seq"), of(2, "start", "stop", "words", "bands"), of(3, "seq", "bands")
 
 
 def _ends(text: str) -> Iterator[tuple[int, bool]]:
@@ -189,6 +235,37 @@ def repeated_runs(sentences: DataFrame) -> DataFrame:
     return runs.where(F.col("words") >= PASSAGE_WORDS).drop("island")
 
 
+def repeated_stretches(marks: DataFrame, wholes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, stop, words, keeper): the longest runs of PASSAGE_WORDS and more that a smaller key's text has."""
+    kind = docs.schema[key].dataType.simpleString()
+    by_hash = lambda df: df.groupBy("h").agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper <> last").select("h", "keeper")
+    # A whole copy needs no windows: the first of its kind has them all.
+    copies = store(wholes.join(by_hash(wholes), "h").where("key <> keeper").select("key", "start", "stop", F.col("words").cast("long").alias("words"), "keeper").distinct(), "whole-copies")
+    own = marks.join(copies.select("key"), "key", "left_anti")
+    spots = own.join(by_hash(own).select("h"), "h").repartition("key").groupBy("key").agg(F.collect_set("seq").alias("spots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                small, row, parts = batch.slice(at, 64), [], []
+                for i, (whole, near) in enumerate(zip(small.column(1).to_pylist(), small.column(2).to_pylist(), strict=True)):
+                    h = windows(_norm(whole), PASSAGE_WORDS)
+                    seq = np.unique(np.array(near)[:, None] - np.arange(PASSAGE_WORDS - ANCHOR_WORDS + 1))
+                    seq = seq[(seq >= 0) & (seq < len(h))]
+                    first = np.array([m.start() for m in _word(whole)] + [len(whole)])
+                    row.append(np.full(len(seq), i))
+                    parts.append((h[seq].view(np.int64), seq, first[seq], first[seq + PASSAGE_WORDS]))
+                h, *numbers = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([small.column(0).take(pa.array(np.concatenate(row))), pa.array(h), *(pa.array(c.astype(np.int32)) for c in numbers)], ["key", "h", "seq", "start", "stop"])
+
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(spots, "key")
+    near = store(texts.mapInArrow(run, f"key {kind}, h long, seq int, start int, stop int"), "windows")
+    hits = near.join(by_hash(near), "h").where("key <> keeper").repartition("key").groupBy("key", "keeper", "seq").agg(F.min("start").alias("start"), F.min("stop").alias("stop"))
+    island = F.col("seq") - F.row_number().over(Window.partitionBy("key", "keeper").orderBy("seq"))
+    runs = hits.withColumn("island", island).groupBy("key", "keeper", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.count("*") + PASSAGE_WORDS - 1).alias("words"))
+    return runs.select("key", "start", "stop", "words", "keeper").unionByName(copies)
+
+
 def _sets(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(h, set): the distinct shingles of each paragraph of nodes (h, first)."""
 
@@ -268,8 +345,11 @@ def _large_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start, stop, words, keeper, kind): spans of characters to take out; they may overlap."""
-    sentences, paragraphs = units(docs, key, text)
-    runs = repeated_runs(sentences).withColumn("kind", F.lit("passage"))
+    sentences, paragraphs, marks, wholes = all_units(docs, key, text)
+    stretches = store(repeated_stretches(marks, wholes, docs, key, text), "stretches")
+    runs, held = repeated_runs(sentences).alias("r"), stretches.alias("s")
+    within = (F.col("r.key") == F.col("s.key")) & (F.col("s.start") <= F.col("r.start")) & (F.col("r.stop") <= F.col("s.stop"))
+    runs = runs.join(held, within, "left_anti").unionByName(stretches).withColumn("kind", F.lit("passage"))
     classes = store(similar_paragraphs(paragraphs, docs, key, text), "classes").withColumnRenamed("node", "h")
     members = paragraphs.drop("bands").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h"))
     members = store(members, "members")

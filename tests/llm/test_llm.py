@@ -409,6 +409,18 @@ def test_short_lines_and_wrapped_text(spark):
     assert got == {(1, " ".join([*line[:-1], "xlast"]), 0), (3, lines_of(changed), 2), (4, " ".join(line), 0)}
 
 
+def test_passages_that_start_mid_sentence(spark):
+    rng = random.Random(14)
+    words = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    shared = {n: words(n) for n in range(49, 62)}
+    texts = {}
+    for n, w in shared.items():
+        texts[n] = " ".join([*words(rng.randint(3, 90)), *w, *words(rng.randint(3, 90))]) + "."
+        texts[100 + n] = " ".join([*words(rng.randint(3, 90)), *w, *words(rng.randint(3, 90))]) + "."
+    got = {r["doc_id"]: (texts[r["doc_id"]][r["start"] : r["stop"]].split(), r["words"], r["keeper"]) for r in passages.removals(docs_of(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert got == {100 + n: (w, n, n) for n, w in shared.items() if n >= 50}
+
+
 def test_op5_odd_tables(spark, odd, empty):
     got = passages.removals(odd).collect()
     assert {r["doc_id"] for r in got} == {5}
