@@ -10,13 +10,15 @@ PATH_BINS, WORD_BINS = 8192, 512
 
 # Element names of the HTML standard by their role.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = set("math maction annotation merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE |= MATH
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind ends an open element of the second kinds.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS_LIKE = set("ul ol menu dl table select body article section div".split())
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|math|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S | re.I)
+_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*(?:(?<=/)>|>.*?</svg\s*>)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S | re.I)
 _attribute = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _part = re.compile(r"[a-z0-9]+")
 
@@ -100,7 +102,7 @@ class Blocks:
                         del stack[i:]
                         break
                 continue
-            if tag in VOID:
+            if tag in VOID or tag in MATH and m[4].endswith("/"):
                 continue
             ends = ENDS_LIKE.get(tag) or ({"p"} if tag in ENDS_P else None)
             if ends:

@@ -250,6 +250,18 @@ def test_blocks():
     assert got == [("Home", True), ("Two", False), ("One & two bold", False), ("Three", False), ("Buy", False), ("tail", False)]
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<article><p>One <svg class="i"/></p><p>Two</p></article>', ["One", "Two"]),
+    ('<p>One<svg/></p><p>Two</p><svg><text>no</text></svg><p>Three</p>', ["One", "Two", "Three"]),
+    ("<p>One</p><svg><p>Two</p>", ["One", "Two"]),
+    ("<svg-icon>a</svg-icon><p>One</p><title-bar>Two</title-bar><template-x>Three</template-x>", ["a", "One", "Two", "Three"]),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<math/></p><p>Two</p>", ["So x=2 holds", "Two"]),
+    ("<p>One</p><noscript><p>Two</p></noscript>", ["One", "Two"]),
+])
+def test_foreign_and_custom_elements(html, want):
+    assert [t for t, _, _ in Blocks().split(html)] == want
+
+
 def test_op3(spark, weights, sf_dir):
     import re
     from html import unescape
