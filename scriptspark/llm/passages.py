@@ -307,16 +307,16 @@ def similar_paragraphs(paragraphs: DataFrame, docs: DataFrame, key: str, text: s
     low = F.min("component").alias("low")
     split = placed.groupBy("band").agg(low, F.max("component").alias("high")).where("low < high").select("band", "low")
     open_ = store(placed.join(split, "band"), "open-buckets")
-    rest = _small_buckets(open_).unionByName(_large_buckets(open_, sets)).distinct()
+    rest = _small_buckets(open_, sets).unionByName(_large_buckets(open_, sets)).distinct()
     rest = store(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
     return components(links.unionByName(store(_verified(rest, sets), "rest-links")), "a", "b")
 
 
-def _small_buckets(open_: DataFrame) -> DataFrame:
+def _small_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs across components, in buckets of at most SMALL_BUCKET: under that many for each paragraph."""
-    small = open_.where(F.col("n") <= SMALL_BUCKET)
-    other = small.select("band", F.col("h").alias("b"), F.col("words").alias("words_b"), F.col("component").alias("component_b"))
-    fits = "component < component_b and words - 4 >= 0.8 * (words_b - 4) and words_b - 4 >= 0.8 * (words - 4)"
+    small = open_.where(F.col("n") <= SMALL_BUCKET).join(sets.select("h", F.size("set").alias("size")), "h")
+    other = small.select("band", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
+    fits = "component < component_b and 5 * size >= 4 * size_b and 5 * size_b >= 4 * size"
     apart = small.withColumnRenamed("h", "a").join(other, "band").where(fits)
     return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

@@ -433,6 +433,18 @@ def test_passages_that_start_mid_sentence(spark):
     assert got == {100 + n: (w, n, n) for n, w in shared.items() if n >= 50}
 
 
+def test_a_repeated_phrase_has_few_shingles(spark, monkeypatch):
+    """60 words and the same twice have similarity 0.93; in the one bucket made here neither leads."""
+    monkeypatch.setattr(passages, "LEADERS", 0)
+    rng = random.Random(15)
+    one = [rng.choice(WORDS) for _ in range(60)]
+    lines = [one, one * 2, *([rng.choice(WORDS) for _ in range(50)] for _ in range(3))]
+    df = docs_of(spark, [(i, " ".join(w), "s") for i, w in enumerate(lines)])
+    paragraphs = passages.units(df, "doc_id", "text")[1].withColumn("bands", F.array(F.lit(7).cast("long")))
+    got = {r["node"] for r in passages.similar_paragraphs(paragraphs, df, "doc_id", "text").collect()}
+    assert got == {r["h"] for r in paragraphs.collect() if r["key"] < 2}
+
+
 def test_op5_odd_tables(spark, odd, empty):
     got = passages.removals(odd).collect()
     assert {r["doc_id"] for r in got} == {5}
