@@ -65,6 +65,39 @@ def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name, or name with low lines before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def own_keys(docs: DataFrame, key: str, text: str, name: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(docs with a long column `name` of its own for each text, the odd keys, what `name` of odd rows stands for).
+
+    The key itself serves (a whole number) where it stands on one row. Odd keys, null or on several rows, give way to a negative
+    number from a 63-bit hash of key and text, so rows alike in both share one. Without odd keys the last two are None.
+    """
+    odd = store(docs.groupBy(F.col(key).alias("odd")).agg(F.count("*").alias("n")).where("n > 1 or odd is null").select("odd"), "odd-keys")
+    if odd.isEmpty():
+        return docs.withColumn(name, F.col(key).cast("long")), None, None
+    mark = fresh_name(docs, "odd")
+    odd = broadcast_if_small(odd.withColumnRenamed("odd", mark).withColumn(f"{mark}_row", F.lit(True)))
+    met = docs.join(odd, F.col(key).eqNullSafe(F.col(mark)), "left")
+    hashed = F.lit(-1) - F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.col(key).isNull(), F.col(text)).bitwiseAND(F.lit(2**63 - 1))
+    keyed = met.withColumn(name, F.when(F.col(f"{mark}_row"), hashed).otherwise(F.col(key).cast("long")))
+    back = store(keyed.where(F.col(f"{mark}_row")).select(name, key).distinct(), "odd-rows")
+    return keyed.drop(mark, f"{mark}_row"), odd, back
+
+
+def one_row_each(keyed: DataFrame, name: str, odd: DataFrame | None) -> DataFrame:
+    """keyed with one row for each value of `name`; only negative ones, of odd keys, can have more."""
+    if odd is None:
+        return keyed
+    return keyed.where(F.col(name) >= 0).unionByName(keyed.where(F.col(name) < 0).dropDuplicates([name]))
+
+
 def chunk_of(n_rows: int, rows_per_chunk: int = 1500, most: int = 65_536) -> int:
     """Into how many chunks a running total is split, so that a task never holds a whole hot key."""
     return max(1, min(most, n_rows // rows_per_chunk))

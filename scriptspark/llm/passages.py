@@ -1,22 +1,27 @@
 """Substring dedup by paragraphs.
 
-Paragraphs (lines of PARAGRAPH_WORDS or more, and blocks of lines under PASSAGE_WORDS without a blank
-line between them that reach PASSAGE_WORDS together: wrapped text) are banded by MinHash over five-word shingles; colliding
-paragraphs are joined, verified by exact Jaccard and clustered by components, and all but the first
-of a cluster are removed. Passages that stand inside longer paragraphs are found by their sentences:
-a run of sentences that other documents have first, of PASSAGE_WORDS or more, is removed as well. So is
-every stretch of PASSAGE_WORDS or more that stands word for word in an earlier document, wherever it starts.
-Such a stretch holds an anchor, a window of ANCHOR_WORDS whose hash is the least of its neighbours; around
-shared anchors, all windows of PASSAGE_WORDS are compared by hash.
-
-Equal paragraphs are one node, so copies cost nothing. In a bucket, every paragraph is first held
-against a few leaders; when the components of these links are known, only pairs that stand in
-different components are left, and all of these are verified. Buckets of up to SMALL_BUCKET take them
-directly. Paragraphs of larger ones meet again by their rarest shingles: at similarity 0.8 two sets share
-one of the first fifth of each (prefix filter), so no pair is lost.
-
-The first occurrence (by key, then place) stays. Null text is empty. Rows alike in key and text count
-as one document. Short paragraphs, and passages that repeat only within one document, are left alone.
+Paragraphs are lines of LEAST_WORDS or more, and blocks of shorter lines without a blank line between them that
+reach PASSAGE_WORDS together (wrapped text). They are banded by MinHash over five-word shingles; colliding
+paragraphs are joined, verified by exact Jaccard and clustered by components, and all but the first of
+a cluster are removed. A pair at similarity 0.8 shares none of the nine bands of three with probability 0.0016.
+
+Passages inside paragraphs: every run of PASSAGE_WORDS that an earlier document has word for word is removed as
+well, wherever it starts. Each text is marked by anchors, windows of ANCHOR_WORDS whose hash is the least of its
+neighbours', so that two texts that share a passage share an anchor of it. An anchor's context is the widest
+run that passages around it can cover. Where an earlier document has the same context, all of it is
+removed; of anchors that several contexts share, one occurrence of each context is read again and all windows of
+PASSAGE_WORDS around it are compared. So each run found lies within one document that keeps it.
+
+Equal paragraphs are one node. In a bucket every paragraph is held against its least and its greatest
+hash; when the components of these links are known, only pairs that stand in different components are left,
+and all of these are verified. Buckets of up to SMALL_BUCKET take them directly; paragraphs of larger ones meet
+by their rarest shingles: at similarity 0.8 two sets share one of the first fifth of each (prefix filter), so
+no pair is lost.
+
+Null and wordless text has nothing to remove. Ties: the first occurrence is that with the smallest key. Rows alike
+in key and text count as one document; null keys, and keys that several texts share, are told apart by the
+text (common.own_keys). Passages that repeat only within one document are left alone. An empty table gives
+an empty result. Texts of any length are read whole. A table's other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,260 +31,173 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, new_path, store
+from .common import SPACES, components, fresh_name, one_row_each, own_keys, store
+from .wordhash import Words, grouped, least_places, lists, mixed, signed, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
-#: 16 bands of 4: at similarity 0.8 a pair is missed with probability 0.0002, at 0.9 never in practice.
-BANDS, ROWS = 16, 4
-#: A changed last word takes one of n-4 shingles away on both sides: from 13 words on similarity 0.8 allows it.
-PARAGRAPH_WORDS = 13
+BANDS, ROWS = 9, 3
+#: Shorter lines (headings, stock phrases, license lines) stand in many documents of their own right.
+LEAST_WORDS = 20
 PASSAGE_WORDS = 50
-ANCHOR_WORDS = 25
-LEADERS = 3
+ANCHOR_WORDS = 16
+#: How far a passage can reach beyond an anchor that it holds.
+REACH = PASSAGE_WORDS - ANCHOR_WORDS
 SMALL_BUCKET = 24
 
 _rng = np.random.default_rng(42)
-_SCALE = _rng.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _rng.integers(0, 2**63, (BANDS * ROWS, 1), np.uint64)
-_FOLD = _rng.integers(0, 2**63, (ROWS,), np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SCALE = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
+_FOLD = _rng.integers(0, 2**63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
-_BASE = 0x5851F42D4C957F2D
-_word = re.compile(r"[^ \t\n\r\x0b\x0c]+").finditer
-_sentence_end = re.compile(r"[.!?]+[ \t\r\x0b\x0c]+|\n+").finditer
+_word = re.compile(rf"[^{SPACES}]+")
 
 
-class _WordHashes(dict):
-    """Word to hash, for the words that a worker has met."""
+def _ranges(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers at[i]..at[i]+size[i]-1 in a row, where each range starts among them)."""
+    starts = np.cumsum(size) - size
+    return np.repeat(at - starts, size) + np.arange(int(size.sum())), starts
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def shingles(w: Words, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the five-word runs in each run of words, in a row; where each run's start). A shorter run is one shingle."""
+    places, starts = _ranges(at, np.maximum(size - SHINGLE + 1, 1))
+    return w.runs(places, np.repeat(np.minimum(size, SHINGLE), np.maximum(size - SHINGLE + 1, 1))), starts
 
-_words = _WordHashes()
 
+def band_keys(w: Words, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(runs, BANDS): the band keys of each run of words."""
+    if not len(at):
+        return np.zeros((0, BANDS), np.uint64)
+    x, starts = shingles(w, at, size)
+    low = np.stack([np.minimum.reduceat(x * scale + shift, starts) for scale, shift in zip(_SCALE, _SHIFT, strict=True)], axis=1)
+    keys = ((low.reshape(-1, BANDS, ROWS) >> np.uint64(16)) * _FOLD).sum(axis=2, dtype=np.uint64)
+    return mixed(keys + np.arange(BANDS, dtype=np.uint64))
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each run of five words."""
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - SHINGLE + 1)
-    acc = np.zeros(n, np.uint64)
-    for j in range(min(SHINGLE, len(words))):
-        acc = (acc ^ acc >> np.uint64(31)) * _MIX + h[j : n + j]
-    return (acc ^ acc >> np.uint64(29)) * _MIX
 
+def anchors(w: Words) -> np.ndarray:
+    """Places of the anchors: every PASSAGE_WORDS words of one text hold the least window of ANCHOR_WORDS in them."""
+    n = len(w.h) - PASSAGE_WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    x, _ = w.windows(ANCHOR_WORDS)
+    return np.unique(least_places(x, REACH + 1)[w.text[:n] == w.text[PASSAGE_WORDS - 1 :]])
 
-def windows(words: list[bytes], size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` words."""
-    n = len(words)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE, np.uint64)], dtype=np.uint64)
-    back = np.cumprod(np.r_[np.uint64(1), np.full(n - size, pow(_BASE, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    total = np.r_[np.uint64(0), np.cumsum(h * power[:n], dtype=np.uint64)]
-    x = (total[size:] - total[:-size]) * back
-    x = (x ^ x >> np.uint64(31)) * _MIX
-    return x ^ x >> np.uint64(29)
 
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(place, number of words) of each paragraph, in order."""
+    if not len(w.h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, w.line[1:] != w.line[:-1]])
+    size, line, text = np.diff(np.r_[at, len(w.h)]), w.line[at], w.text[at]
+    short = size < PASSAGE_WORDS
+    goes_on = short[1:] & short[:-1] & (text[1:] == text[:-1]) & (line[1:] == line[:-1] + 1)
+    head = np.flatnonzero(np.r_[True, ~goes_on])
+    block, n_lines = np.add.reduceat(size, head), np.diff(np.r_[head, len(at)])
+    wrapped, alone = (n_lines > 1) & (block >= PASSAGE_WORDS), size >= LEAST_WORDS
+    at, size = np.r_[at[alone], at[head][wrapped]], np.r_[size[alone], block[wrapped]]
+    order = np.argsort(at, kind="stable")
+    return at[order], size[order]
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of windows of ANCHOR_WORDS such that PASSAGE_WORDS words in a row always hold one."""
-    x = windows(words, ANCHOR_WORDS)
-    near = PASSAGE_WORDS - ANCHOR_WORDS + 1
-    if len(x) < near:
-        return np.zeros(0, np.int64), x[:0]
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(x, near).argmin(axis=1) + np.arange(len(x) - near + 1))
-    return at, x[at]
 
+def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One stored row per document, from one reading of its text: what anchors() and the rest take from it.
 
-def bands(words: list[bytes]) -> np.ndarray:
-    """The 16 band keys of a paragraph."""
-    x = shingles(words)
-    low = np.full((BANDS * ROWS, 1), 2**64 - 1, np.uint64)
-    for a in range(0, len(x), 1 << 13):
-        low = np.minimum(low, (x[a : a + (1 << 13)] * _SCALE + _SHIFT).min(axis=1, keepdims=True))
-    keys = (low.reshape(BANDS, ROWS) >> np.uint64(16)) * _FOLD
-    keys = (keys.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) * _MIX
-    return (keys ^ keys >> np.uint64(32)).view(np.int64)
-
-
-def _norm(text: str) -> list[bytes]:
-    return text.encode().lower().split()
-
-
-def units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(sentences, paragraphs) of all_units."""
-    return all_units(docs, key, text)[:2]
-
-
-def all_units(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(sentences, paragraphs, anchors, wholes), stored by one reading of the texts.
-
-    sentences: key, h, seq, start, stop, words. paragraphs: the same and bands. Places count characters.
-    anchors: key, h, seq, the place of its first word. wholes: key, h, start, stop, words of each whole text.
+    anchors: array<struct<h, context, at, words>>, at: the anchor's first word, words: those of its context.
+    paragraphs: array<struct<h, at, words, bands>>. Places count the document's words.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    names = ["key", "kind", "h", "seq", "start", "stop", "words", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                small, row, rows, sets = batch.slice(at, 256), [], [], []
-                for i, x in enumerate(small.column(1)):
-                    whole = x.as_py() or ""
-                    seq = start = line_at = 0
-                    line: list[bytes] = []
-                    every: list[bytes] = []
-                    block: list[bytes] = []
-                    block_at = block_stop = lines = 0
-
-                    def paragraph(words: list[bytes], start: int, stop: int, i: int = i) -> None:
-                        row.append(i)
-                        rows.append((1, digest(b" ".join(words)), 0, start, stop, len(words)))
-                        sets.append(bands(words))
-
-                    for stop, closes in _ends(whole):
-                        words = _norm(whole[start:stop])
-                        if words:
-                            row.append(i)
-                            rows.append((0, digest(b" ".join(words)), seq, start, stop, len(words)))
-                            sets.append(None)
-                            seq += 1
-                            line += words
-                            every += words
-                        if closes:
-                            if len(line) >= PARAGRAPH_WORDS:
-                                paragraph(line, line_at, stop)
-                            short = 0 < len(line) < PASSAGE_WORDS
-                            if short:
-                                block_at = block_at if lines else line_at
-                                block += line
-                                block_stop, lines = stop, lines + 1
-                            if not short or stop == len(whole) or whole[stop - 2 : stop] == "\n\n":
-                                if lines > 1 and len(block) >= PASSAGE_WORDS:
-                                    paragraph(block, block_at, block_stop)
-                                block, lines = [], 0
-                            line, line_at = [], stop
-                        start = stop
-                    if len(every) >= PASSAGE_WORDS:
-                        places, marks = anchors(every)
-                        found = [(2, h, at, 0, 0, 0) for at, h in zip(places.tolist(), marks.tolist(), strict=True)]
-                        found.append((3, digest(b" ".join(every)), 0, 0, len(whole), len(every)))
-                        rows += found
-                        row += [i] * len(found)
-                        sets += [None] * len(found)
-                kinds, h, *numbers = zip(*rows, strict=True) if rows else [[]] * 6
-                columns = [pa.array(np.array(kinds, np.int32)), pa.array(np.array(h, np.uint64).view(np.int64)), *(pa.array(np.array(c, np.int32)) for c in numbers)]
-                yield pa.RecordBatch.from_arrays([small.column(0).take(pa.array(row, pa.int64())), *columns, pa.array(sets, pa.list_(pa.int64()))], names)
-
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "units")
-    ddl = f"key {kind}, kind int, h long, seq int, start int, stop int, words int, bands array<long>"
-    made = docs.select(F.col(key), F.col(text)).mapInArrow(run, ddl)
-    made.write.partitionBy("kind").parquet(path)
-    found = spark.read.schema(made.schema).parquet(path)
-    of = lambda n, *names: found.where(F.col("kind") == n).drop("kind", *names)
-    return of(0, "bands"), of(1, "seq"), of(2, "start", "stop", "words", "bands"), of(3, "seq", "bands")
-
-
-def _ends(text: str) -> Iterator[tuple[int, bool]]:
-    """Where each sentence stops, and whether its line does."""
-    for m in _sentence_end(text):
-        yield m.end(), text[m.end() - 1] == "\n"
-    yield len(text), True
-
-
-def whole_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Each text that has words as one paragraph: key, h, start, stop, words, bands."""
-    kind = docs.schema[key].dataType.simpleString()
+            for row, texts in grouped(batch.column(1)):
+                w = words_of(texts)
+                every = np.arange(w.texts + 1)
+                spot = anchors(w)
+                begin, end = w.first[w.text[spot]], w.first[w.text[spot] + 1]
+                low, high = np.maximum(begin, spot - REACH), np.minimum(end, spot + PASSAGE_WORDS)
+                marks = pa.StructArray.from_arrays([signed(w.runs(spot, ANCHOR_WORDS)), signed(w.runs(low, high - low)), pa.array((spot - begin).astype(np.int32)), pa.array((high - low).astype(np.int32))], ["h", "context", "at", "words"])
+                at, size = paragraphs(w)
+                bands = lists(np.arange(len(at) + 1) * BANDS, signed(band_keys(w, at, size).reshape(-1)))
+                held = pa.StructArray.from_arrays([signed(w.runs(at, size)), pa.array((at - w.first[w.text[at]]).astype(np.int32)), pa.array(size.astype(np.int32)), bands], ["h", "at", "words", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), lists(np.searchsorted(w.text[spot], every), marks), lists(np.searchsorted(w.text[at], every), held)], ["key", "anchors", "paragraphs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                small, row, rows, sets = batch.slice(at, 512), [], [], []
-                for i, x in enumerate(small.column(1)):
-                    whole = x.as_py() or ""
-                    if words := _norm(whole):
-                        row.append(i)
-                        rows.append((xxhash.xxh3_64_intdigest(b" ".join(words)), 0, len(whole), len(words)))
-                        sets.append(bands(words))
-                h, *numbers = zip(*rows, strict=True) if rows else [[]] * 4
-                columns = [pa.array(np.array(h, np.uint64).view(np.int64)), *(pa.array(np.array(c, np.int32)) for c in numbers)]
-                yield pa.RecordBatch.from_arrays([small.column(0).take(pa.array(row, pa.int64())), *columns, pa.array(sets, pa.list_(pa.int64()))], ["key", "h", "start", "stop", "words", "bands"])
+    ddl = "key long, anchors array<struct<h: long, context: long, at: int, words: int>>, paragraphs array<struct<h: long, at: int, words: int, bands: array<long>>>"
+    return store(docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, ddl), "scanned")
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, h long, start int, stop int, words int, bands array<long>")
 
+def _held_before(df: DataFrame, by: str) -> DataFrame:
+    """(by, keeper): what several documents have, and the first of them."""
+    return df.groupBy(by).agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper < last").select(by, "keeper")
 
-def near_copies(units: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key): of the whole texts in units, those to which one with a smaller key is linked at similarity 0.8."""
-    classes = store(similar_paragraphs(units, docs, key, text), "copy-classes").withColumnRenamed("node", "h")
-    members = store(units.select("key", "h").join(classes, "h"), "copy-members")
-    firsts = members.groupBy("component").agg(F.min("key").alias("first"))
-    return members.join(firsts, "component").where("key <> first").select("key").distinct()
-
-
-def repeated_runs(sentences: DataFrame) -> DataFrame:
-    """(key, start, stop, words, keeper): runs of sentences that documents with a smaller key have."""
-    known = sentences.groupBy("h").agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper <> last").select("h", "keeper")
-    hits = sentences.join(known, "h").where("key <> keeper").repartition("key").groupBy("key", "seq").agg(F.min("start").alias("start"), F.min("stop").alias("stop"), F.min("words").alias("words"), F.min("keeper").alias("keeper"))
-    island = F.col("seq") - F.row_number().over(Window.partitionBy("key").orderBy("seq"))
-    runs = hits.withColumn("island", island).groupBy("key", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("keeper").alias("keeper"))
-    return runs.where(F.col("words") >= PASSAGE_WORDS).drop("island")
-
-
-def repeated_stretches(marks: DataFrame, wholes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, stop, words, keeper): the longest runs of PASSAGE_WORDS and more that a smaller key's text has."""
-    kind = docs.schema[key].dataType.simpleString()
-    by_hash = lambda df: df.groupBy("h").agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper <> last").select("h", "keeper")
-    # A whole copy needs no windows: the first of its kind has them all.
-    copies = store(wholes.join(by_hash(wholes), "h").where("key <> keeper").select("key", "start", "stop", F.col("words").cast("long").alias("words"), "keeper").distinct(), "whole-copies")
-    own = marks.join(copies.select("key"), "key", "left_anti")
-    spots = own.join(by_hash(own).select("h"), "h").repartition("key").groupBy("key").agg(F.collect_set("seq").alias("spots"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                small, row, parts = batch.slice(at, 64), [], []
-                for i, (whole, near) in enumerate(zip(small.column(1).to_pylist(), small.column(2).to_pylist(), strict=True)):
-                    h = windows(_norm(whole), PASSAGE_WORDS)
-                    seq = np.unique(np.array(near)[:, None] - np.arange(PASSAGE_WORDS - ANCHOR_WORDS + 1))
-                    seq = seq[(seq >= 0) & (seq < len(h))]
-                    first = np.array([m.start() for m in _word(whole)] + [len(whole)])
-                    row.append(np.full(len(seq), i))
-                    parts.append((h[seq].view(np.int64), seq, first[seq], first[seq + PASSAGE_WORDS]))
-                h, *numbers = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([small.column(0).take(pa.array(np.concatenate(row))), pa.array(h), *(pa.array(c.astype(np.int32)) for c in numbers)], ["key", "h", "seq", "start", "stop"])
-
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(spots, "key")
-    near = store(texts.mapInArrow(run, f"key {kind}, h long, seq int, start int, stop int"), "windows")
-    hits = near.join(by_hash(near), "h").where("key <> keeper").repartition("key").groupBy("key", "keeper", "seq").agg(F.min("start").alias("start"), F.min("stop").alias("stop"))
-    island = F.col("seq") - F.row_number().over(Window.partitionBy("key", "keeper").orderBy("seq"))
-    runs = hits.withColumn("island", island).groupBy("key", "keeper", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.count("*") + PASSAGE_WORDS - 1).alias("words"))
-    return runs.select("key", "start", "stop", "words", "keeper").unionByName(copies)
-
-
-def _sets(nodes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(h, set): the distinct shingles of each paragraph of nodes (h, first)."""
+def shared_contexts(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans (key, at, words, keeper) of contexts that an earlier document has; (key, at) of anchors to read again)."""
+    met = store(marks.join(_held_before(marks, "h").select("h"), "h"), "shared-anchors")
+    judged = store(met.join(_held_before(met, "context"), "context", "left").select("key", "h", "at", "words", "keeper"), "contexts")
+    spans = judged.where("key <> keeper").select("key", F.greatest(F.lit(0), F.col("at") - REACH).alias("at"), "words", "keeper")
+    first = judged.where("keeper is null or key = keeper").select("key", "h", "at")
+    return spans, first.join(_held_before(first, "h").select("h"), "h").select("key", "at")
+
+
+def read_again(docs: DataFrame, key: str, text: str, spots: DataFrame) -> DataFrame:
+    """The texts that hold spots (key, h, at, words), stored: windows array<struct<h, at>>, sets array<struct<h, set>>.
+
+    A spot without h is an anchor: all windows of PASSAGE_WORDS around it are given. Any other is a paragraph: its
+    distinct shingles are given.
+    """
+    wanted = spots.groupBy("key").agg(F.collect_list(F.when(F.col("h").isNull(), F.col("at"))).alias("anchors"), F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "at", "words"))).alias("paragraphs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                small = batch.slice(at, 512)
-                sets = [np.unique(shingles(_norm(t[a:b]))).view(np.int64) for t, a, b in zip(*(c.to_pylist() for c in small.columns[1:]), strict=True)]
-                yield pa.RecordBatch.from_arrays([small.column(0), pa.array(sets, pa.list_(pa.int64()))], ["h", "set"])
-
-    spots = nodes.select("h", F.col("first.key").alias("key"), F.col("first.start").alias("start"), F.col("first.stop").alias("stop"))
-    texts = spots.join(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
-    cut = texts.select("h", F.expr("substring(text, start + 1, stop - start)").alias("text"), F.lit(0).alias("a"), (F.col("stop") - F.col("start")).alias("b"))
-    return store(cut.mapInArrow(run, "h long, set array<long>").dropDuplicates(["h"]), "shingle-sets")
+            for row, texts in grouped(batch.column(1)):
+                w = words_of(texts)
+                every = np.arange(w.texts + 1)
+                near, held = batch.column(2).slice(row, len(texts)), batch.column(3).slice(row, len(texts))
+                spot = near.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.first[:-1], near.value_lengths().to_numpy(zero_copy_only=False))
+                start = np.unique((spot[:, None] - np.arange(REACH + 1)).clip(0))
+                start = start[start + PASSAGE_WORDS <= len(w.h)]
+                start = start[w.text[start] == w.text[start + PASSAGE_WORDS - 1]]
+                windows = pa.StructArray.from_arrays([signed(w.runs(start, PASSAGE_WORDS)), pa.array((start - w.first[w.text[start]]).astype(np.int32))], ["h", "at"])
+                own = held.flatten()
+                h, at, size = own.field("h"), own.field("at").to_numpy(zero_copy_only=False).astype(np.int64), own.field("words").to_numpy(zero_copy_only=False).astype(np.int64)
+                counts = held.value_lengths().to_numpy(zero_copy_only=False)
+                x, starts = shingles(w, at + np.repeat(w.first[:-1], counts), size)
+                sets = [np.unique(part) for part in np.split(x, starts[1:])] if len(starts) else []
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                made = pa.StructArray.from_arrays([h, lists(np.cumsum([0, *map(len, sets)]), signed(flat))], ["h", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), lists(np.searchsorted(w.text[start], every), windows), lists(np.cumsum([0, *counts]), made)], ["key", "windows", "sets"])
+
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key")
+    return store(texts.mapInArrow(run, "key long, windows array<struct<h: long, at: int>>, sets array<struct<h: long, set: array<long>>>"), "read-again")
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(key, at, words, keeper): spans of one document and keeper that overlap or touch, put together."""
+    own = Window.partitionBy("key", "keeper").orderBy("at", "stop")
+    ends = spans.select("key", "keeper", "at", (F.col("at") + F.col("words")).alias("stop"))
+    before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    begun = ends.withColumn("begins", F.coalesce(F.col("at") > before, F.lit(True)).cast("int"))
+    island = begun.withColumn("island", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = island.groupBy("key", "keeper", "island").agg(F.min("at").alias("at"), F.max("stop").alias("stop"))
+    return runs.select("key", "at", (F.col("stop") - F.col("at")).alias("words"), "keeper")
+
+
+# Similar paragraphs --------------------------------------------------------
+
+
+def in_buckets(units: DataFrame) -> DataFrame:
+    """(h, band, low, high), stored: the paragraphs that share a band with another, and the ends of its hashes."""
+    keyed = units.select("h", F.explode("bands").alias("band"))
+    crowded = keyed.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
+    return store(keyed.join(crowded, "band").distinct(), "buckets")
+
+
+def set_spots(units: DataFrame, met: DataFrame) -> DataFrame:
+    """(key, h, at, words): one occurrence of each paragraph that stands in a bucket."""
+    near = units.select("key", "h", "at", "words").join(met.select("h").distinct(), "h", "left_semi")
+    return near.groupBy("h").agg(F.min(F.struct("key", "at", "words")).alias("first")).select("first.key", "h", "first.at", "first.words")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -288,28 +206,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared >= SIMILAR * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def similar_paragraphs(paragraphs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(h, component): paragraphs that near-duplicates link, by the hash of their words."""
-    first = F.min(F.struct("key", "start", "stop")).alias("first")
-    nodes = store(paragraphs.groupBy("h").agg(first, F.min("words").alias("words"), F.min("bands").alias("bands")), "paragraphs")
-    in_band = nodes.select("h", "words", F.explode("bands").alias("band"))
-    leaders = [F.min_by("h", F.xxhash64("h", F.lit(i))).alias(f"leader{i}") for i in range(LEADERS)]
-    shortest = F.min(F.struct("words", "h"))["h"].alias("shortest")
-    crowded = in_band.groupBy("band").agg(F.count("*").alias("n"), shortest, *leaders).where("n > 1")
-    met = store(in_band.join(crowded, "band"), "buckets")
-    led = met.select("h", F.explode(F.array("shortest", *(f"leader{i}" for i in range(LEADERS)))).alias("leader")).where("h <> leader")
+def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(h, component): paragraphs that near-duplicates link. sets (h, set) is stored."""
+    led = met.select("h", F.explode(F.array("low", "high")).alias("leader")).where("h <> leader")
     pairs = store(led.select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b")).distinct(), "leader-pairs")
-    sets = _sets(nodes.join(met.select("h").distinct(), "h", "left_semi"), docs, key, text)
     links = store(_verified(pairs, sets), "leader-links")
-    found = store(components(links, "a", "b"), "leader-components")
-    placed = met.select("h", "words", "band", "n").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    placed = store(placed, "placed")
-    low = F.min("component").alias("low")
-    split = placed.groupBy("band").agg(low, F.max("component").alias("high")).where("low < high").select("band", "low")
+    found = store(components(links, "a", "b"), "leader-components").withColumnRenamed("node", "h")
+    placed = store(met.select("h", "band").join(found, "h", "left").withColumn("component", F.coalesce("component", "h")), "placed")
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("band", "n")
     open_ = store(placed.join(split, "band"), "open-buckets")
+    if open_.isEmpty():
+        return found
     rest = _small_buckets(open_, sets).unionByName(_large_buckets(open_, sets)).distinct()
     rest = store(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    return components(links.unionByName(store(_verified(rest, sets), "rest-links")), "a", "b")
+    more = store(_verified(rest, sets), "rest-links")
+    return found if more.isEmpty() else store(components(links.unionByName(more), "a", "b"), "all-components").withColumnRenamed("node", "h")
 
 
 def _small_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -343,49 +254,90 @@ def _large_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.where("9 * most >= 4 * (size + size_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def near_copies(units: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key): of the whole texts in units (key, h, words, bands), those that similarity 0.8 links to one with a smaller key."""
+    units = units.withColumn("at", F.lit(0))
+    met = in_buckets(units)
+    sets = store(read_again(docs, key, text, set_spots(units, met)).select(F.inline("sets")), "copy-sets")
+    # equal texts are one node even where no other text is near
+    members = store(units.select("key", "h").join(similar(met, sets), "h", "left").withColumn("component", F.coalesce("component", "h")), "copy-members")
+    return members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key").distinct()
+
+
+# Removal -------------------------------------------------------------------
+
+
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, stop, words, keeper, kind): spans of characters to take out; they may overlap."""
-    sentences, paragraphs, marks, wholes = all_units(docs, key, text)
-    stretches = store(repeated_stretches(marks, wholes, docs, key, text), "stretches")
-    runs, held = repeated_runs(sentences).alias("r"), stretches.alias("s")
-    within = (F.col("r.key") == F.col("s.key")) & (F.col("s.start") <= F.col("r.start")) & (F.col("r.stop") <= F.col("s.stop"))
-    runs = runs.join(held, within, "left_anti").unionByName(stretches).withColumn("kind", F.lit("passage"))
-    classes = store(similar_paragraphs(paragraphs, docs, key, text), "classes").withColumnRenamed("node", "h")
-    members = paragraphs.drop("bands").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    members = store(members, "members")
-    keepers = members.groupBy("component").agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper <> last").drop("last")
-    near = members.join(keepers, "component").where("key <> keeper").select("key", "start", "stop", F.col("words").cast("long").alias("words"), "keeper", F.lit("paragraph").alias("kind")).distinct()
-    return runs.unionByName(near).select(F.col("key").alias(key), "start", "stop", "words", F.col("keeper").alias("keeper"), "kind")
+    """(key, start, words, keeper, kind): runs of words to take out, start words before them; they may overlap.
+
+    key is a whole number, unique and never null (see common.own_keys).
+    """
+    seen = scanned(docs, key, text)
+    marks, units = seen.select("key", F.inline("anchors")), seen.select("key", F.inline("paragraphs"))
+    spans, edges = shared_contexts(marks)
+    met = in_buckets(units)
+    anchors_again = edges.select("key", F.lit(None).cast("long").alias("h"), "at", F.lit(None).cast("int").alias("words"))
+    again = read_again(docs, key, text, anchors_again.unionByName(set_spots(units, met)))
+    windows = again.select("key", F.inline("windows"))
+    hits = windows.join(_held_before(windows, "h"), "h").where("key <> keeper").select("key", "at", F.lit(PASSAGE_WORDS).alias("words"), "keeper")
+    passages = merged(spans.unionByName(hits)).withColumn("kind", F.lit("passage"))
+    classes = similar(met, store(again.select(F.inline("sets")), "shingle-sets"))
+    members = store(units.select("key", "h", "at", "words").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h")), "members")
+    near = members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key", "at", "words", "keeper", F.lit("paragraph").alias("kind"))
+    found = passages.unionByName(near)
+    return found.select(F.col("key").alias(key), F.col("at").alias("start"), "words", F.col("keeper").alias("keeper"), "kind")
 
 
 def op5_paragraph_minhash(spark, sf_dir: str) -> DataFrame:
-    """One row per removed span; keeper_doc_id is a document that holds it and keeps it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return removals(docs).withColumnRenamed("keeper", "keeper_doc_id")
+    """One row per removed run: keeper_doc_id is a document that holds it (paragraph: one like it) and keeps it."""
+    docs, _, back = own_keys(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "key")
+    found = removals(docs, "key").withColumnsRenamed({"key": "doc_id", "keeper": "keeper_doc_id"})
+    if back is not None:
+        for name in ("doc_id", "keeper_doc_id"):
+            ids = back.select(F.col("key").alias(name), F.col("doc_id").alias("id"), F.lit(True).alias("odd"))
+            found = found.join(ids, name, "left").withColumn(name, F.when(F.col("odd"), F.col("id")).otherwise(F.col(name))).drop("id", "odd")
+    return found.select("doc_id", "start", "words", "keeper_doc_id", "kind")
+
+
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the runs of words (first, how many). What stays is joined by a line feed or a space, as it stood apart."""
+    places = [m.span() for m in _word.finditer(text)]
+    gone = np.zeros(len(places), bool)
+    for at, n in spans:
+        gone[at : at + n] = True
+    edge = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8)))
+    out, last = [], 0
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+        begin, end = places[a][0] if a else 0, places[b - 1][1] if b < len(places) else len(text)
+        if out:
+            out.append("\n" if "\n" in text[last : places[last_word][0]] or "\n" in text[places[a - 1][1] : begin] else " ")
+        out.append(text[begin:end])
+        last, last_word = end, min(b, len(places) - 1)
+    return "".join(out)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the removed spans; a document of which no word is left goes."""
+    """The documents without the removed runs; a document of which no word is left goes."""
     names = docs.columns
-    keyed = docs.withColumn("__row", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64("text").alias("h")))
-    spans = removals(keyed, "__row").groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
+    row, held = fresh_name(docs, "row"), fresh_name(docs, "spans")
+    keyed, odd, _ = own_keys(docs, "doc_id", "text", row)
+    spans = removals(keyed, row).groupBy(row).agg(F.collect_set(F.struct("start", "words")).alias(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, kept = [], []
-            for i, (text, cuts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)):
-                if cuts:
-                    parts, at = [], 0
-                    for c in cuts:
-                        parts.append(text[at : max(at, c["start"])])
-                        at = max(at, c["stop"])
-                    text = "".join([*parts, text[at:]])
-                    if not text.strip():
-                        continue
-                texts.append(text)
-                kept.append(i)
-            rows = batch.take(pa.array(kept, pa.int64()))
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in names], names)
-
-    return keyed.join(spans, "__row", "left").select(*names, "__spans").mapInArrow(run, docs.schema)
+            for at in range(0, batch.num_rows, 1024):
+                small = batch.slice(at, 1024)
+                texts, kept = [], []
+                for i, (text, found) in enumerate(zip(small.column("text"), small.column(held), strict=True)):
+                    text = text.as_py()
+                    if found.is_valid:
+                        text = cut(text, [(s["start"], s["words"]) for s in found.as_py()])
+                        if not text.strip(SPACES):
+                            continue
+                    texts.append(text)
+                    kept.append(i)
+                rows = small.take(pa.array(kept, pa.int64()))
+                new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+                yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in names], names)
+
+    return keyed.join(spans, row, "left").select(*names, held).mapInArrow(run, docs.schema)
