@@ -8,26 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptspark.llm import harmonic, mixing, passages, quality, simhash
-from scriptspark.llm.common import release, shared_folder
+from scriptspark.llm.common import owned, release, shared_folder
 
 
-
-def _after_release(stage: Callable) -> Callable:
+def _alone(stage: Callable) -> Callable:
     """A stage that first removes what the stages before it stored on the way: their results are written by then."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark)
-        return stage(spark, docs, sf_dir)
+        owner = f"pipeline {sf_dir}"
+        release(spark, owner)
+        with owned(owner):
+            return stage(spark, docs, sf_dir)
 
     return run
 
 
 STAGES = [
-    ("quality_rules", quality.stage),
-    ("simhash_near_dedup", _after_release(simhash.stage)),
-    ("substring_dedup", _after_release(passages.stage)),
-    ("source_mixing", _after_release(mixing.stage)),
-    ("harmonic_packing", _after_release(harmonic.stage)),
+    ("quality_rules", _alone(quality.stage)),
+    ("simhash_near_dedup", _alone(simhash.stage)),
+    ("substring_dedup", _alone(passages.stage)),
+    ("source_mixing", _alone(mixing.stage)),
+    ("harmonic_packing", _alone(harmonic.stage)),
 ]
 
 #: Fingerprints, links and packing have no SQL form; the tests hold run() against a brute-force version.

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,8 +15,13 @@ from pyspark.sql import functions as F
 #: ASCII white space that ends a word: [\x20\x09-\x0D]. bytes.split() cuts at exactly these.
 SPACES = " \t\n\r\x0b\x0c"
 
+#: From here on own_keys() names what has no key of its own.
+ODD_FROM = 2**62
+
 _roots: dict[str, str] = {}
-_paths: list[str] = []
+#: Owner and path of each stored table.
+_paths: list[tuple[str | None, str]] = []
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,12 +43,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; release() removes it."""
+    """A fresh path below the shared folder; release() of its owner removes it."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    _paths.append((_owner.get(), path))
     return path
 
 
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables stored inside belong to the owner, so that release() of others leaves them alone."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
@@ -49,11 +67,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables that earlier operators stored. Call it once their results are written."""
+def release(spark: SparkSession, owner: str | None = None) -> None:
+    """Remove the tables that were stored for the owner (None: outside of owned()). Call it once their results are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _paths:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+    for found in [x for x in _paths if x[0] == owner]:
+        _paths.remove(found)
+        path = jvm.org.apache.hadoop.fs.Path(found[1])
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -76,26 +95,26 @@ def fresh_name(df: DataFrame, name: str) -> str:
 def own_keys(docs: DataFrame, key: str, text: str, name: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(docs with a long column `name` of its own for each text, the odd keys, what `name` of odd rows stands for).
 
-    The key itself serves (a whole number) where it stands on one row. Odd keys, null or on several rows, give way to a negative
-    number from a 63-bit hash of key and text, so rows alike in both share one. Without odd keys the last two are None.
+    The key itself serves (a whole number under ODD_FROM) where it stands on one row. Odd keys, null or on several rows, give way to
+    ODD_FROM and more: a 62-bit hash of key and text, so rows alike in both share one. Without odd keys the last two are None.
     """
-    odd = store(docs.groupBy(F.col(key).alias("odd")).agg(F.count("*").alias("n")).where("n > 1 or odd is null").select("odd"), "odd-keys")
+    odd = store(docs.groupBy(F.col(key).alias("odd")).agg(F.count("*").alias("n")).where(f"n > 1 or odd is null or odd >= {ODD_FROM}").select("odd"), "odd-keys")
     if odd.isEmpty():
         return docs.withColumn(name, F.col(key).cast("long")), None, None
     mark = fresh_name(docs, "odd")
     odd = broadcast_if_small(odd.withColumnRenamed("odd", mark).withColumn(f"{mark}_row", F.lit(True)))
     met = docs.join(odd, F.col(key).eqNullSafe(F.col(mark)), "left")
-    hashed = F.lit(-1) - F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.col(key).isNull(), F.col(text)).bitwiseAND(F.lit(2**63 - 1))
+    hashed = F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(0)), F.col(key).isNull(), F.col(text)).bitwiseAND(F.lit(ODD_FROM - 1)) + F.lit(ODD_FROM)
     keyed = met.withColumn(name, F.when(F.col(f"{mark}_row"), hashed).otherwise(F.col(key).cast("long")))
     back = store(keyed.where(F.col(f"{mark}_row")).select(name, key).distinct(), "odd-rows")
     return keyed.drop(mark, f"{mark}_row"), odd, back
 
 
 def one_row_each(keyed: DataFrame, name: str, odd: DataFrame | None) -> DataFrame:
-    """keyed with one row for each value of `name`; only negative ones, of odd keys, can have more."""
+    """keyed with one row for each value of `name`; only those of odd keys can have more."""
     if odd is None:
         return keyed
-    return keyed.where(F.col(name) >= 0).unionByName(keyed.where(F.col(name) < 0).dropDuplicates([name]))
+    return keyed.where(F.col(name) < ODD_FROM).unionByName(keyed.where(F.col(name) >= ODD_FROM).dropDuplicates([name]))
 
 
 def chunk_of(n_rows: int, rows_per_chunk: int = 1500, most: int = 65_536) -> int:

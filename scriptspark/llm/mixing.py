@@ -1,14 +1,22 @@
 """Mixing sources to target weights.
 
 Each source is one long row of words: its documents in a pseudorandom order, cut into blocks of
-BLOCK_WORDS. A source's target sets how many blocks it gives; its draws are spread over the output
-shards by a multinomial, which is what drawing each shard's sources one by one gives once the totals
-are fixed. The slots of a source run through a pseudorandom permutation of its block numbers (whole
-passes first, then the start of one more), and slots and blocks meet in an equality join. The last slot
+BLOCK_WORDS. A source's target sets how many blocks it gives. The output is cut into shards of
+SLOTS_PER_SHARD slots (the last may be shorter), and the number of slots of each source is drawn shard by
+shard: a multinomial draw under the condition that every source meets its total (so a multivariate
+hypergeometric one), taken along a binary tree over the shards, so that each task draws its own shards and
+no table of all of them is made. Inside a shard a permutation spreads the sources over its slots. The
+draws of a source run through a pseudorandom permutation of its block numbers (whole
+passes first, then the start of one more), and slots and blocks meet in an equality join. The last draw
 of a source takes only the words that its target still lacks, so totals meet targets to a word.
 
-All draws follow from the seed and the source's name: reruns agree. A null source is a source of its own, sorted
-last; null or wordless texts have size 0 and are never drawn; repeated rows are documents of their own.
+Sources up to SOURCES_HELD go to each task as one small array, after a count. Beyond that many, one permutation of all slots
+gives every draw its place: the same law, without a table.
+
+All draws follow from the seed and the source's rank: reruns agree. Ties: documents alike in key and size are alike to
+the order. A null source is a source of its own, sorted last; null or wordless texts have size 0 and are never drawn; repeated
+rows are documents of their own; long texts are drawn block by block. An empty table gives an empty mix. Other columns play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, chunk_of, running_total, store
+from .common import SPACES, broadcast_if_small, chunk_of, fresh_name, running_total, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 _WORD_AND_SPACE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 BLOCK_WORDS, SLOTS_PER_SHARD, SEED = 256, 4096, 42
+#: A task draws 2**TASK_LEVEL shards. Sources held by every task, at most.
+TASK_LEVEL, SOURCES_HELD = 3, 20_000
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -97,80 +107,138 @@ def _seed(rank: int, passes: int) -> int:
     return zlib.crc32(f"{SEED}:{rank}:{passes}".encode())
 
 
-def shard_counts(sources: DataFrame) -> DataFrame:
-    """(rank, shard, first, n, ...): how many slots of each source each output shard holds, and from which on."""
+def _taken_of(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `take` slots, drawn from counts[i] slots of each source i, fall to each: multivariate hypergeometric.
+
+    Where a number is beyond what the generator draws (1e9), a normal draw of the same mean and spread stands in.
+    """
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for i in np.flatnonzero(counts).tolist():
+        n = int(counts[i])
+        if not take:
+            break
+        if rest < 10**9:
+            got = int(rng.hypergeometric(n, rest - n, take))
+        else:
+            spread = np.sqrt(take * (n / rest) * (1 - n / rest) * (rest - take) / max(1, rest - 1))
+            got = int(min(n, take, max(0, take - (rest - n), round(rng.normal(take * (n / rest), spread)))))
+        out[i], rest, take = got, rest - n, take - got
+    return out
+
+
+def shard_counts(counts: np.ndarray, shard: int, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(first, n) of an output shard: slots of each source in the shards before it and in itself.
+
+    From the root down, a node's slots are dealt to its halves; each draw has its node's own seed, so all tasks
+    see the same tree.
+    """
+    top = (-(-int(counts.sum()) // per_shard) - 1).bit_length()
+    first, own, at = np.zeros_like(counts), counts, 0
+    for depth in range(top, 0, -1):
+        left = _taken_of(own, min(per_shard << depth - 1, int(own.sum())), np.random.default_rng([seed, depth, at]))
+        at *= 2
+        if shard >> depth - 1 & 1:
+            first, own, at = first + left, own - left, at + 1
+        else:
+            own = left
+    return first, own
+
+
+_SLOTS = "rank long, block long, pass long, shard long, slot long, words long"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                if not r.source_size:
-                    continue
-                blocks, passes, more, cut = _plan(r.rank, r.source_size, round(r.target))
-                slots = passes * blocks + more
-                counts = np.random.default_rng([SEED, r.rank]).multinomial(slots, np.full(r.shards, 1 / r.shards))
-                first = np.cumsum(counts) - counts
-                for a in range(0, r.shards, 1 << 16):
-                    b = slice(a, a + (1 << 16))
-                    yield pd.DataFrame({"rank": r.rank, "shard": np.arange(r.shards)[b], "first": first[b], "n": counts[b], "blocks": blocks, "slots": slots, "cut": cut})
 
-    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    sized = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(total / (BLOCK_WORDS * SLOTS_PER_SHARD))).cast("int"))
-    return sized.select("rank", "source_size", "target", "shards").mapInPandas(run, "rank long, shard long, first long, n long, blocks long, slots long, cut long")
+def _drawn(rank: int, plan: tuple[int, int, int], draw: np.ndarray, shard: np.ndarray, slot: np.ndarray) -> pd.DataFrame:
+    """The draws of a source as slots: which block each takes, words: how many of it."""
+    blocks, slots, cut = plan
+    at, number, block = draw % blocks, draw // blocks, np.empty_like(draw)
+    for p in np.unique(number).tolist():
+        block[number == p] = _permuted(at[number == p], blocks, _seed(rank, p))
+    words = np.where((draw == slots - 1) & (cut > 0), cut, BLOCK_WORDS)
+    return pd.DataFrame({"rank": rank, "block": block, "pass": number, "shard": shard, "slot": slot, "words": words})
 
 
-def slots(counts: DataFrame) -> DataFrame:
-    """(rank, block, pass, shard, slot, words): which block fills each slot; words: how many of it, null for all."""
+def slots(goals: DataFrame, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED) -> DataFrame:
+    """(rank, block, pass, shard, slot, words): which block fills each slot, and how many words of it."""
+    spark = goals.sparkSession
+
+    def plans(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [(r.rank, *_plan(r.rank, r.source_size, round(r.target))) for r in frame.itertuples() if r.source_size]
+            yield pd.DataFrame([(rank, blocks, passes * blocks + more, cut) for rank, blocks, passes, more, cut in made], columns=["rank", "blocks", "slots", "cut"])
+
+    planned = store(goals.select("rank", "source_size", "target").mapInPandas(plans, "rank long, blocks long, slots long, cut long"), "plans")
+    if planned.count() > SOURCES_HELD:
+        return _slots_by_permutation(planned, per_shard)
+    held = [tuple(r) for r in planned.orderBy("rank").collect()]
+    counts = np.array([r[2] for r in held], np.int64)
+    n_shards = -(-int(counts.sum()) // per_shard)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number in frame["id"].tolist():
+                for shard in range(number << TASK_LEVEL, min(n_shards, number + 1 << TASK_LEVEL)):
+                    first, n = shard_counts(counts, shard, per_shard, seed)
+                    spots = _permuted(np.arange(int(n.sum())), int(n.sum()), _seed(shard, -1))
+                    for i in np.flatnonzero(n).tolist():
+                        begin = int(n[:i].sum())
+                        draw = np.arange(first[i], first[i] + n[i])
+                        yield _drawn(held[i][0], held[i][1:], draw, np.full(len(draw), shard), spots[begin : begin + len(draw)])
+
+    groups = -(-n_shards >> TASK_LEVEL)
+    return spark.range(0, groups, 1, max(1, min(groups, 4096))).mapInPandas(run, _SLOTS)
+
+
+def _slots_by_permutation(planned: DataFrame, per_shard: int) -> DataFrame:
+    """slots() for any number of sources: all draws, source after source, go through one permutation of all slots."""
+    chunk = per_shard << TASK_LEVEL
+    total = planned.agg(F.sum("slots")).first()[0]
+    begun = running_total(planned, [], "slots", ["rank"], chunk_of(planned.count()), "begin")
+    parts = begun.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(slots - 1) div {chunk}"))).alias("part"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                for a in range(r.first, r.first + r.n, 1 << 16):
-                    slot = np.arange(a, min(a + (1 << 16), r.first + r.n))
-                    at, number = slot % r.blocks, slot // r.blocks
-                    block = np.empty_like(slot)
-                    for p in np.unique(number):
-                        block[number == p] = _permuted(at[number == p], r.blocks, _seed(r.rank, int(p)))
-                    words = pd.array(np.full(len(slot), BLOCK_WORDS), "Int64")
-                    if r.cut and r.slots - 1 in slot:
-                        words[slot == r.slots - 1] = r.cut
-                    yield pd.DataFrame({"rank": r.rank, "block": block, "pass": number, "shard": r.shard, "slot": slot, "words": words})
+                draw = np.arange(r.part * chunk, min(r.slots, (r.part + 1) * chunk))
+                spot = _permuted(r.begin + draw, total, _seed(0, -2))
+                yield _drawn(r.rank, (r.blocks, r.slots, r.cut), draw, spot // per_shard, spot % per_shard)
 
-    return counts.where("n > 0").repartition(F.col("rank"), F.col("shard")).mapInPandas(run, "rank long, block long, pass long, shard long, slot long, words long")
+    return parts.repartition(F.col("rank"), F.col("part")).mapInPandas(run, _SLOTS)
 
 
 def place(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents with size, rank, target and their start in their source; sources), both stored."""
     sized = store(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     goals = store(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    named = broadcast_if_small(goals.withColumnRenamed("source", "__source"))
-    ranked = store(sized.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"), "ranked")
+    named = broadcast_if_small(goals.withColumnRenamed("source", "named"))
+    ranked = store(sized.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named"), "ranked")
     chunks = chunk_of(ranked.count())
     return store(running_total(ranked, ["rank"], "size", ["key", "size"], chunks, "start"), "placed"), goals
 
 
-def draws(placed: DataFrame, goals: DataFrame) -> DataFrame:
-    """(key, start, size, pass, first, last): the words first..last-1 of a document that a slot takes."""
-    drawn = slots(store(shard_counts(goals), "shard-counts"))
+def draws(placed: DataFrame, goals: DataFrame, seed: int = SEED) -> DataFrame:
+    """(key, rank, start, size, pass, shard, slot, first, last): the words first..last-1 of a document that a slot takes."""
     words = F.lit(BLOCK_WORDS)
     blocks = F.sequence(F.expr(f"start div {BLOCK_WORDS}"), F.expr(f"(start + size - 1) div {BLOCK_WORDS}"))
     spread = placed.where("size > 0").select("key", "rank", "start", "size", F.explode(blocks).alias("block"))
     # slots grow with the words, and Spark can't tell the size of what a Python function returns: never broadcast them
-    met = spread.join(drawn.hint("merge"), ["rank", "block"])
+    met = spread.join(slots(goals, seed=seed).hint("merge"), ["rank", "block"])
     begin = F.col("block") * words
     first = F.greatest(F.col("start"), begin) - F.col("start")
     last = F.least(F.col("start") + F.col("size"), begin + F.col("words")) - F.col("start")
     return met.select("key", "rank", "start", "size", "pass", "shard", "slot", first.alias("first"), last.alias("last")).where("last > first")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """One row per document: key, size, source_size, target, taken."""
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
+    """One row per document: key, size, source_size, target, taken, and shard and slot where its first words stand (null: none)."""
     placed, goals = place(docs, key, source, text)
     # the place where a document starts tells it apart, even where keys are null or repeated
     on = ["rank", "start"]
-    took = draws(placed, goals).groupBy(*on).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    took = draws(placed, goals, seed).groupBy(*on).agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min(F.col("shard") * SLOTS_PER_SHARD + F.col("slot")).alias("spot"))
     # a wordless document has no place of its own in the row of words, so it takes no part in the join
-    full = placed.where("size > 0").join(took, on, "left").unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return full.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    none = F.lit(None).cast("long")
+    full = placed.where("size > 0").join(took, on, "left").unionByName(placed.where("size = 0").withColumns({"taken": none, "spot": none}))
+    shard, slot = F.expr(f"spot div {SLOTS_PER_SHARD}"), F.expr(f"spot % {SLOTS_PER_SHARD}")
+    return full.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), shard.alias("shard"), slot.alias("slot"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -178,39 +246,48 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: for each pass, the words of a document that it takes, in order, as one row.
+    """The mix as documents, a shard's together and in the order of its slots: for each pass, the words of a document that it takes, as one row.
 
-    A document that a pass takes whole keeps its text as it is; otherwise its pieces, white space
-    included, are joined, with a line feed where words between them were left out. Wordless documents have nothing to give.
+    A document stands where its first words of the pass stand. One that a pass takes whole keeps its text as it is; otherwise its
+    pieces, white space included, are joined, with a line feed where words between them were left out. Wordless documents have nothing to give.
     """
-    keyed = docs.withColumn("__row", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64(*docs.columns).alias("h")))
-    placed, goals = place(keyed, "__row")
+    row, taken, spot = (fresh_name(docs, n) for n in ("row", "taken", "spot"))
+    keyed = docs.withColumn(row, F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64(*docs.columns).alias("h")))
+    placed, goals = place(keyed, row)
     piece = F.struct("first", "last")
-    took = draws(placed, goals).groupBy("key", "rank", "start", "size", "pass").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(F.col("last") - F.col("first")).alias("taken"))
-    once = keyed.dropDuplicates(["__row"])  # rows alike in all columns share a key: the text is the same
-    own = took.select(F.col("key").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("pieces").alias("__pieces"))
-    return _cut(once.join(own, "__row"), docs)
-
-
-def _cut(taken: DataFrame, docs: DataFrame) -> DataFrame:
+    took = draws(placed, goals).groupBy("key", "rank", "start", "size", "pass").agg(
+        F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum(F.col("last") - F.col("first")).alias("n"), F.min(F.col("shard") * SLOTS_PER_SHARD + F.col("slot")).alias("at")
+    )
+    own = took.select(F.col("key").alias(row), F.struct("size", "n", "pieces").alias(taken), F.col("at").alias(spot))
+    # rows alike in all columns share a key: the text is the same
+    repeated = store(keyed.groupBy(row).agg(F.count("*").alias("n")).where("n > 1").select(row), "repeated-rows")
+    if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated)
+        keyed = keyed.join(repeated, row, "left_anti").unionByName(keyed.join(repeated, row, "left_semi").dropDuplicates([row]))
+    return _cut(keyed.join(own, row).repartition(F.expr(f"`{spot}` div {SLOTS_PER_SHARD}")).sortWithinPartitions(spot), docs, taken)
+
+
+def _cut(mixed: DataFrame, docs: DataFrame, taken: str) -> DataFrame:
     """The columns of docs, text cut to the pieces taken."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, size, n, pieces in zip(*(batch.column(c).to_pylist() for c in ("text", "__size", "__taken", "__pieces")), strict=True):
-                if n < size:
-                    words = _WORD_AND_SPACE.findall(text)
-                    runs: list[list[int]] = []
-                    for p in pieces:
-                        if runs and runs[-1][1] == p["first"]:
-                            runs[-1][1] = p["last"]
-                        else:
-                            runs.append([p["first"], p["last"]])
-                    text = "\n".join("".join(words[a:b]).rstrip(SPACES) for a, b in runs)
-                texts.append(text)
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
-
-    return taken.select(*names, "__size", "__taken", "__pieces").mapInArrow(run, docs.schema)
+            for at in range(0, batch.num_rows, 512):
+                small, texts = batch.slice(at, 512), []
+                for text, took in zip(small.column("text"), small.column(taken), strict=True):
+                    text, took = text.as_py(), took.as_py()
+                    if took["n"] < took["size"]:
+                        words = _WORD_AND_SPACE.findall(text)
+                        runs: list[list[int]] = []
+                        for p in took["pieces"]:
+                            if runs and runs[-1][1] == p["first"]:
+                                runs[-1][1] = p["last"]
+                            else:
+                                runs.append([p["first"], p["last"]])
+                        text = "\n".join("".join(words[a:b]).rstrip(SPACES) for a, b in runs)
+                    texts.append(text)
+                new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())}
+                yield pa.RecordBatch.from_arrays([new.get(c, small.column(c)) for c in names], names)
+
+    return mixed.select(*names, taken).mapInArrow(run, docs.schema)

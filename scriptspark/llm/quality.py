@@ -6,7 +6,8 @@ verdict is joined back to its documents: in a strict host a document that fails
 rejected, in a lenient host it passes. Documents that fail the base rules are always rejected, and a
 document that fails no rule is always kept, whatever its host.
 
-Null text counts as empty; a null host is a host of its own. Repeated rows are judged one by one.
+Null text counts as empty; a null host is a host of its own. Repeated rows and ties are judged one by one, each alike.
+Texts of any length are read whole. An empty table gives an empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, store
+from .common import SPACES, broadcast_if_small, fresh_name, own_keys, store
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -70,16 +71,17 @@ def count_text(text: str) -> tuple[int, ...]:
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with the counts of COUNTS."""
     keep = [f for f in docs.schema.fields if f.name != text]
+    whole = fresh_name(docs, "whole")
     names = [x.split()[0] for x in COUNTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [count_text(x.as_py() or "") for x in batch.column("__text")]
+            counts = [count_text(x.as_py() or "") for x in batch.column(whole)]
             columns = [np.array(x, np.int64) for x in zip(*counts, strict=True)] or [np.zeros(0, np.int64)] * len(names)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *map(pa.array, columns)], [*(f.name for f in keep), *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), COUNTS])
-    return docs.select(*(F.col(f"`{f.name}`") for f in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in keep), F.col(f"`{text}`").alias(whole)).mapInArrow(run, schema)
 
 
 def rule_columns(counts: DataFrame) -> DataFrame:
@@ -109,12 +111,12 @@ def host_verdicts(judged: DataFrame, host: str = "host") -> DataFrame:
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, counts, base_failed, soft_failed, host_rate, kept."""
+    """One row per document: key, host, counts, base_failed, soft_failed, host_rate, kept."""
     narrow = docs.select(F.col(key), F.col(host).alias("host"), F.col(text).alias("text"))
     judged = store(rule_columns(base_counts(narrow)), "judged")
-    verdicts = broadcast_if_small(host_verdicts(judged).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "strict"))
-    joined = judged.join(verdicts, F.col("host").eqNullSafe(F.col("__host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.col("strict"))).drop("__host", "strict")
+    verdicts = broadcast_if_small(host_verdicts(judged).select(F.col("host").alias("named"), F.col("rate").alias("host_rate"), "strict"))
+    joined = judged.join(verdicts, F.col("host").eqNullSafe(F.col("named")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~(F.col("soft_failed") & F.col("strict"))).drop("named", "strict")
 
 
 def op8_host_rules(spark, sf_dir: str) -> DataFrame:
@@ -123,7 +125,9 @@ def op8_host_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that op8 keeps. The verdict is joined to the row's own place, so repeated ids are safe."""
-    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    bad = judge(keyed, key="__row").where("not kept").select("__row").distinct()
-    return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
+    """The documents that op8 keeps. Verdicts are joined back by the document's own key and host, so repeated ids are safe."""
+    row = fresh_name(docs, "row")
+    keyed, _, _ = own_keys(docs, "doc_id", "text", row)
+    bad = judge(keyed, key=row).where("not kept").select(F.col(row).alias("bad"), F.col("host").alias("bad_host")).distinct()
+    same = (keyed[row] == bad["bad"]) & keyed["source"].eqNullSafe(bad["bad_host"])
+    return keyed.join(bad, same, "left_anti").select(*docs.columns)

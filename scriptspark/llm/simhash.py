@@ -5,7 +5,9 @@ a half that differs in at most one. Each half is indexed under its 32 variants w
 equal variants are joined and the whole fingerprints verified. Links run between distinct
 fingerprints only: documents with one fingerprint are one node, however many there are.
 
-Null or wordless text has fingerprint zero and is linked like any other.
+Null or wordless text has fingerprint zero and is linked like any other. Ties and repeated rows share a fingerprint
+and so a group; a group is named by its smallest key (null keys count only where a group has no other). Texts of any
+length are read whole. An empty table gives an empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, store
-from .passages import near_copies, whole_texts
+from .common import components, fresh_name, one_row_each, own_keys, store
+from .passages import BANDS, band_keys, near_copies
+from .wordhash import grouped, lists, signed, words_of
 
 SHINGLE, SEED, BITS, MAX_BITS = 3, 42, 64, 2
 _BLOCK = 1 << 15
@@ -55,6 +58,22 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
+def with_signature(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, fp, h, words, bands): fingerprint, hash of the words, their number and MinHash bands, from one reading of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, texts in grouped(batch.column(1)):
+                w = words_of(texts)
+                at, size = w.first[:-1], np.diff(w.first)
+                full = np.flatnonzero(size)
+                fp = np.array([fingerprint(x.decode()) for x in texts], np.uint64)
+                bands = lists(np.cumsum(np.r_[0, (size > 0) * BANDS]), signed(band_keys(w, at[full], size[full]).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), signed(fp), signed(w.runs(at, size)), pa.array(size.astype(np.int32)), bands], ["key", "fp", "h", "words", "bands"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, "key long, fp long, h long, words int, bands array<long>")
+
+
 def variants(fps: DataFrame) -> DataFrame:
     """(fp, variant): 64 rows per fingerprint; the place of the bit taken out and the 31 bits that stay."""
     half = "(case when p < 32 then fp & 4294967295 else shiftrightunsigned(fp, 32) end)"
@@ -71,9 +90,8 @@ def links(fps: DataFrame) -> DataFrame:
     return index.join(other, near).select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp, component): component is the smallest key that the document can reach, itself included."""
-    marked = store(with_fingerprint(docs, key, text, shingle), "fingerprints")
+def near_duplicates(marked: DataFrame, key: str) -> DataFrame:
+    """(key, fp, component) of the stored marked (key, fp): component is the smallest key that it can reach, itself included."""
     nodes = store(marked.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     found = store(components(links(nodes.select("fp")), "a", "b", "fp-components"), "fp-components")
     roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
@@ -84,19 +102,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    found = near_duplicates(store(with_fingerprint(docs), "fingerprints"), "doc_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id (of repeated ids, one row).
+    """One document of each group stays: that with the smallest doc_id (of rows alike in id and text, one).
 
     Fingerprints at two bits link texts that differ in a word or so; copies with similarity 0.8 over
     five-word shingles differ in six and more, beyond what an index of one-bit variants reaches. So the
     documents that stay are held against each other once more by banded MinHash and exact Jaccard.
     """
-    keyed = docs.withColumn("__key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64(*docs.columns).alias("h")))
-    firsts = store(near_duplicates(keyed, "__key").where("__key = component").select("__key").distinct(), "firsts")
-    units = store(whole_texts(keyed, "__key", "text"), "whole-texts").join(firsts.withColumnRenamed("__key", "key"), "key", "left_semi")
-    again = near_copies(store(units, "first-texts"), keyed, "__key", "text").withColumnRenamed("key", "__key")
-    kept = keyed.join(store(firsts.join(again, "__key", "left_anti"), "kept"), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    row = fresh_name(docs, "row")
+    keyed, odd, _ = own_keys(docs, "doc_id", "text", row)
+    signed_ = store(with_signature(keyed, row, "text"), "signatures")
+    firsts = store(near_duplicates(signed_.select("key", "fp"), "key").where("key = component").select("key").distinct(), "firsts")
+    units = store(signed_.where("words > 0").select("key", "h", "words", "bands").join(firsts, "key", "left_semi"), "first-texts")
+    again = near_copies(units, keyed, row, "text")
+    kept = store(firsts.join(again, "key", "left_anti").withColumnRenamed("key", row), "kept")
+    return one_row_each(keyed.join(kept, row, "left_semi"), row, odd).select(*docs.columns)

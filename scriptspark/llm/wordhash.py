@@ -52,9 +52,11 @@ def _hashed(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
             a, b = start[at:upto] - begin, stop[at:upto] - begin
             out[at:upto] = (total[b] - total[a]) * _down[a]
         else:  # one word longer than a group: its pieces, each raised to its place
+            whole = 0
             for a in range(begin, end, GROUP_BYTES):
                 part = _lower[raw[a : min(end, a + GROUP_BYTES)]]
-                out[at] += (part * _up[: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(_BASE, a - begin, 1 << 64))
+                whole += int((part * _up[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, a - begin, 1 << 64)
+            out[at] = whole % (1 << 64)
         at = upto
     return mixed(out)
 
