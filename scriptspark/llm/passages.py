@@ -12,11 +12,10 @@ run that passages around it can cover. Where an earlier document has the same co
 removed; of anchors that several contexts share, one occurrence of each context is read again and all windows of
 PASSAGE_WORDS around it are compared. So each run found lies within one document that keeps it.
 
-Equal paragraphs are one node. In a bucket every paragraph is held against its least and its greatest
-hash; when the components of these links are known, only pairs that stand in different components are left,
-and all of these are verified. Buckets of up to SMALL_BUCKET take them directly; paragraphs of larger ones meet
-by their rarest shingles: at similarity 0.8 two sets share one of the first fifth of each (prefix filter), so
-no pair is lost.
+Equal paragraphs are one node. In a bucket every paragraph is held against a leader (in buckets of over SMALL_BUCKET
+against a few more, turn by turn); when the components of these links are known, only pairs that stand in different components
+are left, and all of these are verified. Smaller buckets take them directly; paragraphs of larger ones meet
+by their rarest shingles (prefix filter): sets of similarity 0.8 share one early in both orders, so no pair is lost.
 
 Null and wordless text has nothing to remove. Ties: the first occurrence is that with the smallest key. Rows alike
 in key and text count as one document; null keys, and keys that several texts share, are told apart by the
@@ -46,6 +45,8 @@ ANCHOR_WORDS = 16
 #: How far a passage can reach beyond an anchor that it holds.
 REACH = PASSAGE_WORDS - ANCHOR_WORDS
 SMALL_BUCKET = 24
+#: In larger buckets: leaders of each turn, and turns at most.
+LEADERS, LEADER_TURNS = 4, 2
 
 _rng = np.random.default_rng(42)
 _SCALE = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,10 +189,15 @@ def merged(spans: DataFrame) -> DataFrame:
 
 
 def in_buckets(units: DataFrame) -> DataFrame:
-    """(h, band, low, high), stored: the paragraphs that share a band with another, and the ends of its hashes."""
+    """(h, band, leader), stored: the paragraphs that share a band with another, and one of them.
+
+    The leader is the least under an order of the band's own (hashes turned by a mask), so a paragraph meets others in each bucket.
+    """
     keyed = units.select("h", F.explode("bands").alias("band"))
-    crowded = keyed.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high")
-    return store(keyed.join(crowded, "band").distinct(), "buckets")
+    turned = F.col("h").bitwiseXOR(F.xxhash64("band"))
+    crowded = keyed.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low < high")
+    leaders = crowded.select("band", F.col("low").bitwiseXOR(F.xxhash64("band")).alias("leader"))
+    return store(keyed.join(leaders, "band").distinct(), "buckets")
 
 
 def set_spots(units: DataFrame, met: DataFrame) -> DataFrame:
@@ -208,19 +214,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
     """(h, component): paragraphs that near-duplicates link. sets (h, set) is stored."""
-    led = met.select("h", F.explode(F.array("low", "high")).alias("leader")).where("h <> leader")
-    pairs = store(led.select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b")).distinct(), "leader-pairs")
+    pairs = store(met.where("h <> leader").select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b")).distinct(), "leader-pairs")
     links = store(_verified(pairs, sets), "leader-links")
-    found = store(components(links, "a", "b"), "leader-components").withColumnRenamed("node", "h")
-    placed = store(met.select("h", "band").join(found, "h", "left").withColumn("component", F.coalesce("component", "h")), "placed")
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("band", "n")
-    open_ = store(placed.join(split, "band"), "open-buckets")
+    found, open_ = _open_buckets(met, links)
+    # In large buckets more leaders link most of a family, so that few pairs are left across components.
+    for turn in range(LEADER_TURNS):
+        more = store(_leader_pairs(open_.where(F.col("n") > SMALL_BUCKET), turn).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        new = store(_verified(more, sets), "more-links")
+        if new.isEmpty():
+            break
+        pairs, links = pairs.unionByName(more), links.unionByName(new)
+        found, open_ = _open_buckets(met, links)
     if open_.isEmpty():
         return found
     rest = _small_buckets(open_, sets).unionByName(_large_buckets(open_, sets)).distinct()
-    rest = store(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    more = store(_verified(rest, sets), "rest-links")
-    return found if more.isEmpty() else store(components(links.unionByName(more), "a", "b"), "all-components").withColumnRenamed("node", "h")
+    rest = store(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets), "rest-links")
+    return found if rest.isEmpty() else store(components(links.unionByName(rest), "a", "b"), "all-components").withColumnRenamed("node", "h")
+
+
+def _open_buckets(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((h, component); (h, band, component, n) of the buckets with several components, both stored)."""
+    found = store(components(links, "a", "b"), "leader-components").withColumnRenamed("node", "h")
+    placed = store(met.select("h", "band").join(found, "h", "left").withColumn("component", F.coalesce("component", "h")), "placed")
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("band", "n")
+    return found, store(placed.join(split, "band"), "open-buckets")
+
+
+def _leader_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each paragraph with LEADERS of its bucket, taken by orders of this turn's own, that stand in another component."""
+    order = lambda i: F.struct(F.col("h").bitwiseXOR(F.xxhash64("band", F.lit(turn), F.lit(i))), "h", "component")
+    leaders = open_.groupBy("band").agg(F.array(*(F.min(order(i)) for i in range(LEADERS))).alias("leaders"))
+    met = open_.join(leaders, "band").select("h", "component", F.explode("leaders").alias("leader")).where("component <> leader.component")
+    return met.select(F.least("h", "leader.h").alias("a"), F.greatest("h", "leader.h").alias("b")).distinct()
 
 
 def _small_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,15 +270,25 @@ def _large_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
     ranked = met.groupBy("h", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
     ranked = ranked.withColumn("alone", F.col("size") - F.size("ranked"))
     taken = F.greatest(F.lit(0), F.expr("size - (4 * size + 4) div 5 + 1 - alone").cast("int"))
-    prefix = store(ranked.select("h", "component", "size", "alone", F.posexplode(F.slice("ranked", F.lit(1), taken)).alias("pos", "at")).select("h", "component", "size", F.col("at.token").alias("token"), (F.col("size") - F.col("alone") - F.col("pos") - 1).alias("after")), "prefixes")
-    other = prefix.select("token", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("after").alias("after_b"))
-    fits = "component < component_b and 5 * size >= 4 * size_b and 5 * size_b >= 4 * size"
-    apart = prefix.withColumnRenamed("h", "a").join(other, "token").where(fits)
+    ranked = ranked.select("h", "component", "size", "alone", F.posexplode(F.slice("ranked", F.lit(1), taken)).alias("pos", "at"))
+    after = F.col("size") - F.col("alone") - F.col("pos") - 1
+    apart = _meeting(store(ranked.select("h", "component", "size", F.col("at.token").alias("token"), after.alias("after")), "prefixes"))
     # Shared shingles: those met so far, and at most what comes after the last of them.
     counted = apart.groupBy("a", "b", "size", "size_b").agg((F.count("*") + F.least(F.min("after"), F.min("after_b"))).alias("most"))
     return counted.where("9 * most >= 4 * (size + size_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _meeting(prefix: DataFrame) -> DataFrame:
+    """Pairs across components by a shared token of their prefixes (after: how many tokens follow it).
+
+    Two sets of sizes x and y have similarity 0.8 if they share 4/9 of x + y. So the first token that they share
+    is followed, with itself counted, by that many in either set; where the sizes are alike, that leaves a ninth of each.
+    """
+    other = prefix.select("token", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("after").alias("after_b"))
+    fits = "component < component_b and 9 * (least(after, after_b) + 1) >= 4 * (size + size_b)"
+    return prefix.withColumnRenamed("h", "a").join(other, "token").where(fits)
+
+
 def near_copies(units: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key): of the whole texts in units (key, h, words, bands), those that similarity 0.8 links to one with a smaller key."""
     units = units.withColumn("at", F.lit(0))
