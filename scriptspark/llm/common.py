@@ -19,6 +19,7 @@ SPACES = " \t\n\r\x0b\x0c"
 ODD_FROM = 2**62
 
 _roots: dict[str, str] = {}
+ROWS_PER_FILE = 20_000
 #: Owner and path of each stored table.
 _paths: list[tuple[str | None, str]] = []
 _owner: ContextVar[str | None] = ContextVar("owner", default=None)
@@ -69,11 +70,20 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession, owner: str | None = None) -> None:
     """Remove the tables that were stored for the owner (None: outside of owned()). Call it once their results are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for found in [x for x in _paths if x[0] == owner]:
         _paths.remove(found)
-        path = jvm.org.apache.hadoop.fs.Path(found[1])
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, found[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove(stored: DataFrame) -> None:
+    """Delete the files of a table from store() that nothing reads any more."""
+    for path in {x.rpartition("/")[0] for x in stored.inputFiles()}:
+        _delete(stored.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:
@@ -144,19 +154,23 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     """(node, component): the smallest node that each node of the undirected edges can reach.
 
     Alternates the large-star and small-star steps until the edges stand still; every round is a stored
-    table. Nodes without an edge to another node don't appear. Edges to oneself are ignored.
+    table, of as many files as its rows ask for, and replaces the one before (ROWS_PER_FILE at most go to one task). Nodes without an edge to another node don't
+    appear. Edges to oneself are ignored.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = store(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = _fingerprint(e)
     while mark[0]:
+        # so few rows are one task's work: nothing is shuffled then
+        e = e.coalesce(1) if mark[0] <= ROWS_PER_FILE else e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = store(small, name)
+        before, e = e, store(small.coalesce(1 + mark[0] // ROWS_PER_FILE), name)
         last, mark = mark, _fingerprint(e)
+        _remove(before)
         if last == mark:
             break
     roots = e.select(F.col("v").alias("node")).distinct()

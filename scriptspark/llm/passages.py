@@ -46,7 +46,7 @@ ANCHOR_WORDS = 16
 REACH = PASSAGE_WORDS - ANCHOR_WORDS
 SMALL_BUCKET = 24
 #: In larger buckets: leaders of each turn, and turns at most.
-LEADERS, LEADER_TURNS = 4, 2
+LEADERS, LEADER_TURNS = 6, 1
 
 _rng = np.random.default_rng(42)
 _SCALE = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
