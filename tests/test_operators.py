@@ -42,13 +42,13 @@ def test_heading_like(spark, text, heading):
     assert one(spark, S.heading_like(F.col("t")), t=text) is heading
 
 
-@pytest.mark.parametrize("span, left", [("Reeves said. He said it without...", "He said it without..."), ("said Priya.", ""), ("The room was still.", "The room was still.")])
+@pytest.mark.parametrize("span, left", [("Dorsey said. The kettle had gone cold...", "The kettle had gone cold..."), ("said Marlow.", ""), ("Rain ran down the glass.", "Rain ran down the glass.")])
 def test_strip_attribution(spark, span, left):
     assert one(spark, S.strip_attribution(F.col("t")), t=span) == left
 
 
 def test_strings(spark):
-    assert one(spark, S.join_speech(F.col("t")), t=["They're not going to announce anything,", "They never do when it's this bad."]) == "They're not going to announce anything. They never do when it's this bad."
+    assert one(spark, S.join_speech(F.col("t")), t=["We can leave by the back stairs,", "Nobody watches them at noon."]) == "We can leave by the back stairs. Nobody watches them at noon."
     assert one(spark, S.strip_emphasis(F.col("t")), t="**Guard:**") == "Guard:"
     assert [one(spark, S.fmt_duration(F.col("n")), n=n) for n in (59, 3600)] == ["00:59", "01:00:00"]
     assert [one(spark, S.literal_voice(F.col("t")), t=t) for t in ("ELENA", "female alto, warm")] == [False, True]
