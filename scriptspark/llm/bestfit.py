@@ -98,6 +98,8 @@ def best_fit_pack(docs: DataFrame, key: str = "doc_id", text: str = "text", toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, base, group, held = coder(path), TaskContext.get().partitionId() << 40, [], 0
+        if own.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit into 16 bits")
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(own.ids(x.as_py() or ""), np.uint32(END_ID)).astype("<u2")

@@ -142,7 +142,7 @@ def write_index(places: DataFrame, folder: str, files: int) -> list[dict]:
 
             for batch in batches:
                 for surt_key, page_id, archive, start, size in zip(*(batch.column(c).to_pylist() for c in ("surt", "page_id", "archive", "at", "size")), strict=True):
-                    lines.append((surt_key, page_id if page_id is not None else -1, archive, start, size))
+                    lines.append((surt_key, -1 if page_id is None else page_id, archive, start, size, page_id is None))
                     if len(lines) == BLOCK_LINES:
                         flush()
             if lines:
@@ -186,9 +186,9 @@ class Index:
             self.block = (spot, [(x[0].encode(), x[1]) for x in found], found)
         return self.block[1:]
 
-    def find(self, surt_key: str, page_id: int) -> list[tuple[str, int, int]]:
-        """(archive, at, size) of each capture with this key and id."""
-        key, out = (surt_key.encode(), page_id), []
+    def find(self, surt_key: str, page_id: int | None) -> list[tuple[str, int, int]]:
+        """(archive, at, size) of each capture with this key and id. A null id stands beside -1 in the order, told apart by its mark."""
+        key, out = (surt_key.encode(), -1 if page_id is None else page_id), []
         number = max(0, bisect.bisect_left(self.first, key) - 1)
         while number < len(self.files) and self.first[number] <= key:
             first, entries = self._directory(number)
@@ -197,7 +197,8 @@ class Index:
                 keys, lines = self._lines(number, entries[block])
                 at = bisect.bisect_left(keys, key)
                 while at < len(keys) and keys[at] == key:
-                    out.append(tuple(lines[at][2:]))
+                    if lines[at][5] == (page_id is None):
+                        out.append(tuple(lines[at][2:5]))
                     at += 1
                 block += 1
             number += 1
@@ -210,7 +211,7 @@ def lookup(keys: DataFrame, folder: str, files: list[dict], tasks: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, files)
         for batch in batches:
-            rows = [(p, s, *hit) for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in index.find(s, p if p is not None else -1)]
+            rows = [(p, s, *hit) for p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in index.find(s, p)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["page_id", "surt", "archive", "at", "size"])
 
