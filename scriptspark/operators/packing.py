@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptspark.functions import strings as S
 
@@ -15,7 +20,6 @@ ABBREVIATIONS = "Dr Fr Mr Mrs Ms St Prof Rev Lt Col Gen Sgt Cpl vs etc viz cf al
 LEAST_WORDS = 5
 
 _PIECE = r"(?s).*?[.!?](?:\s+|\z)|.+\z"
-_UNIT = "struct<len:int,slack:int,glue:int,force:boolean>"
 
 
 def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
@@ -52,51 +56,37 @@ def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
     return F.filter(done, lambda x: x != "")
 
 
-def pack_ids(units: Column, most: int) -> Column:
-    """Pack number of each unit: greedy, a unit joins the pack while pack + unit + slack <= most.
-
-    Folds over lengths only; `glue` bytes join two units, `force` begins a pack.
-    """
-    zero = F.struct(F.lit(0).alias("cur"), F.lit(-1).alias("id"), F.array().cast("array<int>").alias("ids"))
-
-    def step(acc: Column, u: Column) -> Column:
-        new = (acc["id"] < 0) | u["force"] | (acc["cur"] + u["len"] + u["slack"] > most)
-        id_ = F.when(new, acc["id"] + 1).otherwise(acc["id"])
-        return F.struct(F.when(new, u["len"]).otherwise(acc["cur"] + u["glue"] + u["len"]).alias("cur"), id_.alias("id"), F.concat(acc["ids"], F.array(id_)).alias("ids"))
-
-    return F.aggregate(units, zero, step, lambda a: a["ids"])
-
-
-def with_pack(units: DataFrame, keys: list[str], order: list[str], most: int, long_keys: bool = False) -> DataFrame:
-    """units (keys, order, len, slack, glue, force) with column pack.
+def with_pack(units: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """units (keys, order, len, slack, glue, force) with column pack: greedy, a unit joins while pack + unit + slack <= most.
 
-    The fold sees lengths, never text, and a key's rows are gathered once. long_keys: fold in a grouped
-    Python function over lengths alone, which doesn't copy its state at each step, and join the packs
-    back; for keys of more than some ten thousand units.
+    `glue` bytes join two units, `force` begins a pack, a null length counts as 0; keys and order together name a unit.
+    What a unit's pack is depends on all before it in its key, so the fold runs in order, but over lengths alone:
+    sorted by Spark, read batch by batch, with two numbers kept. Texts are joined to their packs afterwards.
     """
-    if long_keys:
-        names = [*keys, *order]
-        kinds = {f.name: f.dataType.simpleString() for f in units.schema.fields}
-
-        def fold(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(order)
-            cur, pack, packs = 0, -1, []
-            for n, slack, glue, force in zip(group["len"], group["slack"], group["glue"], group["force"], strict=True):
-                if pack < 0 or force or cur + n + slack > most:
-                    pack, cur = pack + 1, n
+    names = [*keys, *order]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cur, pack = None, 0, -1
+        for batch in batches:
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            sizes = zip(of, *(batch.column(c).to_pylist() for c in ("len", "slack", "glue", "force")), strict=True)
+            packs = []
+            for k, n, slack, glue, force in sizes:
+                n = n or 0
+                if k != key:
+                    key, cur, pack = k, n, 0
+                elif force or cur + n + slack > most:
+                    cur, pack = n, pack + 1
                 else:
                     cur += glue + n
                 packs.append(pack)
-            return group[names].assign(pack=packs)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packs, pa.int32())], names=[*names, "pack"])
 
-        packed = units.select(*names, "len", "slack", "glue", "force").groupBy(*keys).applyInPandas(fold, ", ".join(f"{n} {kinds[n]}" for n in names) + ", pack int")
-        return units.join(packed, names)
-    rest = [c for c in units.columns if c not in (*keys, *order)]
-    row = F.struct(*order, F.struct("len", "slack", "glue", "force").cast(_UNIT).alias("u"), *(F.col(c) for c in rest))
-    rows = units.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    ids = rows.withColumn("ids", pack_ids(F.transform("rows", lambda r: r["u"]), most))
-    flat = ids.select(*keys, F.explode(F.arrays_zip("rows", "ids")).alias("x"))
-    return flat.select(*keys, *(F.col(f"x.rows.{c}").alias(c) for c in (*order, *rest)), F.col("x.ids").alias("pack"))
+    lengths = units.select(*names, "len", "slack", "glue", "force").repartition(*keys).sortWithinPartitions(*names)
+    packed = lengths.mapInArrow(fold, T.StructType([*(units.schema[c] for c in names), T.StructField("pack", T.IntegerType())]))
+    packed = packed.select(*(F.col(c).alias(f"__{c}") for c in names), "pack")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names))
+    return units.join(packed, same).drop(*(f"__{c}" for c in names))
 
 
 def _paragraph_units(paragraphs: DataFrame, keys: list[str], most: int, sentences, para_slack: int, para_glue: int) -> DataFrame:
@@ -109,10 +99,10 @@ def _paragraph_units(paragraphs: DataFrame, keys: list[str], most: int, sentence
     )
 
 
-def pack_text_chunks(paragraphs: DataFrame, most: int = CHUNK_BYTES, long_books: bool = False) -> DataFrame:
+def pack_text_chunks(paragraphs: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
     """(book_id, chunk_idx, text): paragraphs joined by blank lines; over-long ones by sentences."""
     units = _paragraph_units(paragraphs.where(F.trim("text") != ""), ["book_id"], most, S.sentences_simple, 2, 2)
-    packed = with_pack(units, ["book_id"], ["para_idx", "sent"], most, long_books)
+    packed = with_pack(units, ["book_id"], ["para_idx", "sent"], most)
     glue = F.when(F.col("glue") == 2, "\n\n").otherwise(" ")
     part = F.struct("para_idx", "sent", glue.alias("glue"), "text")
     parts = packed.groupBy("book_id", F.col("pack").cast("long").alias("chunk_idx")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
@@ -120,11 +110,11 @@ def pack_text_chunks(paragraphs: DataFrame, most: int = CHUNK_BYTES, long_books:
     return parts.select("book_id", "chunk_idx", joined.alias("text"))
 
 
-def pack_segments(paragraphs: DataFrame, keys: list[str], most: int = SEGMENT_BYTES, long_books: bool = False) -> DataFrame:
+def pack_segments(paragraphs: DataFrame, keys: list[str], most: int = SEGMENT_BYTES) -> DataFrame:
     """(keys, seg_idx, text): paragraphs joined by spaces under the cap; over-long ones by guarded sentences."""
     lines = paragraphs.withColumn("text", S.soft_wrap_join(F.col("text"))).where("text <> ''")
     units = _paragraph_units(lines, keys, most, sentences_guarded, 2, 1)
-    packed = with_pack(units, keys, ["para_idx", "sent"], most, long_books)
+    packed = with_pack(units, keys, ["para_idx", "sent"], most)
     parts = packed.groupBy(*keys, F.col("pack").cast("long").alias("seg_idx")).agg(F.array_sort(F.collect_list(F.struct("para_idx", "sent", "text"))).alias("parts"))
     return parts.select(*keys, "seg_idx", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
 

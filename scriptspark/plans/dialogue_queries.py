@@ -173,10 +173,10 @@ def strip_attribution(spark, sf_dir):
     return spans.where("not is_speech").select("book_id", "chunk_idx", "para", "pos", S.strip_attribution(F.col("text")).alias("text"))
 
 
-@query(with_duck(f""", t0 as (select conv_id, list(concat(substring(text, 1, 20), case when turn % 2 = 0 then ',' else '.' end) order by turn) as ts from conversations group by conv_id)
+@query(with_duck(f""", t0 as (select conv_id, list(concat(text, case when turn % 2 = 0 then ',' else '.' end) order by turn) as ts from conversations group by conv_id)
  select conv_id, trim(array_to_string(list_transform(ts, lambda x, i: case when i = len(ts) then {_BARE} when ends_with(trim(x), ',') then {_BARE} || '. ' else trim(x) || ' ' end), '')) as speech from t0""", *_FX))
 def join_speech(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.struct("turn", F.concat(F.substring("text", 1, 20), F.when(F.col("turn") % 2 == 0, ",").otherwise(".")).alias("t")).alias("s"))
+    parts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.struct("turn", F.concat("text", F.when(F.col("turn") % 2 == 0, ",").otherwise(".")).alias("t")).alias("s"))
     ordered = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return ordered.select("conv_id", S.join_speech(F.transform("s", lambda s: s["t"])).alias("speech"))
 
@@ -187,9 +187,9 @@ def dialogue_entries(spark, sf_dir):
     return D.dialogue_entries(paras, who)
 
 
-@query(with_duck(" select book_id, cast(entry_idx as bigint) as entry_idx, speaker, substring(text, 1, 8) as text from fx_script qualify row_number() over (partition by book_id, speaker, substring(text, 1, 8) order by entry_idx) = 1", "fx_script"))
+@query(with_duck(" select book_id, cast(entry_idx as bigint) as entry_idx, speaker, text from fx_script qualify row_number() over (partition by book_id, speaker, text order by entry_idx) = 1", "fx_script"))
 def dedupe_entries(spark, sf_dir):
-    return D.dedupe_entries(X.script(spark, sf_dir).select("book_id", "entry_idx", "speaker", F.substring("text", 1, 8).alias("text")))
+    return D.dedupe_entries(X.script(spark, sf_dir).select("book_id", "entry_idx", "speaker", "text"))
 
 
 @query(with_duck(ENTRIES + """, al as (select book_id, chunk_idx, para, part, speaker, text, instruct from d4 union all select book_id, chunk_idx, para, 0, speaker, text, instruct from st),

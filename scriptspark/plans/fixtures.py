@@ -23,11 +23,14 @@ def script(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs: book_id, para_idx, chunk_idx, text; with quoted speech."""
-    name = lambda n: F.element_at(F.array(*map(F.lit, NAMES)), ((F.col("conv_id") + F.col("turn") + n) % 5 + 1).cast("int"))
-    s, nm, nx = F.regexp_replace(F.substring("text", 1, 60), '[.,\n"]', " "), name(0), name(1)
-    pro = F.when(F.col("conv_id") % 2 == 0, "he").otherwise("she")
-    kind = (F.col("conv_id") + 5 * F.col("turn")) % 6
+    """Paragraphs: book_id, para_idx, chunk_idx, text; one for each sentence of a turn, with quoted speech."""
+    parts = F.split(F.regexp_replace("text", '[,"]', " "), r"[.\n]+")
+    pieces = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), "turn", F.posexplode(parts).alias("pos", "s"))
+    pieces = pieces.withColumn("s", F.trim("s")).where("s <> ''")
+    name = lambda n: F.element_at(F.array(*map(F.lit, NAMES)), ((F.col("book_id") + F.col("turn") + F.col("pos") + n) % 5 + 1).cast("int"))
+    s, nm, nx = F.col("s"), name(0), name(1)
+    pro = F.when(F.col("book_id") % 2 == 0, "he").otherwise("she")
+    kind = (F.col("book_id") + 5 * F.col("turn") + F.col("pos")) % 6
     text = (
         F.when(kind == 0, F.concat(F.lit('"'), s, F.lit('," '), nm, F.lit(" said. "), nx, F.lit(" waited.")))
         .when(kind == 1, F.concat(F.lit('"'), s, F.lit('."')))
@@ -36,11 +39,12 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.concat(nm, F.lit(' turned away. "'), s, F.lit('."')))
         .otherwise(F.concat(F.lit('"'), s, F.lit('," '), pro, F.lit(" said.")))
     )
-    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("para_idx"), F.expr("turn div 4").alias("chunk_idx"), text.alias("text"))
+    order = Window.partitionBy("book_id").orderBy("turn", "pos")
+    return pieces.select("book_id", (F.row_number().over(order) - 1).cast("long").alias("para_idx"), F.expr("turn div 4").alias("chunk_idx"), text.alias("text"))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose with two turns to a paragraph, so that names and pronouns meet: book_id, para_idx, chunk_idx, text."""
+    """Prose with two sentences to a paragraph, so that names and pronouns meet: book_id, para_idx, chunk_idx, text."""
     pairs = prose(spark, sf_dir).groupBy("book_id", F.expr("para_idx div 2").alias("pair")).agg(F.min("chunk_idx").alias("chunk_idx"), F.array_sort(F.collect_list(F.struct("para_idx", "text"))).alias("parts"))
     return pairs.select("book_id", F.col("pair").alias("para_idx"), "chunk_idx", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
 
@@ -72,9 +76,13 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book_id, chunk_idx, speaker, n_samples, sample_rate; some are missing."""
-    made = segments(spark, sf_dir).where((F.col("book_id") + F.col("seg_idx")) % 7 != 0)
-    return made.select("book_id", F.col("seg_idx").alias("chunk_idx"), "speaker", F.lit(64).cast("long").alias("n_samples"), "sample_rate")
+    """book_id, chunk_idx, speaker, n_samples, sample_rate; one of each segment."""
+    return segments(spark, sf_dir).select("book_id", F.col("seg_idx").alias("chunk_idx"), "speaker", F.lit(64).cast("long").alias("n_samples"), "sample_rate")
+
+
+def unfinished_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a run that stopped: some are missing."""
+    return outputs(spark, sf_dir).where((F.col("book_id") + F.col("chunk_idx")) % 7 != 0)
 
 
 DUCK = {
@@ -82,13 +90,16 @@ DUCK = {
        case when turn = 0 and pos = 0 then 'CHAPTER' else upper(role) end as speaker, line as text, 'Neutral, even narration.' as instruct
 from (select conv_id as book_id, turn, role, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)),1)-1 as pos from conversations) q
 where trim(line) <> ''""",
-    "fx_prose": """select book_id, turn as para_idx, turn // 4 as chunk_idx,
-  case pmod6 when 0 then concat('"', s, '," ', nm, ' said. ', nx, ' waited.') when 1 then concat('"', s, '."')
+    "fx_prose": """select book_id, row_number() over (partition by book_id order by turn, pos) - 1 as para_idx, turn // 4 as chunk_idx,
+  case kind when 0 then concat('"', s, '," ', nm, ' said. ', nx, ' waited.') when 1 then concat('"', s, '."')
    when 2 then concat('"', s, '," said ', nm, '. "', s, '."') when 3 then concat(s, '.')
    when 4 then concat(nm, ' turned away. "', s, '."') else concat('"', s, '," ', pro, ' said.') end as text
-from (select conv_id as book_id, turn, (conv_id + 5 * turn) % 6 as pmod6,
-        list_extract(['Ann','Marcus','Elena','Boris','Clara'], cast((conv_id+turn)%5+1 as int)) as nm, list_extract(['Ann','Marcus','Elena','Boris','Clara'], cast((conv_id+turn+1)%5+1 as int)) as nx, case when conv_id % 2 = 0 then 'he' else 'she' end as pro,
-        regexp_replace(substring(text, 1, 60), E'[.,\\n"]', ' ','g') as s from conversations) q""",
+from (select book_id, turn, pos, trim(piece) as s, (book_id + 5 * turn + pos) % 6 as kind, case when book_id % 2 = 0 then 'he' else 'she' end as pro,
+        list_extract(['Ann','Marcus','Elena','Boris','Clara'], cast((book_id + turn + pos) % 5 + 1 as int)) as nm,
+        list_extract(['Ann','Marcus','Elena','Boris','Clara'], cast((book_id + turn + pos + 1) % 5 + 1 as int)) as nx
+      from (select conv_id as book_id, turn, unnest(parts) as piece, generate_subscripts(parts, 1) - 1 as pos
+            from (select conv_id, turn, string_split_regex(regexp_replace(text, '[,"]', ' ', 'g'), E'[.\\n]+') as parts from conversations) a) b
+      where trim(piece) <> '') c""",
     "fx_scene": "select book_id, para_idx // 2 as para_idx, min(chunk_idx) as chunk_idx, string_agg(text, ' ' order by para_idx) as text from fx_prose group by book_id, para_idx // 2",
     "fx_md": """select concat(lang, '/', source) as book_id, row_number() over (partition by lang, source order by doc_id, pos) - 1 as line_idx, line
 from (select lang, source, doc_id, unnest(string_split(md, chr(10))) as line, generate_subscripts(string_split(md, chr(10)),1)-1 as pos from (
@@ -99,7 +110,8 @@ from (select lang, source, doc_id, unnest(string_split(md, chr(10))) as line, ge
     "fx_segments": """select cast(label as bigint) as book_id, row_number() over (partition by label order by vec_id) - 1 as seg_idx,
   case when vec_id % 3 = 0 then 'NARRATOR' when vec_id % 3 = 1 then 'ANN' else 'MARCUS' end as speaker, 64 as sample_rate, 1 as channels, embedding as samples from embeddings""",
     "fx_series": "select user_id as book_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, value / 200.0 as x from events",
-    "fx_outputs": "select book_id, seg_idx as chunk_idx, speaker, cast(64 as bigint) as n_samples, 64 as sample_rate from fx_segments where (book_id + seg_idx) % 7 <> 0",
+    "fx_outputs": "select book_id, seg_idx as chunk_idx, speaker, cast(64 as bigint) as n_samples, 64 as sample_rate from fx_segments",
+    "fx_unfinished": "select * from fx_outputs where (book_id + chunk_idx) % 7 <> 0",
 }
 
 

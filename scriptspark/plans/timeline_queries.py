@@ -23,13 +23,15 @@ def query(sql: str | None):
 
 
 def script_chunks(spark, sf_dir):
-    """Script lines as chunks; a third of the books have no heading chunk, of these one in two starts mid-sentence."""
-    lines = X.script(spark, sf_dir)
+    """Script lines as chunks; a third of the books have no heading chunk, and in one in two of these every line ends a sentence."""
     plain = F.col("book_id") % 3 == 1
-    return lines.where(~(plain & (F.col("book_id") % 2 == 0) & (F.octet_length(F.trim("text")) < 80))).select("book_id", F.col("entry_idx").alias("chunk_idx"), F.when(plain & (F.col("speaker") == "CHAPTER"), "USER").otherwise(F.col("speaker")).alias("speaker"), "text")
+    text = F.when(plain & (F.col("book_id") % 2 == 0), F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    speaker = F.when(plain & (F.col("speaker") == "CHAPTER"), "USER").otherwise(F.col("speaker"))
+    return X.script(spark, sf_dir).select("book_id", F.col("entry_idx").alias("chunk_idx"), speaker.alias("speaker"), text.alias("text"))
 
 
-SCRIPT_CHUNKS = ", ck as (select book_id, cast(entry_idx as bigint) as chunk_idx, case when book_id % 3 = 1 and speaker = 'CHAPTER' then 'USER' else speaker end as speaker, text from fx_script where not (book_id % 3 = 1 and book_id % 2 = 0 and strlen(trim(text)) < 80))"
+SCRIPT_CHUNKS = """, ck as (select book_id, cast(entry_idx as bigint) as chunk_idx, case when book_id % 3 = 1 and speaker = 'CHAPTER' then 'USER' else speaker end as speaker,
+ case when book_id % 3 = 1 and book_id % 2 = 0 then concat(text, '.') else text end as text from fx_script)"""
 TAGGED = SCRIPT_CHUNKS + ", tg as (select book_id, row_number() over (partition by book_id order by chunk_idx) - 1 as chapter_no, substring(trim(text), 1, 120) as title, chunk_idx from ck where speaker in ('TITLE','CHAPTER','SECTION'))"
 
 
@@ -116,24 +118,24 @@ def shard_plan(spark, sf_dir):
     return T.shard(X.script(spark, sf_dir).select("book_id", F.col("entry_idx").alias("chunk_idx")), 4)
 
 
-@query(with_duck("select book_id, seg_idx as chunk_idx, speaker from fx_segments s where not exists (select 1 from fx_outputs o where o.book_id = s.book_id and o.chunk_idx = s.seg_idx)", "fx_segments", "fx_outputs"))
+@query(with_duck("select book_id, seg_idx as chunk_idx, speaker from fx_segments s where not exists (select 1 from fx_unfinished o where o.book_id = s.book_id and o.chunk_idx = s.seg_idx)", "fx_segments", "fx_outputs", "fx_unfinished"))
 def pending_chunks(spark, sf_dir):
-    return T.pending(seg_chunks(spark, sf_dir), X.outputs(spark, sf_dir))
+    return T.pending(seg_chunks(spark, sf_dir), X.unfinished_outputs(spark, sf_dir))
 
 
-@query(with_duck("select book_id, chunk_idx, speaker, row_number() over (partition by book_id order by chunk_idx) - 1 as list_pos from fx_outputs", "fx_segments", "fx_outputs"))
+@query(with_duck("select book_id, chunk_idx, speaker, row_number() over (partition by book_id order by chunk_idx) - 1 as list_pos from fx_unfinished", "fx_segments", "fx_outputs", "fx_unfinished"))
 def merge_manifest(spark, sf_dir):
-    return T.collect_outputs(seg_chunks(spark, sf_dir), X.outputs(spark, sf_dir)).select("book_id", "chunk_idx", "speaker", "list_pos")
+    return T.collect_outputs(seg_chunks(spark, sf_dir), X.unfinished_outputs(spark, sf_dir)).select("book_id", "chunk_idx", "speaker", "list_pos")
 
 
 _DURATION = "case when {0} >= 3600 then concat(lpad(cast({0} // 3600 as varchar), 2, '0'), ':', lpad(cast({0} % 3600 // 60 as varchar), 2, '0'), ':', lpad(cast({0} % 60 as varchar), 2, '0')) else concat(lpad(cast({0} // 60 as varchar), 2, '0'), ':', lpad(cast({0} % 60 as varchar), 2, '0')) end"
 
 
-@query(with_duck(f""", a as (select book_id, count(*) as total from fx_segments group by book_id), b as (select book_id, count(*) as done, sum(n_samples / sample_rate) / 60 as audio_min from fx_outputs group by book_id),
+@query(with_duck(f""", a as (select book_id, count(*) as total from fx_segments group by book_id), b as (select book_id, count(*) as done, sum(n_samples / sample_rate) / 60 as audio_min from fx_unfinished group by book_id),
  c as (select book_id, total, done, total - done as missing, round(audio_min, 4) as audio_min, done / (600.0 / 60) as rate, cast(floor((total - done) / (done / (600.0 / 60)) * 60) as bigint) as secs from a join b using (book_id))
- select book_id, total, done, missing, audio_min, round(cast(rate as double), 4) as chunks_per_min, {_DURATION.format('secs')} as eta from c""", "fx_segments", "fx_outputs"))
+ select book_id, total, done, missing, audio_min, round(cast(rate as double), 4) as chunks_per_min, {_DURATION.format('secs')} as eta from c""", "fx_segments", "fx_outputs", "fx_unfinished"))
 def run_stats(spark, sf_dir):
-    return T.run_stats(seg_chunks(spark, sf_dir), X.outputs(spark, sf_dir), 600.0)
+    return T.run_stats(seg_chunks(spark, sf_dir), X.unfinished_outputs(spark, sf_dir), 600.0)
 
 
 @query(f"select doc_id, {_DURATION.format('n_chars')} as duration from documents")

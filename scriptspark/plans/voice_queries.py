@@ -52,7 +52,7 @@ def speaker_styles(spark, sf_dir):
 
 def names(spark, sf_dir):
     """Names of many forms: customers, suppliers' nations, words of documents."""
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.substring("text", 1, 400), r"\s+")).alias("speaker"))
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", r"\s+")).alias("speaker"))
     people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("speaker"))
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("speaker"))
     fixed = nations.select(F.explode(F.array(*map(F.lit, [*(n.upper() for n in S.FEMALE_NAMES), "NARRATOR", "UNKNOWN", *S.NAMED_SPEAKERS, "female alto, warm", "A very long name of a speaker, longer than a slug"]))).alias("speaker"))
@@ -60,7 +60,7 @@ def names(spark, sf_dir):
 
 
 _FIXED = ", ".join(f"('{n}')" for n in [*(n.upper() for n in S.FEMALE_NAMES), "NARRATOR", "UNKNOWN", *S.NAMED_SPEAKERS, "female alto, warm", "A very long name of a speaker, longer than a slug"])
-NAMES = rf"with recursive nm as (select distinct speaker from (select unnest(string_split_regex(substring(text, 1, 400), '\s+')) as speaker from documents union all select c_name from customer union all select n_name from nation union all select * from (values {_FIXED}) v(speaker)) where speaker <> '')"
+NAMES = rf"with recursive nm as (select distinct speaker from (select unnest(string_split_regex(text, '\s+')) as speaker from documents union all select c_name from customer union all select n_name from nation union all select * from (values {_FIXED}) v(speaker)) where speaker <> '')"
 _FEMALE = ", ".join(f"'{n}'" for n in S.FEMALE_NAMES)
 _GENDER = f"case when regexp_replace(lower(speaker), '_+$', '') in ({_FEMALE}) or regexp_matches(regexp_replace(lower(speaker), '_+$', ''), '(a|ine|elle|ette)$') then 'F' else 'M' end"
 _BYTES = "list_transform(range(0, strlen(speaker)), lambda i: cast(concat('0x', substring(hex(encode(speaker)), cast(2 * i + 1 as bigint), 2)) as bigint))"
