@@ -28,6 +28,15 @@ DIRECTION_MARKS = r"""^[\[\]()"'`\s]+(\S)"""
 DIRECTION_OPENERS = r"""^[\[("'`]+"""
 FIRST_SENTENCE = r"^[^.!?]*[.!?]?"
 
+# The characters of Unicode white space, for a class.
+SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{SPACES}]"
+
+
+def trim_space(text: Column) -> Column:
+    """Without white space of any kind at both ends; `trim` takes blanks alone."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
 
 def preview(text: Column, n: int = 80) -> Column:
     """The first n characters and an ellipsis, if the text is over n bytes."""
@@ -36,7 +45,7 @@ def preview(text: Column, n: int = 80) -> Column:
 
 def heading_like(text: Column, most: int = 120) -> Column:
     """Not empty, under `most` bytes, and no mark at the end that closes a sentence."""
-    t = F.trim(text)
+    t = trim_space(text)
     return (t != "") & ~t.rlike(r"""[.!?…"'”’]$""") & (F.octet_length(t) < most)
 
 
@@ -46,7 +55,7 @@ def strip_emphasis(text: Column) -> Column:
 
 def soft_wrap_join(text: Column) -> Column:
     """Trimmed lines that aren't empty, joined by a space."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(text, "\n"), trim_space)
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
@@ -70,7 +79,7 @@ INLINE_RULES = [
 
 def sentences_simple(text: Column) -> Column:
     """Array of sentences: cuts after . ! ? before white space."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, rf"(?<=[.!?]){SPACE}+"), trim_space)
     return F.filter(parts, lambda x: x != "")
 
 
@@ -105,7 +114,7 @@ def clean_direction(raw: Column, text: Column) -> Column:
 
 
 def literal_voice(speaker: Column) -> Column:
-    return speaker.rlike(r"[,\s]")
+    return speaker.rlike(f"[,{SPACES}]")
 
 
 def speaker_slug(speaker: Column, most: int = 32) -> Column:

@@ -19,7 +19,7 @@ CHUNK_BYTES, SEGMENT_BYTES = 3000, 500
 ABBREVIATIONS = "Dr Fr Mr Mrs Ms St Prof Rev Lt Col Gen Sgt Cpl vs etc viz cf al op".split()
 LEAST_WORDS = 5
 
-_PIECE = r"(?s).*?[.!?](?:\s+|\z)|.+\z"
+_PIECE = rf"(?s).*?[.!?](?:{S.SPACE}+|\z)|.+\z"
 
 
 def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
@@ -29,7 +29,7 @@ def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
     last accepted cut, which a fold over the pieces of this one text carries.
     """
     pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    word = lambda p: F.regexp_extract(p, r"(\S*)[.!?]\s*\z", 1)
+    word = lambda p: F.regexp_extract(p, rf"([^{S.SPACES}]*)[.!?]{S.SPACE}*\z", 1)
 
     def cuts(piece: Column, after: Column) -> Column:
         w = word(piece)
@@ -38,10 +38,10 @@ def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
         if strict_abbrev:
             abbreviated = abbreviated | short
         follows = after.isNull() | after.rlike(r"^[\p{Lu}0-9\"'“‘]")
-        return piece.rlike(r"[.!?]\s*\z") & ~abbreviated & follows
+        return piece.rlike(rf"[.!?]{S.SPACE}*\z") & ~abbreviated & follows
 
     def mark(all_: Column) -> Column:
-        return F.transform(all_, lambda p, i: F.struct(p.alias("text"), F.size(F.filter(F.split(p, r"\s+"), lambda x: x != "")).alias("words"), cuts(p, F.get(all_, i + 1)).alias("cut")))
+        return F.transform(all_, lambda p, i: F.struct(p.alias("text"), F.size(F.filter(F.split(p, rf"{S.SPACE}+"), lambda x: x != "")).alias("words"), cuts(p, F.get(all_, i + 1)).alias("cut")))
 
     # inside a one-element array the pieces are a bound variable: the pattern runs once per text, not once per piece
     marked = F.get(F.transform(F.array(pieces), mark), F.lit(0))
@@ -50,10 +50,10 @@ def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
     def step(acc: Column, p: Column) -> Column:
         cur, words = F.concat(acc["cur"], p["text"]), acc["words"] + p["words"]
         ends = p["cut"] & (words >= LEAST_WORDS)
-        return F.struct(F.when(ends, "").otherwise(cur).alias("cur"), F.when(ends, 0).otherwise(words).alias("words"), F.when(ends, F.concat(acc["done"], F.array(F.trim(cur)))).otherwise(acc["done"]).alias("done"))
+        return F.struct(F.when(ends, "").otherwise(cur).alias("cur"), F.when(ends, 0).otherwise(words).alias("words"), F.when(ends, F.concat(acc["done"], F.array(cur))).otherwise(acc["done"]).alias("done"))
 
-    done = F.aggregate(marked, start, step, lambda a: F.concat(a["done"], F.array(F.trim(a["cur"]))))
-    return F.filter(done, lambda x: x != "")
+    done = F.aggregate(marked, start, step, lambda a: F.concat(a["done"], F.array(a["cur"])))
+    return F.filter(F.transform(done, S.trim_space), lambda x: x != "")
 
 
 def with_pack(units: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _paragraph_units(paragraphs: DataFrame, keys: list[str], most: int, sentence
 
 def pack_text_chunks(paragraphs: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
     """(book_id, chunk_idx, text): paragraphs joined by blank lines; over-long ones by sentences."""
-    units = _paragraph_units(paragraphs.where(F.trim("text") != ""), ["book_id"], most, S.sentences_simple, 2, 2)
+    units = _paragraph_units(paragraphs.where(S.trim_space(F.col("text")) != ""), ["book_id"], most, S.sentences_simple, 2, 2)
     packed = with_pack(units, ["book_id"], ["para_idx", "sent"], most)
     glue = F.when(F.col("glue") == 2, "\n\n").otherwise(" ")
     part = F.struct("para_idx", "sent", glue.alias("glue"), "text")

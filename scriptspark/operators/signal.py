@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FULL_SCALE = 32767
 FLOOR_DB = -120.0
@@ -121,16 +123,28 @@ def smooth_gains(targets: np.ndarray, attack: float, release: float, start: floa
 
 
 def attack_release(series: DataFrame, rate: int, settings: Compressor = Compressor(), keys: tuple[str, ...] = ("book_id",), target: str = "target") -> DataFrame:
-    """(keys, pos, target, gain): a scan in order of pos within each key, by a grouped Python function."""
+    """series with gain: a scan in order of pos within each key, sorted by Spark and read batch by batch with one gain kept.
+
+    A null target counts as 0.
+    """
     attack, release = settings.coefficient(settings.attack_ms, rate), settings.coefficient(settings.release_ms, rate)
-    names = [*keys, "pos", target]
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        return group.assign(gain=smooth_gains(group[target].to_numpy(float), attack, release))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, gain = None, 0.0
+        for batch in batches:
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            targets = batch.column(target).fill_null(0.0).to_numpy(zero_copy_only=False)
+            cuts = [i for i in range(1, len(of)) if of[i] != of[i - 1]]
+            gains = []
+            for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                if b > a:
+                    gains.append(smooth_gains(targets[a:b], attack, release, gain if of[a] == last else 0.0))
+                    last, gain = of[a], gains[-1][-1]
+            column = pa.array(np.concatenate(gains) if gains else np.empty(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "gain"])
 
-    return series.select(*names).groupBy(*keys).applyInPandas(scan, ", ".join(f"{n} {kinds[n]}" for n in names) + ", gain double")
+    ordered = series.repartition(*keys).sortWithinPartitions(*keys, "pos")
+    return ordered.mapInArrow(scan, T.StructType([*series.schema.fields, T.StructField("gain", T.DoubleType())]))
 
 
 def limiter(x: Column, gain_db: Column, settings: Compressor = Compressor()) -> Column:
@@ -147,8 +161,7 @@ def compress(series: DataFrame, rate: int, settings: Compressor = Compressor(),
     """
     levels = sliding_rms(series, settings.window(rate), keys)
     targets = levels.withColumn("target", gain_target(to_dbfs(F.col("rms")), settings))
-    gains = attack_release(targets, rate, settings, keys).select(*keys, "pos", "gain")
-    return targets.join(gains, [*keys, "pos"]).withColumn("sample", limiter(F.col("x"), F.col("gain"), settings))
+    return attack_release(targets, rate, settings, keys).withColumn("sample", limiter(F.col("x"), F.col("gain"), settings))
 
 
 def explode_samples(segments: DataFrame, idx: str = "seg_idx") -> DataFrame:

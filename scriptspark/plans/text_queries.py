@@ -13,6 +13,15 @@ from scriptspark.sources import files
 
 QUERIES, ORACLE = {}, {}
 
+#: Unicode white space, written out for DuckDB.
+_WHITE = r"\t\n\x{0B}\f\r \x{0085}\x{00A0}\x{1680}\x{2000}\x{2001}\x{2002}\x{2003}\x{2004}\x{2005}\x{2006}\x{2007}\x{2008}\x{2009}\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def white(sql: str) -> str:
+    """sql whose patterns' white space is Unicode's, and whose trims of `text` take it off."""
+    sql = sql.replace("trim(text)", r"regexp_replace(text, '^\s+|\s+$', '', 'g')")
+    return sql.replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]")
+
 
 def query(sql: str | None):
     def add(f):
@@ -42,7 +51,7 @@ def script_default_instruct(spark, sf_dir):
     return files.parse_script(files.script_json(entries), "script")
 
 
-@query(with_duck("""select book_id, cast(entry_idx as bigint) as entry_idx, trim(text) <> '' and not regexp_matches(trim(text), '[.!?…"''”’]$') and strlen(trim(text)) < 120 as heading from fx_script""", "fx_script"))
+@query(with_duck(white("""select book_id, cast(entry_idx as bigint) as entry_idx, trim(text) <> '' and not regexp_matches(trim(text), '[.!?…"''”’]$') and strlen(trim(text)) < 120 as heading from fx_script"""), "fx_script"))
 def heading_like(spark, sf_dir):
     return X.script(spark, sf_dir).select("book_id", "entry_idx", S.heading_like(F.col("text")).alias("heading"))
 
@@ -52,9 +61,9 @@ def preview(spark, sf_dir):
     return X.script(spark, sf_dir).select("book_id", "entry_idx", S.preview(F.col("text")).alias("preview"))
 
 
-RUNS = """, hd as (select *, trim(text) <> '' and not regexp_matches(trim(text), '[.!?…"''”’]$') and strlen(trim(text)) < 120 as head from fx_script),
+RUNS = white(""", hd as (select *, trim(text) <> '' and not regexp_matches(trim(text), '[.!?…"''”’]$') and strlen(trim(text)) < 120 as head from fx_script),
 st as (select *, case when lag(speaker) over w is null or lag(speaker) over w <> speaker or lag(instruct) over w <> instruct or lag(head) over w or head then 1 else 0 end as starts from hd window w as (partition by book_id order by entry_idx)),
-rn as (select *, cast(sum(starts) over (partition by book_id order by entry_idx) - 1 as bigint) as run from st)"""
+rn as (select *, cast(sum(starts) over (partition by book_id order by entry_idx) - 1 as bigint) as run from st)""")
 
 CAPPED = RUNS + """, nx as (select *, row_number() over (partition by book_id, run order by entry_idx) as i from rn),
 pk as (select book_id, run, i, strlen(text) as cur, 0 as pack from nx where i = 1
@@ -121,7 +130,7 @@ def md_strip_inline(spark, sf_dir):
     return X.markdown(spark, sf_dir).select("book_id", "line_idx", S.strip_inline(F.col("line")).alias("text"))
 
 
-@query(r"""select conv_id, turn, coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), '') as text from conversations""")
+@query(white(r"""select conv_id, turn, coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), '') as text from conversations"""))
 def soft_wrap_join(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", S.soft_wrap_join(F.col("text")).alias("text"))
 
@@ -129,7 +138,7 @@ def soft_wrap_join(spark, sf_dir):
 # Packing -------------------------------------------------------------------
 
 #: Sentences without lookbehind: each match ends at a cut or at the end.
-_DUCK_SIMPLE = r"list_filter(list_transform(regexp_extract_all({0}, '(?s).*?[.!?](?:\s+|\z)|.+\z'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '')"
+_DUCK_SIMPLE = white(r"list_filter(list_transform(regexp_extract_all({0}, '(?s).*?[.!?](?:\s+|\z)|.+\z'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '')").replace('{', '{{').replace('}', '}}').replace('{{0}}', '{0}')
 
 
 @query(LINES.replace("recursive ", "") + f""", s as (select doc_id, line_idx, {_DUCK_SIMPLE.format('text')} as ss from doc_lines)
@@ -146,14 +155,14 @@ def _guarded_ctes(source: str, keys: str) -> str:
     """CTE gs (keys, sent, sentence) from `source` (keys, text): pieces, local conditions, then a fold over the pieces."""
     on = " and ".join(f"n.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
     own = ", ".join(f"n.{k.strip()}" for k in keys.split(","))
-    return rf""", gp as (select {keys}, unnest(regexp_extract_all(text, '(?s).*?[.!?](?:\s+|\z)|.+\z')) as piece, generate_subscripts(regexp_extract_all(text, '(?s).*?[.!?](?:\s+|\z)|.+\z'), 1) as i from {source}),
+    return white(rf""", gp as (select {keys}, unnest(regexp_extract_all(text, '(?s).*?[.!?](?:\s+|\z)|.+\z')) as piece, generate_subscripts(regexp_extract_all(text, '(?s).*?[.!?](?:\s+|\z)|.+\z'), 1) as i from {source}),
 gw as (select *, regexp_extract(piece, '(\S*)[.!?]\s*\z', 1) as w, lead(piece) over (partition by {keys} order by i) as nextp, len(list_filter(string_split_regex(piece, '\s+'), lambda x: x <> '')) as words from gp),
 gc as (select *, regexp_matches(piece, '[.!?]\s*\z') and not (contains(w, '.') or lower(w) in ({_ABBREVIATIONS}) or (strlen(w) = 1 and regexp_matches(w, '^\pL$')) or (strlen(w) = 2 and regexp_matches(w, '^\pL+$'))) and (nextp is null or regexp_matches(nextp, '^[\p{{Lu}}0-9"''“‘]')) as cut from gw),
 gf as (select {keys}, i, 0 as sent, words, cut and words >= 5 as ended from gc where i = 1
   union all select {own}, n.i, case when p.ended then p.sent + 1 else p.sent end, case when p.ended then n.words else p.words + n.words end, n.cut and (case when p.ended then n.words else p.words + n.words end) >= 5
   from gf p join gc n on {on} and n.i = p.i + 1),
-g1 as (select {keys}, sent, trim(string_agg(piece, '' order by i)) as sentence from gc join (select {keys}, i, sent from gf) using ({keys}, i) group by all),
-gs as (select {keys}, row_number() over (partition by {keys} order by sent) - 1 as sent, sentence from g1 where sentence <> '')"""
+g1 as (select {keys}, sent, regexp_replace(string_agg(piece, '' order by i), '^\s+|\s+$', '', 'g') as sentence from gc join (select {keys}, i, sent from gf) using ({keys}, i) group by all),
+gs as (select {keys}, row_number() over (partition by {keys} order by sent) - 1 as sent, sentence from g1 where sentence <> '')""")
 
 
 @query(LINES + _guarded_ctes("doc_lines", "doc_id, line_idx") + " select * from gs")

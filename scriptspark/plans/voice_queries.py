@@ -84,7 +84,7 @@ def named_speaker(spark, sf_dir):
     return names(spark, sf_dir).select("speaker", S.named_speaker(F.col("speaker")).alias("named"))
 
 
-@query(NAMES + r" select speaker, regexp_matches(speaker, '[,\s]') as literal from nm")
+@query(NAMES + r" select speaker, regexp_matches(speaker, '[,\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') as literal from nm")
 def literal_voice(spark, sf_dir):
     return names(spark, sf_dir).select("speaker", S.literal_voice(F.col("speaker")).alias("literal"))
 

@@ -300,3 +300,24 @@ def test_smooth_stream_matches_batch(spark, tmp_path):
     got = {(r["book_id"], r["pos"]): r["gain"] for r in spark.table("smoothed").collect()}
     want = A.attack_release(spark.createDataFrame(rows, schema), 100).collect()
     assert len(got) == 80 and all(abs(got[r["book_id"], r["pos"]] - r["gain"]) < 1e-12 for r in want)
+
+
+def test_white_space_of_any_kind(spark):
+    nb = "\u00a0"
+    row = spark.range(1).select(
+        S.heading_like(F.lit("Chapter One.\t")).alias("dot"), S.heading_like(F.lit(f"{nb}Chapter One{nb}")).alias("plain"), S.heading_like(F.lit(f"{nb}\t")).alias("blank"),
+        S.literal_voice(F.lit(f"female{nb}alto")).alias("voice"), S.soft_wrap_join(F.lit(f"one{nb}\n{nb}\n\u3000two")).alias("wrap"),
+        S.sentences_simple(F.lit(f"One.{nb}Two!\u2003Three")).alias("simple"),
+        P.sentences_guarded(F.lit(f"This one has five words.{nb}Here five words are too.")).alias("guarded"),
+    ).first()
+    assert (row.dot, row.plain, row.blank, row.voice, row.wrap) == (False, True, False, True, "one two")
+    assert row.simple == ["One.", "Two!", "Three"] and row.guarded == ["This one has five words.", "Here five words are too."]
+
+
+def test_second_compressor_pass_runs_over_the_joined_series(spark):
+    rng = np.random.default_rng(3)
+    series = spark.createDataFrame([(b, i, float(x)) for b in (1, 2) for i, x in enumerate(rng.uniform(-1, 1, 400))], "book_id long, pos long, x double")
+    got = A.compress(series, 64).orderBy("book_id", "pos").toPandas()
+    up, down = A.Compressor().coefficient(10.0, 64), A.Compressor().coefficient(100.0, 64)
+    for _, g in got.groupby("book_id"):
+        assert np.allclose(g["gain"], A.smooth_gains(g["target"].to_numpy(), up, down))
