@@ -1,14 +1,17 @@
 """Harmonic packing of token documents into fixed-length sequences.
 
-A piece of n tokens is of class k = capacity // n: k such pieces fit into a sequence. Documents are cut
-first so that the classes waste little: whole sequences, then pieces of capacity/2, /4, ... down to
-FINEST, whose classes are filled exactly, and a tail under FINEST, of a class that wastes
-2048 mod n of 2048. Every task numbers its pieces class by class; the counts of all tasks, summed up, turn the
-numbers into places, k pieces to a sequence. No piece moves between tasks, and a hot class is spread
-over all of them. What is left of a class (under k pieces of one length, so a bounded number in all)
-goes first-fit-decreasing into common sequences.
-
-Null text is an empty document: its end id alone. Repeated rows are documents of their own.
+A piece of n tokens is of class k = capacity // n, so its length lies in (capacity/(k+1), capacity/k] and k such
+pieces fill a bin, whatever their lengths. Documents are cut first so that the classes waste little: whole
+sequences, then, of what is left, the piece of the next class's full length, until the rest comes within
+1/CLOSE of its own class's full length or is under FINEST (such a class wastes under 2 * FINEST of a bin).
+
+Every task fills bins of its own, class by class, k pieces each; no piece moves between tasks, and a hot class is
+spread over all of them. What a task has left of a class (under k pieces) meets the left pieces of other tasks, again k
+to a bin. What is then left of a class (under k pieces in all, so a bounded number) goes first-fit-decreasing into common sequences.
+
+Null text is an empty document: its end id alone. Texts of any length are read whole. Repeated rows are documents of
+their own, and ties stand in the order of a task's rows. An empty table gives an empty result. Other columns play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,35 +28,34 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, store
 from .tokens import END_ID, coder, default_path
 
-CAPACITY, FINEST = 2048, 64
+CAPACITY, FINEST, CLOSE = 2048, 64, 128
 
 
-def cuts(n: int, capacity: int = CAPACITY, finest: int = FINEST) -> list[int]:
+def cuts(n: int, capacity: int = CAPACITY, finest: int = FINEST, close: int = CLOSE) -> list[int]:
     """Lengths of the pieces of a document of n tokens, in order."""
     out = [capacity] * (n // capacity)
     n %= capacity
-    size = capacity // 2
     while n:
-        if n < finest or size < finest:
-            out.append(n)
-            break
-        if n >= size:
-            out.append(size)
-            n -= size
-        size //= 2
+        full, k = capacity // (capacity // n), capacity // n
+        size = n if n < finest or n * close >= full * (close - 1) else capacity // (k + 1)
+        out.append(size)
+        n -= size
     return out
 
 
 def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, with_ids: bool) -> DataFrame:
-    """One row per piece: (key, start, length, ids_crc32, doc_tokens, part, rank[, ids]).
+    """One row per piece: (key, start, length, ids_crc32, doc_tokens, part, k, rank, inside[, ids]).
 
-    rank numbers the pieces of one length inside the task `part`, in the order of its rows.
+    rank numbers the pieces of class k inside the task `part`, in the order of its rows; each k of them share a bin,
+    where inside tokens stand before the piece.
     """
     kind = docs.schema[key].dataType.simpleString()
-    names = ["key", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", *["ids"] * with_ids]
+    numbers = ["start", "length", "ids_crc32", "doc_tokens", "part", "k", "rank", "inside"]
+    names = ["key", *numbers, *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, met = coder(tokenizer), TaskContext.get().partitionId(), np.zeros(CAPACITY + 1, np.int64).tolist()
+        own, part = coder(tokenizer), TaskContext.get().partitionId()
+        met, filled = [0] * (CAPACITY + 1), [0] * (CAPACITY + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 small = batch.slice(at, 1024)
@@ -62,18 +64,23 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, wi
                     ids = np.append(own.ids(x.as_py() or ""), np.uint32(end_id)).astype("<u4")
                     raw, start, n = ids.tobytes(), 0, len(ids)
                     for length in cuts(n):
-                        blob = raw[4 * start : 4 * (start + length)]
+                        blob, k = raw[4 * start : 4 * (start + length)], CAPACITY // length
+                        if met[k] % k == 0:
+                            filled[k] = 0
                         row.append(i)
-                        rows.append((start, length, zlib.crc32(blob), n, part, met[length]))
+                        rows.append((start, length, zlib.crc32(blob), n, part, k, met[k], filled[k]))
                         if with_ids:
                             blobs.append(np.frombuffer(blob, "<i4"))
-                        met[length] += 1
+                        met[k] += 1
+                        filled[k] += length
                         start += length
-                columns = [pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 6
-                ids = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, blobs)], dtype=np.int32)), pa.array(np.concatenate(blobs)))] if with_ids and blobs else [pa.array([], pa.list_(pa.int32()))] * with_ids
+                columns = [pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(numbers)
+                ids = [pa.array([], pa.list_(pa.int32()))] * with_ids
+                if blobs:
+                    ids = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, blobs)], dtype=np.int32)), pa.array(np.concatenate(blobs)))]
                 yield pa.RecordBatch.from_arrays([small.column(0).take(pa.array(row, pa.int64())), *columns, *ids], names)
 
-    schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, part long, rank long" + ", ids array<int>" * with_ids
+    schema = ", ".join([f"key {kind}", *(f"{n} long" for n in numbers), *["ids array<int>"] * with_ids])
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
@@ -93,31 +100,41 @@ def fill_rest(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, i
     return out
 
 
-def harmonic_pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def harmonic_pack(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False
+) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]), one row per piece.
 
-    At most one sequence is short of CAPACITY by more than its class wastes: the last of the common ones.
+    Sequence ids run without gaps: the bins of tasks, class by class, then bins of pieces that tasks had left, then the common ones.
     """
     spark = docs.sparkSession
     cut = store(pieces(docs, key, text, tokenizer or default_path(), end_id, with_ids), "pieces")
-    counts = store(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    offsets = store(counts.select("part", "length", before.alias("before")), "piece-offsets")
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most CAPACITY rows
-    classes, rest, base = [], [], 0
-    for length, n in sorted(totals.items(), reverse=True):
-        k = CAPACITY // length
-        classes.append((length, k, base))
-        rest += [(length, rank) for rank in range(n - n % k, n)]  # under k of each length: 17,000 in all at most
-        base += n // k
-    common = [(*x, base + at, offset) for x, (at, offset) in zip(rest, fill_rest([n for n, _ in rest]), strict=True)]
-    kinds = spark.createDataFrame(classes, "length long, k long, base long")
-    places = spark.createDataFrame(common, "length long, rank long, rest_id long, rest_offset long")
-    ranked = cut.join(broadcast_if_small(offsets), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = ranked.join(F.broadcast(kinds), "length").join(F.broadcast(places), ["length", "rank"], "left")
-    own = F.col("base") + F.expr("rank div k")
-    inside = (F.col("rank") % F.col("k")) * F.col("length")
-    return placed.select(key, "start", "length", "ids_crc32", "doc_tokens", F.coalesce("rest_id", own).alias("sequence_id"), F.coalesce("rest_offset", inside).alias("offset"), *["ids"] * with_ids)
+    counts = store(cut.groupBy("part", "k").agg(F.count("*").alias("n")).withColumn("bins", F.expr("n div k")), "piece-counts")
+    counts = counts.withColumn("left", F.col("n") % F.col("k"))
+    earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before")
+    offsets = store(counts.select("part", "k", "bins", before("bins"), before("left")), "piece-offsets")
+    # one row a class: under a hundred, as most lengths under FINEST have a class of their own
+    totals = counts.groupBy("k").agg(F.sum("bins").alias("bins"), F.sum("left").alias("left")).orderBy("k").collect()
+    classes, at = [], 0
+    for r in totals:
+        classes.append((r["k"], at, at + r["bins"], r["left"] // r["k"]))
+        at += r["bins"] + r["left"] // r["k"]
+    kinds = spark.createDataFrame(classes, "k long, own_base long, left_base long, left_bins long")
+    ranked = cut.join(broadcast_if_small(offsets), ["part", "k"]).join(F.broadcast(kinds), "k")
+    own_bin, place = F.expr("rank div k"), F.col("left_before") + F.col("rank") - F.col("bins") * F.col("k")
+    columns = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+
+    own = ranked.where(own_bin < F.col("bins")).withColumn("sequence_id", F.col("own_base") + F.col("bins_before") + own_bin)
+    left = ranked.where(own_bin >= F.col("bins")).withColumn("place", place)
+    shared = left.where("place < left_bins * k").withColumn("sequence_id", F.expr("left_base + place div k"))
+    inside = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("place")) - F.col("length")  # k pieces at most
+    common = left.where("place >= left_bins * k")
+    rest = common.select("k", "place", "length").orderBy("k", "place").collect()  # under k of each class: some 10,000 at most
+    placed = [(r["k"], r["place"], at + b, offset) for r, (b, offset) in zip(rest, fill_rest([r["length"] for r in rest]), strict=True)]
+    places = spark.createDataFrame(placed, "k long, place long, sequence_id long, offset long")
+    parts = [own.withColumn("offset", F.col("inside")), shared.withColumn("offset", inside), common.join(F.broadcast(places), ["k", "place"])]
+    return parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
 
 
 def op10_harmonic_packing(spark, sf_dir: str) -> DataFrame:

@@ -615,6 +615,8 @@ def test_cuts():
     for n in range(1, 9000, 7):
         c = harmonic.cuts(n)
         assert sum(c) == n and all(x <= 2048 for x in c) and sum(x < 64 for x in c) <= 1
+        # a full bin of a piece's class wastes under a hundredth, one of short pieces under 2 * 64
+        assert all((2048 // x) * x > (2048 * 0.98 if x >= 64 else 2048 - 128) for x in c)
 
 
 def held_pack(rows, whole):
@@ -641,6 +643,8 @@ def test_op10(spark, whole, odd, empty, sf_dir):
     tokens_of, used = held_pack(got, whole)
     assert tokens_of == Counter({i: len(x) for i, x in whole.items()})
     assert sum(used) >= 0.98 * 2048 * len(used)
+    ids = {r["sequence_id"] for r in got}
+    assert ids == set(range(len(ids)))
     held_pack(harmonic.harmonic_pack(odd).collect(), None)
     assert harmonic.harmonic_pack(odd).where("doc_id = 1").collect()[0]["doc_tokens"] == 1
     assert harmonic.harmonic_pack(empty).count() == 0
@@ -648,6 +652,23 @@ def test_op10(spark, whole, odd, empty, sf_dir):
     assert zlib.crc32(np.array(ids["ids"], "<u4").tobytes()) == ids["ids_crc32"]
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_harmonic_bins_match_brute_force(spark, texts, tasks):
+    """All but the common bins hold exactly k pieces of one class, and there are as many as counting gives."""
+    docs = docs_of(spark, [(i, t, "s") for i, t in texts.items()]).repartition(tasks, "doc_id")
+    rows, bins = harmonic.harmonic_pack(docs).collect(), defaultdict(list)
+    held_pack(rows, None)
+    for r in rows:
+        bins[r["sequence_id"]].append(2048 // r["length"])
+    n = Counter(k for b in bins.values() for k in b)
+    want = Counter({k: m // k for k, m in n.items() if m >= k})
+    common = sum(want.values())
+    full = [b for i, b in bins.items() if i < common]
+    assert all(len(b) == b[0] and len(set(b)) == 1 for b in full) and Counter(b[0] for b in full) == want
+    left = [x for i, b in bins.items() if i >= common for x in b]
+    assert Counter(left) == Counter({k: m % k for k, m in n.items() if m % k})
+
+
 # 7 WARC --------------------------------------------------------------------
 
 
