@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from html import unescape
 
 PATH_BINS, WORD_BINS = 8192, 512
@@ -18,7 +19,16 @@ ENDS_P = set("address article aside blockquote center details dialog dir div dl
 ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS_LIKE = set("ul ol menu dl table select body article section div".split())
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<svg(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*(?:(?<=/)>|>.*?</svg\s*>)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S | re.I)
+# Nothing between quotes and brackets is tried twice (possessive), and a tag ends before the next "<", so no part is read over and over.
+_inside = r"""(?:(?:"[^"]*"|'[^']*'|[^'"<>])*+|[^<>]*+)"""
+_token = re.compile(
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|template|title)(?=[\s/>]){_inside}>.*?(?:</\1\s*>|\Z)"""
+    rf"""|<(/?)([A-Za-z][^\s/<>]*)({_inside})>|<[!?][^<>]*+>""",
+    re.S | re.I,
+)
+_svg_end = re.compile(r"</svg\s*>", re.I)
+#: Of deeper pages, so many of the outermost and innermost elements are in a path.
+OUTER, INNER = 16, 32
 _attribute = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _part = re.compile(r"[a-z0-9]+")
 
@@ -59,6 +69,13 @@ class Blocks:
     def split(self, html: str) -> list[tuple[str, tuple, int]]:
         stack: list[tuple[str, tuple]] = []
         out, parts, linked, path, links = [], [], 0, (), 0
+        open_tags: Counter[str] = Counter()
+
+        def pop_from(i: int) -> None:
+            nonlocal links
+            open_tags.subtract(t for t, _ in stack[i:])
+            links = open_tags["a"]
+            del stack[i:]
 
         def close() -> None:
             nonlocal parts, linked
@@ -77,44 +94,52 @@ class Blocks:
             if not parts:
                 if raw.isspace():
                     return
-                bins = [b for _, e in stack for b in e]
-                blocks = [t for t, _ in stack if t not in INLINE]
+                around = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+                bins = [b for _, e in around for b in e]
+                blocks = [t for t, _ in around if t not in INLINE]
                 bins += [self.code(f"{a}>{b}") for a, b in zip(blocks, blocks[1:])] + [self.code(f"leaf:{stack[-1][0] if stack else ''}")]
                 path = tuple(dict.fromkeys(bins))
             parts.append(raw)
             if links:
                 linked += len(raw)
 
-        at = 0
+        at, closed_svg = 0, True
         for m in _token.finditer(html):
+            if m.start() < at:  # inside an svg
+                at = max(at, m.end())
+                continue
             text_run(html[at : m.start()])
             at = m.end()
             tag = m[3]
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag == "svg" and not m[2]:
+                if m[4].endswith("/"):
+                    continue
+                if closed_svg and (end := _svg_end.search(html, at)):
+                    at = end.end()
+                    continue
+                closed_svg = False
             if tag not in INLINE:
                 close()
             if m[2]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
+                if open_tags[tag] > 0:
+                    pop_from(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
                 continue
             if tag in VOID or tag in MATH and m[4].endswith("/"):
                 continue
             ends = ENDS_LIKE.get(tag) or ({"p"} if tag in ENDS_P else None)
-            if ends:
+            if ends and any(open_tags[t] > 0 for t in ends):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ends:
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
+                        pop_from(i)
                         break
                     if stack[i][0] in HOLDS_LIKE:
                         break
             stack.append((tag, self._element(tag, m[4])))
-            links += tag == "a"
+            open_tags[tag] += 1
+            links = open_tags["a"]
         text_run(html[at:])
         close()
         return out

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -296,6 +297,18 @@ def test_foreign_and_custom_elements(html, want):
     assert [t for t, _, _ in Blocks().split(html)] == want
 
 
+@pytest.mark.parametrize("part", ["<p ", "<div>x", "<script ", "<svg>", "<!", "<a href='", "<b>x</q>", "<p title=\"a>", "<svg-x>"])
+def test_hostile_pages_take_linear_time(part):
+    began = time.process_time()
+    Blocks().split(part * (200_000 // len(part)))
+    assert time.process_time() - began < 6
+
+
+def test_malformed_tags_keep_the_text():
+    html = "<p title='it>One <b <i>two</i></p><svg a><title>no</title><path d='</p>'/></svg><p>three<svg/> four<p>five &lt; six"
+    assert [b[0] for b in Blocks().split(html)] == ["One <b two", "three four", "five < six"]
+
+
 def test_op3(spark, weights, sf_dir):
     import re
     from html import unescape
