@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from html import unescape
 
 PATH_BINS, WORD_BINS = 8192, 512
@@ -68,13 +68,12 @@ class Blocks:
 
     def split(self, html: str) -> list[tuple[str, tuple, int]]:
         stack: list[tuple[str, tuple]] = []
-        out, parts, linked, path, links = [], [], 0, (), 0
-        open_tags: Counter[str] = Counter()
+        out, parts, linked, path = [], [], 0, ()
+        open_tags: dict[str, int] = defaultdict(int)
 
         def pop_from(i: int) -> None:
-            nonlocal links
-            open_tags.subtract(t for t, _ in stack[i:])
-            links = open_tags["a"]
+            for t, _ in stack[i:]:
+                open_tags[t] -= 1
             del stack[i:]
 
         def close() -> None:
@@ -100,7 +99,7 @@ class Blocks:
                 bins += [self.code(f"{a}>{b}") for a, b in zip(blocks, blocks[1:])] + [self.code(f"leaf:{stack[-1][0] if stack else ''}")]
                 path = tuple(dict.fromkeys(bins))
             parts.append(raw)
-            if links:
+            if open_tags["a"]:
                 linked += len(raw)
 
         at, closed_svg = 0, True
@@ -124,13 +123,16 @@ class Blocks:
             if tag not in INLINE:
                 close()
             if m[2]:
-                if open_tags[tag] > 0:
+                if stack and stack[-1][0] == tag:
+                    open_tags[tag] -= 1
+                    stack.pop()
+                elif open_tags[tag]:
                     pop_from(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
                 continue
             if tag in VOID or tag in MATH and m[4].endswith("/"):
                 continue
             ends = ENDS_LIKE.get(tag) or ({"p"} if tag in ENDS_P else None)
-            if ends and any(open_tags[t] > 0 for t in ends):
+            if ends and any(map(open_tags.__getitem__, ends)):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in ends:
                         pop_from(i)
@@ -139,7 +141,6 @@ class Blocks:
                         break
             stack.append((tag, self._element(tag, m[4])))
             open_tags[tag] += 1
-            links = open_tags["a"]
         text_run(html[at:])
         close()
         return out
