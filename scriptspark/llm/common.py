@@ -150,6 +150,14 @@ def running_total(df: DataFrame, keys: list[str], value: str, order: list[str],
     return joined.withColumn(out, (F.col("__own") + F.col("__before")).cast("long")).drop("__own", "__before", part)
 
 
+def join_hot(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner", pieces: int = 16) -> DataFrame:
+    """rows joined with few (one narrow row a key): each key's rows are dealt by a hash of `spread` over several tasks."""
+    part = f"__{key}_part"
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(pieces)).cast("int"))
+    copies = few.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return dealt.join(copies, [key, part], how).drop(part)
+
+
 def components(edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
     """(node, component): the smallest node that each node of the undirected edges can reach.
 

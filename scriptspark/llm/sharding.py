@@ -8,7 +8,9 @@ may still take under its capacity; within a quota the order is pseudorandom. At
 to shards below it, so that sizes end within a small document of even.
 
 Only shard sums and flows between shards (shards squared) reach the driver. Null text counts as
-empty; repeated rows are documents of their own and linked like any equal texts.
+empty; repeated rows are documents of their own and linked like any equal texts. Ties (equal counts of neighbours'
+shards, equal sizes) are settled by hashes of row numbers. Texts of any length are measured whole. An empty table gives an
+empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_of, running_total, store
+from .common import chunk_of, join_hot, running_total, store
 
 SHARDS, ROUNDS, SLACK = 16, 8, 0.2
 #: The last moves go on, this often at most, until shards differ by this share of their mean.
@@ -28,7 +30,7 @@ CLASSES = 40
 def equal_text_links(nodes: DataFrame, group: str = "digest") -> DataFrame:
     """(a, b): a star per group of equal texts, from the smallest id to each other one."""
     hubs = nodes.groupBy(group).agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select(group, "hub")
-    return nodes.join(hubs, group).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    return join_hot(nodes, hubs, group, "id").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
 
 def _sums(labels: DataFrame, shards: int) -> list[int]:

@@ -6,7 +6,9 @@ with a sparse directory (the first key of each block) at its end. A lookup binar
 index files, then a file's directory, then the block, and the record is read by its byte range.
 
 Null html is an empty payload and a null url an empty one. Rows alike in url and page_id are captures
-of their own; where several rows of equal payloads share the largest page_id, each is a response.
+of their own; where several rows of equal payloads share the largest page_id, each is a response. A null page_id
+refers to nothing. Payloads of any length are stored whole. An empty table gives an empty result. Other columns play
+no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, store
+from .common import join_hot, new_path, store
 
 LEAST_REVISIT = 1000
 BLOCK_LINES = 512
 ARCHIVE_BYTES = 1 << 30
+#: Revisits of so many bytes at most are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 4_000_000
 
 _PLACE = "page_id long, surt string, archive string, at long, size long"
 _url = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
@@ -53,31 +58,48 @@ def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def captures(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id, url, html (never null), digest, refers_to (null: a response)."""
+    """page_id, url, html (never null), digest, refers_to (null: a response) and its url.
+
+    Revisits are settled on ids and digests alone, a common digest dealt over several tasks; pages then meet
+    what they refer to by page_id and digest, so no payload moves to a task of its digest's own.
+    """
     own = pages.select(F.col("page_id"), F.col("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha1("html"))
-    large = F.octet_length("html") >= LEAST_REVISIT
-    # small payloads and unique ones keep their rows out of the join's way: only repeated digests match
-    groups = own.where(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    met = own.join(groups, "digest", "left")
-    return met.withColumn("refers_to", F.when(large & (F.col("page_id") < F.col("kept")), F.col("kept"))).drop("kept")
-
-
-def _record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
+    large = own.where(F.octet_length("html") >= LEAST_REVISIT).where("page_id is not null").select("page_id", "digest", "url")
+    large = store(large, "large-payloads")
+    groups = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("kept"), F.min("page_id").alias("least")).where("least < kept.page_id")
+    met = join_hot(large.select("page_id", "digest").distinct(), groups.select("digest", "kept"), "digest", "page_id").where("page_id < kept.page_id")
+    refers = met.select("page_id", "digest", F.col("kept.page_id").alias("refers_to"), F.col("kept.url").alias("refers_url"))
+    refers = store(refers, "revisits")
+    size = refers.agg(F.sum(F.coalesce(F.octet_length("refers_url"), F.lit(0)) + 100)).first()[0] or 0
+    return own.join(F.broadcast(refers) if size <= BROADCAST_BYTES else refers, ["page_id", "digest"], "left")
+
+
+def _record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str, date: str) -> bytes:
+    """A gzip member. The block of a response is the HTTP message; lengths and digests of payloads are those of the html alone."""
+    kind = "response" if refers_to is None else "revisit"
+    head = [
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"Payload-Length: {len(payload)}", f"Page-ID: {'' if page_id is None else page_id}",
+    ]
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    if refers_to is None:
+        block += payload
+    else:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {refers_url}", f"Refers-To-Page-ID: {refers_to}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + packer.flush()
+    return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
 def write_archives(found: DataFrame, folder: str) -> DataFrame:
     """Write a record per row; returns each record's place. Evaluate it once: store() the result.
 
-    A file's name carries the task attempt, so a task that runs again leaves the places of others alone.
+    A file's name carries the task attempt, so a task that runs again leaves the places of others alone. WARC-Date is the call's.
     """
+    date = f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+    columns_read = ["page_id", "url", "html", "digest", "refers_to", "refers_url"]
+    one_line = lambda x: re.sub(r"[\r\n]", " ", x or "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open_fs(folder)
@@ -88,14 +110,14 @@ def write_archives(found: DataFrame, folder: str) -> DataFrame:
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, html, digest, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                for page_id, url, html, digest, refers_to, refers_url in zip(*(batch.column(c) for c in columns_read), strict=True):
                     if out is None or at > ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at, number = f"{stem}-{number:04d}.warc.gz", 0, number + 1
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     link = url.as_py() or ""
-                    raw = _record(page_id.as_py(), re.sub(r"[\r\n]", " ", link), html.as_py().encode(), digest.as_py(), refers_to.as_py())
+                    raw = _record(page_id.as_py(), one_line(link), html.as_py().encode(), digest.as_py(), refers_to.as_py(), one_line(refers_url.as_py()), date)
                     out.write(raw)
                     rows.append((page_id.as_py(), surt(link), name, at, len(raw)))
                     at += len(raw)
@@ -105,15 +127,15 @@ def write_archives(found: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return found.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, _PLACE)
+    return found.select(columns_read).mapInArrow(run, _PLACE)
 
 
 def read_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one gzip member."""
+    """Headers of the record and payload of the HTTP message in one gzip member."""
     data = zlib.decompress(raw, 31)
     head, _, body = data.partition(b"\r\n\r\n")
     headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return headers, body[: int(headers["Content-Length"])]
+    return headers, body[: int(headers["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 # Index ---------------------------------------------------------------------
@@ -240,7 +262,7 @@ def read_captures(places: DataFrame, folder: str, tasks: int) -> DataFrame:
                 if headers["WARC-Type"] == "response":
                     rows.append((page_id, headers["WARC-Target-URI"], len(payload), hashlib.sha1(payload).hexdigest(), "response", None))
                 else:
-                    rows.append((page_id, headers["WARC-Target-URI"], int(headers["WARC-Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(headers["WARC-Refers-To"][10:-1])))
+                    rows.append((page_id, headers["WARC-Target-URI"], int(headers["Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", int(headers["Refers-To-Page-ID"])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])

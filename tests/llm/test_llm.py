@@ -715,6 +715,21 @@ def test_op7(spark, sf_dir):
     assert read_all(spark.createDataFrame([], "page_id long, url string, html string"))[0] == []
 
 
+def test_records_are_whole_http_messages():
+    headers, payload = warc.read_record(warc._record(3, "http://a/", "é\r\n\r\nx".encode(), "d", None, "", "2020-01-01T00:00:00Z"))
+    assert payload.decode() == "é\r\n\r\nx" and {"WARC-Date", "WARC-Record-ID", "WARC-Type", "Content-Length"} <= set(headers)
+    revisit, nothing = warc.read_record(warc._record(1, "http://a/", b"xyz", "d", 3, "http://b/", "2020-01-01T00:00:00Z"))
+    assert nothing == b"" and revisit["Payload-Length"] == "3" and revisit["WARC-Refers-To-Target-URI"] == "http://b/"
+    assert revisit["WARC-Record-ID"] != headers["WARC-Record-ID"]
+
+
+def test_join_hot(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id < 900, 1, id) as k")
+    few = spark.createDataFrame([(1, "a"), (950, "b"), (5000, "c")], "k long, v string")
+    got = sorted(map(tuple, common.join_hot(rows, few, "k", "id").select("id", "v").collect()))
+    assert got == sorted([(i, "a") for i in range(900)] + [(950, "b")])
+
+
 def test_surt_and_absent_keys(spark):
     assert warc.surt("https://www.Example.com:443/a?b#c") == "com,example)/a?b"
     assert warc.surt("http://u@m.example.com:8080") == "com,example,m:8080)/"
