@@ -209,6 +209,14 @@ def annotate(chunks: DataFrame, dedupe: bool = True) -> DataFrame:
     return kept.select("book_id", "entry_idx", "chunk_idx", "speaker", "text", "instruct")
 
 
+def entry_report(chunks: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per book: chunks, entries and whether the book came out empty, which a run should report as a failure."""
+    made = entries.groupBy("book_id").agg(F.count("*").alias("entries"))
+    given = chunks.groupBy("book_id").agg(F.countDistinct("chunk_idx").alias("chunks"))
+    n = F.coalesce("entries", F.lit(0))
+    return given.join(made, "book_id", "left").select("book_id", "chunks", n.alias("entries"), (n == 0).alias("is_empty"))
+
+
 def apply_directions(entries: DataFrame, directions: DataFrame) -> DataFrame:
     """entries with the direction of their key (speaker and first 60 characters), if there is one; the last direction of a key wins.
 

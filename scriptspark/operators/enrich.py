@@ -36,6 +36,12 @@ def enrich(df: DataFrame, backend: Callable[[str, str], str], system: str, promp
     return df.mapInPandas(run, f"{kinds}, answer string, error string")
 
 
+def failure_report(results: DataFrame, by: str = "book_id") -> DataFrame:
+    """Per book, from the stored results of direct() or synthesize(): calls, failures, and the commonest error."""
+    failed = F.col("error").isNotNull()
+    return results.groupBy(by).agg(F.count("*").alias("calls"), F.count_if(failed).alias("failed"), F.mode("error", True).alias("commonest_error"))
+
+
 def direct(entries: DataFrame, backend: Callable[[str, str], str]) -> DataFrame:
     """entries with prompt, direction (usable or null) and error. Store the result once: a backend need not give the same answer again."""
     asked = entries.withColumn("prompt", S.direction_prompt(F.col("speaker"), F.col("text")))

@@ -124,6 +124,12 @@ def collect_outputs(chunks: DataFrame, outputs: DataFrame) -> DataFrame:
     return found.withColumn("list_pos", place.cast("long"))
 
 
+def missing_outputs(chunks: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Per book that isn't whole: how many chunks have no output, and the first and last of them."""
+    idx = F.col("chunk_idx")
+    return pending(chunks, outputs).groupBy("book_id").agg(F.count("*").alias("missing"), F.min(idx).alias("first_missing"), F.max(idx).alias("last_missing"))
+
+
 def run_stats(chunks: DataFrame, outputs: DataFrame, elapsed_s: float, resumed: int = 0) -> DataFrame:
     """Per book: done, total, missing, audio minutes, chunks a minute and seconds left at the given elapsed time."""
     totals = chunks.groupBy("book_id").agg(F.count("*").alias("total"))

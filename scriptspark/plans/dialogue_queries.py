@@ -197,3 +197,14 @@ def dedupe_entries(spark, sf_dir):
  select book_id, entry_idx, chunk_idx, speaker, text, instruct from nb qualify row_number() over (partition by book_id, speaker, text order by entry_idx) = 1""", *_FX))
 def annotate(spark, sf_dir):
     return D.annotate(D.chunk_texts(X.scenes(spark, sf_dir)))
+
+
+_REPORT = """, al as (select book_id from d4 union all select book_id from st), en as (select book_id, count(*) as n from al group by book_id)
+ select book_id, count(distinct chunk_idx) as chunks, coalesce(any_value(n), 0) as entries, coalesce(any_value(n), 0) = 0 as is_empty
+ from fx_scene left join en using (book_id) group by book_id"""
+
+
+@query(with_duck(ENTRIES + _REPORT, *_FX))
+def entry_report(spark, sf_dir):
+    chunks = D.chunk_texts(X.scenes(spark, sf_dir))
+    return D.entry_report(chunks, D.annotate(chunks, dedupe=False))

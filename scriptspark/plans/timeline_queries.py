@@ -128,6 +128,15 @@ def merge_manifest(spark, sf_dir):
     return T.collect_outputs(seg_chunks(spark, sf_dir), X.unfinished_outputs(spark, sf_dir)).select("book_id", "chunk_idx", "speaker", "list_pos")
 
 
+_MISSING = """select book_id, count(*) as missing, min(seg_idx) as first_missing, max(seg_idx) as last_missing
+ from fx_segments s where not exists (select 1 from fx_unfinished u where u.book_id = s.book_id and u.chunk_idx = s.seg_idx) group by book_id"""
+
+
+@query(with_duck(_MISSING, "fx_segments", "fx_outputs", "fx_unfinished"))
+def missing_outputs(spark, sf_dir):
+    return T.missing_outputs(seg_chunks(spark, sf_dir), X.unfinished_outputs(spark, sf_dir))
+
+
 _DURATION = "case when {0} >= 3600 then concat(lpad(cast({0} // 3600 as varchar), 2, '0'), ':', lpad(cast({0} % 3600 // 60 as varchar), 2, '0'), ':', lpad(cast({0} % 60 as varchar), 2, '0')) else concat(lpad(cast({0} // 60 as varchar), 2, '0'), ':', lpad(cast({0} % 60 as varchar), 2, '0')) end"
 
 

@@ -236,6 +236,24 @@ def test_enrich_keeps_failures(spark):
     assert got["good"] == ("Slow, quiet.", None) and got["bad"][0] is None and "no" in got["bad"][1]
 
 
+def test_failure_report(spark):
+    rows = [(1, None), (1, "a"), (1, "b"), (1, "b"), (2, None)]
+    got = E.failure_report(spark.createDataFrame(rows, "book_id long, error string")).orderBy("book_id").collect()
+    assert [tuple(r) for r in got] == [(1, 4, 3, "b"), (2, 1, 0, None)]
+
+
+def test_entry_report_names_empty_books(spark):
+    chunks = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "book_id long, chunk_idx long")
+    made = spark.createDataFrame([(1, "x")], "book_id long, text string")
+    assert sorted(map(tuple, D.entry_report(chunks, made).collect())) == [(1, 2, 1, False), (2, 1, 0, True)]
+
+
+def test_missing_outputs(spark):
+    chunks = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "book_id long, chunk_idx long")
+    made = spark.createDataFrame([(1, 1), (2, 0)], "book_id long, chunk_idx long")
+    assert [tuple(r) for r in T.missing_outputs(chunks, made).collect()] == [(1, 2, 0, 2)]
+
+
 def test_synthesize(spark):
     df = spark.createDataFrame([(1, 0, "A", "hi", "v", "s"), (1, 1, "A", "", "v", "s")], "book_id long, chunk_idx long, speaker string, text string, voice string, style string")
 
