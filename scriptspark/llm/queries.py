@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bestfit, gif, harmonic, labeller, mixing, passages, quality, sharding, simhash, warc
+from . import bestfit, gif, harmonic, labeller, mixing, passages, quality, sharding, simhash, transducer, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (gif.op1_gif_media, mixing.op2_mixing, labeller.op3_block_labeller, sharding.op4_label_propagation, passages.op5_paragraph_minhash, bestfit.op6_best_fit_decreasing, warc.op7_warc_index, quality.op8_host_rules, simhash.op9_simhash, harmonic.op10_harmonic_packing)}
+    found = (
+        gif.op1_gif_media, mixing.op2_mixing, labeller.op3_block_labeller, sharding.op4_label_propagation,
+        passages.op5_paragraph_minhash, bestfit.op6_best_fit_decreasing, warc.op7_warc_index, quality.op8_host_rules,
+        simhash.op9_simhash, harmonic.op10_harmonic_packing, transducer.op13_transducer_counts,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP7 = """with p as (select page_id, coalesce(html, '') as h from pages), g as (select h, max(page_id) as k from p where strlen(h) >= 1000 group by h)
