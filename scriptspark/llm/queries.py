@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import bestfit, gif, harmonic, labeller, mixing, passages, quality, sharding, simhash, transducer, warc
+from . import alignment, bestfit, gif, harmonic, labeller, mixing, passages, quality, sharding, simhash, transducer, warc
 
 
 def queries() -> dict:
     found = (
         gif.op1_gif_media, mixing.op2_mixing, labeller.op3_block_labeller, sharding.op4_label_propagation,
         passages.op5_paragraph_minhash, bestfit.op6_best_fit_decreasing, warc.op7_warc_index, quality.op8_host_rules,
-        simhash.op9_simhash, harmonic.op10_harmonic_packing, transducer.op13_transducer_counts,
+        simhash.op9_simhash, harmonic.op10_harmonic_packing, alignment.op12_lockstep_alignment, transducer.op13_transducer_counts,
     )
     return {f.__name__: f for f in found}
 

@@ -68,7 +68,7 @@ def test_long_texts_are_cut_at_blanks(library, compiled, monkeypatch):
 
 def test_compilation_anew(library, monkeypatch):
     fresh = transducer.Tokenizer(default_path())
-    monkeypatch.setattr(transducer, "MOST", 100)
+    monkeypatch.setattr(transducer, "MOST", 10)
     texts = ["some quite ordinary words", "and others of them"]
     assert fresh.counts(texts).tolist() == wanted(library, texts)
     assert fresh.n_kept == 0
