@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import store
 from .tokens import _byte_letters
 
-#: Characters of a lane of the state vector, and of a block.
+#: Characters of a lane of the state vector, and bytes of a block.
 LANE, BLOCK = 2048, 1 << 21
 
 _blank = re.compile(r"(?<=[\x21-\x7e]) (?=[A-Za-z0-9])")
@@ -188,15 +188,15 @@ def default_paths() -> tuple[str, str]:
 _DOC = "block long, row int, key long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task in blocks of about BLOCK characters."""
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in blocks of about `most` bytes."""
     held, size = [], 0
     for batch in batches:
         sizes = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
         begin = 0
         for k, x in enumerate(sizes):
             size += x
-            if size >= BLOCK:
+            if size >= most:
                 yield pa.Table.from_batches([*held, batch.slice(begin, k + 1 - begin)]).combine_chunks().to_batches()[0]
                 held, size, begin = [], 0, k + 1
         if begin < batch.num_rows:
@@ -205,12 +205,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def linked(docs: DataFrame, key: str, text: str, paths: tuple[str, str]) -> DataFrame:
+def linked(docs: DataFrame, key: str, text: str, paths: tuple[str, str], block_bytes: int = BLOCK) -> DataFrame:
     """One stored row per document, its distinct pairs and their links among them; and one per block and distinct pair (pair, n; key and the rest null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, task = _pair(*paths), TaskContext.get().partitionId()
-        for number, batch in enumerate(_blocks(batches)):
+        for number, batch in enumerate(_blocks(batches, block_bytes)):
             block, n = task << 32 | number, batch.num_rows
             sums, of, pairs, times = align(pair, batch.column(1).to_pylist())
             cuts = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
@@ -229,9 +229,9 @@ def linked(docs: DataFrame, key: str, text: str, paths: tuple[str, str]) -> Data
     return store(rows.mapInArrow(run, f"{_DOC}, pair int, n long"), "linked")
 
 
-def alignments(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
+def alignments(docs: DataFrame, key: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None, block_bytes: int = BLOCK) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256): one row per document."""
-    rows = linked(docs, key, text, paths or default_paths())
+    rows = linked(docs, key, text, paths or default_paths(), block_bytes)
     of_block = rows.where("pair is not null").select("block", "pair", "n")
     counted = of_block.groupBy("pair").agg(F.sum("n").alias("count"))
     # a B id has at most as many pairs as A has ids

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import alignment, bestfit, gif, harmonic, labeller, mixing, passages, quality, sharding, simhash, transducer, warc
+from . import alignment, bestfit, gif, harmonic, labeller, mixing, passages, prefixtrie, quality, sharding, simhash, transducer, warc
 
 
 def queries() -> dict:
     found = (
         gif.op1_gif_media, mixing.op2_mixing, labeller.op3_block_labeller, sharding.op4_label_propagation,
         passages.op5_paragraph_minhash, bestfit.op6_best_fit_decreasing, warc.op7_warc_index, quality.op8_host_rules,
-        simhash.op9_simhash, harmonic.op10_harmonic_packing, alignment.op12_lockstep_alignment, transducer.op13_transducer_counts,
+        simhash.op9_simhash, harmonic.op10_harmonic_packing, prefixtrie.op11_prefix_trie, alignment.op12_lockstep_alignment, transducer.op13_transducer_counts,
     )
     return {f.__name__: f for f in found}
 
@@ -35,5 +35,23 @@ b as (select source, (x + mean * strength) / (n + strength) >= {quality.STRICT_R
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and strict) as kept from j join b on j.source is not distinct from b.source"""
 
 
+OP11 = f"""with recursive bits(i, k, v) as (select i, 0, i from range(256) x(i) union all select i, k + 1, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+crc as (select list(v order by i) as l from bits where k = 8),
+o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % {prefixtrie.FAMILY} as base, case when conv_id % {prefixtrie.FAMILY} = 0 then 0 else
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])), 4294967295) % {prefixtrie.HEADS} end as h
+  from (select distinct conv_id from o), crc),
+r as (select c.conv_id, 0 as own, pos, role, text from c join o on o.conv_id = c.base where pos < h union all select conv_id, 1, pos, role, text from c join o using (conv_id) where pos >= h),
+t as (select conv_id, row_number() over w as d, strlen(text) as size, string_agg(md5(role) || md5(text), '') over w as k from r window w as (partition by conv_id order by own, pos)),
+p as (select conv_id, d, size, md5(k) as k from t union all select conv_id, 0, 0, '' from c),
+q as (select *, lag(k) over (partition by conv_id order by d) as up, d = max(d) over (partition by conv_id) as ends from p),
+n as (select d, k, min(up) as up, min(conv_id) as conv_id, count(*) as n, min(size) as size, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends, bool_and(ends) as leaf from q group by d, k),
+s as (select q.d, q.k, sum((n - 1) * n.size) as saved, count(*) filter (where leaf) as leaves from n join q on q.conv_id = n.conv_id and q.d <= n.d group by q.d, q.k),
+ch as (select d - 1 as d, up as k, count(*) as children from n where d > 0 group by all)
+select n.conv_id, n.d as depth, m.conv_id as parent_conv_id, n.n as n_convs, coalesce(children, 0) as n_children, leaves as n_leaves, saved::bigint as saved_tokens, n.ends as ends_sha256
+from n join s using (d, k) left join ch using (d, k) left join n m on m.d = n.d - 1 and m.k = n.up"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_index": OP7, "op8_host_rules": OP8}
+    return {"op7_warc_index": OP7, "op8_host_rules": OP8, "op11_prefix_trie": OP11}

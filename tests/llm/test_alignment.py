@@ -95,11 +95,10 @@ def test_settled_characters_by_both_engines(pair):
         assert [pair.fast.encode_ordinary(x) for x in texts] == [e.ids for e in pair.a.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_counts_over_all_documents(spark, library, monkeypatch):
-    monkeypatch.setattr(alignment, "BLOCK", 200)
+def test_counts_over_all_documents(spark, library):
     rows = [(i, t, i) for i, t in enumerate(ODD)] + [(3, ODD[3], 9), (None, ODD[1], 9), (50, None, 9), (51, "", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pair long").repartition(3)
-    got = alignment.alignments(docs)
+    got = alignment.alignments(docs, block_bytes=200)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     want = [(k, *w) for (k, _, _), w in zip(rows, wanted(library, [t or "" for _, t, _ in rows]), strict=True)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
