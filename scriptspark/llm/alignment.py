@@ -4,8 +4,9 @@ A text, with a space before it, is encoded by A (a byte-level BPE file) and by B
 which adds the space itself). Two tokens are linked where their byte ranges overlap; where tokens of both end at one
 byte, a group ends.
 
-The merge runs in lockstep: long texts are cut at single spaces between words, where tokens of both end, and every
-such lane of a block has a place in one state vector of two pointers. Each step emits the link of
+Tokens of both end at single spaces between words, so a block's distinct words are encoded once and texts put together from them.
+The merge runs in lockstep: long texts are cut in lanes at such spaces, and every
+lane of a block has a place in one state vector of two pointers. Each step emits the link of
 each lane's two tokens, notes whether both end there (a cut), and advances the pointer whose token ends first, or both; lanes
 that are done leave the vector. So a block of any texts takes as many steps as its longest lane has links.
 
@@ -36,21 +37,32 @@ from pyspark.sql import functions as F
 from .common import store
 from .tokens import _byte_letters
 
-#: Characters of a lane of the state vector, and bytes of a block.
+#: Bytes of a lane of the state vector, and bytes of a block.
 LANE, BLOCK = 2048, 1 << 21
+#: Characters of distinct words that are encoded together.
+TOGETHER = 1 << 14
 
-_blank = re.compile(r"(?<=[\x21-\x7e]) (?=[A-Za-z0-9])")
+_ENDS, _BEGINS = "[\x21-\x7e¡-ɏЀ-џ‐-‧一-鿿가-힣]", "[A-Za-z0-9À-ɏЀ-џ]"
+_split = re.compile(f"(?<={_ENDS}) (?={_BEGINS})").split
 #: Texts whose characters every version of Unicode takes for the same kind: the fast engine serves for them.
 _settled = re.compile("[\t\n\r\x20-\x7e¡-ɏЀ-џ‐-‧一-鿿가-힣]*").fullmatch
+#: Words that can stand side by side in one text.
+_clean = re.compile(f"(?s)(?={_BEGINS}).*(?<={_ENDS})").fullmatch
 
 
-def lanes_of(text: str) -> list[str]:
-    """The text cut at single spaces between words, about every LANE characters; the spaces go."""
-    out, at = [], 0
-    while len(text) - at > LANE and (m := _blank.search(text, at + LANE)):
-        out.append(text[at : m.start()])
-        at = m.end()
-    return [*out, text[at:]]
+class _Tokens:
+    """Ids of distinct words, laid end to end, and of any sequence of these."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray, back: np.ndarray, size: np.ndarray):
+        self.n, self.first = n[back], (np.cumsum(n) - n)[back]
+        self.flat, self.size = flat, size
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, the byte after each, where each word's begin, and the end)."""
+        n = self.n[words]
+        start = np.r_[0, np.cumsum(n)]
+        ids = self.flat[np.repeat(self.first[words] - start[:-1], n) + np.arange(start[-1])]
+        return ids, np.cumsum(self.size[ids]), start
 
 
 class Pair:
@@ -83,24 +95,60 @@ class Pair:
         self.spelled = [f"{i}{c}".encode() for c in (",", "|", ",", ";") for i in range(top)]
         self.top = top
 
-    def encode(self, lanes: list[str]) -> tuple[list, list]:
-        """Ids of each lane under A and under B."""
-        spaced = [f" {x}" for x in lanes]
-        odd = [i for i, x in enumerate(spaced) if not _settled(x)]
-        slow = dict(zip(odd, (e.ids for e in self.a.encode_batch([spaced[i] for i in odd], add_special_tokens=False)), strict=True)) if odd else {}
-        a = [slow[i] if i in slow else self.fast.encode_ordinary(x) for i, x in enumerate(spaced)]
-        return a, self.b.encode(lanes, num_threads=1)
-
-    def whole(self, lane: str, a: list[int], b: list[int]) -> bool:
-        """Whether both give back the bytes of the lane with a space before it."""
-        raw = f" {lane}".encode("utf-8", "surrogatepass")
+    def encode(self, words: list[str]) -> tuple[_Tokens, _Tokens, np.ndarray]:
+        """(each word's ids under A and under B, a space before it; whether they don't give back its bytes)."""
+        plain = [i for i, w in enumerate(words) if _clean(w) and _settled(w)]
+        rest = sorted(set(range(len(words))).difference(plain))
+        parts, order, begin, size = [], [], 0, 0
+        for k, i in enumerate(plain):
+            size += len(words[i])
+            if size >= TOGETHER or k + 1 == len(plain):
+                own = plain[begin : k + 1]
+                found = self._together([words[i] for i in own])
+                if found is None:
+                    rest += own
+                else:
+                    parts.append(found)
+                    order += own
+                begin, size = k + 1, 0
+        if rest:
+            parts.append(self._apart([words[i] for i in rest]))
+        back = np.empty(len(words), np.int64)
+        back[np.array(order + rest, np.int64)] = np.arange(len(words))
+        flat_a, n_a, flat_b, n_b, lost = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 5))
+        return _Tokens(flat_a, n_a, back, self.size_a), _Tokens(flat_b, n_b, back, self.size_b), lost.astype(bool)[back]
+
+    def _together(self, words: list[str]) -> tuple | None:
+        """(ids, ids per word) under A and B and what is lost (nothing), from one text of all words; None where bytes don't come back."""
+        text = " ".join(words)
+        raw = f" {text}".encode()
+        ends = np.cumsum(np.array(list(map(len, words)) if text.isascii() else [len(w.encode()) for w in words], np.int64) + 1)
+        out = []
+        for ids, size, table in ((self.fast.encode_ordinary(f" {text}"), self.size_a, self.bytes_a), (self.b.encode(text), self.size_b, self.bytes_b)):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+            flat = np.array(ids, np.int64)
+            last = np.searchsorted(np.cumsum(size[flat]), ends) + 1
+            out += flat, np.diff(np.r_[0, last])
+        return *out, np.zeros(len(words), bool)
+
+    def _apart(self, words: list[str]) -> tuple:
+        """The same, word by word, by the libraries that define the ids."""
+        a = [e.ids for e in self.a.encode_batch([f" {w}" for w in words], add_special_tokens=False)]
+        b = self.b.encode(words, num_threads=1)
+        lost = np.array([not self._whole(*x) for x in zip(words, a, b, strict=True)], bool)
+        flat = [x for ids in (a, b) for x in (np.array(list(chain.from_iterable(ids)), np.int64), np.array(list(map(len, ids)), np.int64))]
+        return *flat, lost
+
+    def _whole(self, word: str, a: list[int], b: list[int]) -> bool:
+        raw = f" {word}".encode("utf-8", "surrogatepass")
         return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
 
 
 def lockstep(end_a: np.ndarray, end_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lane, place in A, place in B) of every link of all lanes.
 
-    end_a, end_b: the byte after each token, counted from the lane's start; at_a, at_b: each lane's first token; until: the place after
+    end_a, end_b: the byte after each token, counted alike in both; at_a, at_b: each lane's first token; until: the place after
     its last token of A. A step emits one link of every lane in the state vector.
     """
     lane, i, j = np.arange(len(at_a)), at_a.copy(), at_b.copy()
@@ -119,39 +167,35 @@ def lockstep(end_a: np.ndarray, end_b: np.ndarray, at_a: np.ndarray, at_b: np.nd
     return tuple(np.concatenate(x) for x in zip(*links, strict=True))
 
 
-def _ends(ids: list[list[int]], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(flat ids, the byte after each token within its lane, where each lane starts)."""
-    first = np.cumsum([0, *map(len, ids)])
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(first[-1]))
-    total = np.r_[0, np.cumsum(size[flat])]
-    return flat, total[1:] - np.repeat(total[first[:-1]], np.diff(first)), first
-
-
 def align(pair: Pair, texts: list[str | None]) -> tuple[dict[str, np.ndarray | list], np.ndarray, np.ndarray, np.ndarray]:
     """(columns n_a, n_b, n_groups, n_links, groups_sha256; and of each text's distinct linked pairs: text, pair, how many links)."""
-    lanes, of = [], []
-    for t, text in enumerate(texts):
-        for x in lanes_of(text) if text else ():
-            lanes.append(x)
-            of.append(t)
-    ids_a, ids_b = pair.encode(lanes)
-    lost = {t for t, x, a, b in zip(of, lanes, ids_a, ids_b, strict=True) if not pair.whole(x, a, b)}
-    if lost:
-        kept = [k for k, t in enumerate(of) if t not in lost]
-        of, ids_a, ids_b = [of[k] for k in kept], [ids_a[k] for k in kept], [ids_b[k] for k in kept]
-    text_of = np.array(of, np.int64)
-    (a, end_a, first_a), (b, end_b, first_b) = _ends(ids_a, pair.size_a), _ends(ids_b, pair.size_b)
-    lane, i, j = lockstep(end_a, end_b, first_a[:-1], first_b[:-1], first_a[1:])
-    cut = end_a[i] == end_b[j]
-    n = len(texts)
+    number: dict[str, int] = {}
+    sequence, counts, n = [], [], len(texts)
+    for text in texts:
+        own = [number.setdefault(w, len(number)) for w in _split(text)] if text else []
+        sequence += own
+        counts.append(len(own))
+    words, text_of = np.array(sequence, np.int64), np.repeat(np.arange(n), counts)
+    of_a, of_b, lost = pair.encode(list(number))
+    if lost.any():
+        kept = (np.bincount(text_of, lost[words], n) == 0)[text_of]
+        words, text_of = words[kept], text_of[kept]
+    (a, end_a, first_a), (b, end_b, first_b) = of_a.of(words), of_b.of(words)
+    # a lane begins with a text, and about every LANE bytes of it
+    byte = np.r_[0, end_a][first_a[:-1]]
+    begin = np.searchsorted(text_of, text_of)
+    place = (byte - byte[begin]) // LANE
+    head = np.flatnonzero(np.r_[True, (text_of[1:] != text_of[:-1]) | (place[1:] != place[:-1])]) if len(words) else np.zeros(0, np.int64)
+    lane, i, j = lockstep(end_a, end_b, first_a[head], first_b[head], first_a[np.r_[head[1:], len(words)]] if len(head) else first_a[head])
+    cut, lane_of = end_a[i] == end_b[j], text_of[head]
     sums = {
         "n_a": np.bincount(text_of, np.diff(first_a), n).astype(np.int64), "n_b": np.bincount(text_of, np.diff(first_b), n).astype(np.int64),
-        "n_groups": np.bincount(text_of[lane[cut]], minlength=n).astype(np.int64), "n_links": np.bincount(text_of[lane], minlength=n).astype(np.int64),
+        "n_groups": np.bincount(lane_of[lane[cut]], minlength=n).astype(np.int64), "n_links": np.bincount(lane_of[lane], minlength=n).astype(np.int64),
     }
     last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     last_a[i[cut]], last_b[j[cut]] = True, True
     sums["groups_sha256"] = _digests(pair, a, b, last_a, last_b, np.cumsum(sums["n_a"] + sums["n_b"]))
-    key, times = np.unique(text_of[lane] << 31 | a[i] << 15 | b[j], return_counts=True)
+    key, times = np.unique(lane_of[lane] << 31 | a[i] << 15 | b[j], return_counts=True)
     return sums, key >> 31, key & (1 << 31) - 1, times
 
 
