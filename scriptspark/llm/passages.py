@@ -10,7 +10,11 @@ well, wherever it starts. Each text is marked by anchors, windows of ANCHOR_WORD
 neighbours', so that two texts that share a passage share an anchor of it. An anchor's context is the widest
 run that passages around it can cover. Where an earlier document has the same context, all of it is
 removed; of anchors that several contexts share, one occurrence of each context is read again and all windows of
-PASSAGE_WORDS around it are compared. So each run found lies within one document that keeps it.
+PASSAGE_WORDS around it are compared.
+
+Nothing is removed without a copy: paragraphs are decided first, and an occurrence of a passage that a removed paragraph
+overlaps neither keeps the passage nor goes on its account; the first other document keeps it. A passage's keeper has a smaller
+key, so each word of it stays there or, where a still earlier document has that part of it in a passage, there.
 
 Equal paragraphs are one node. In a bucket every paragraph is held against a leader (in buckets of over SMALL_BUCKET
 against a few more, turn by turn); when the components of these links are known, only pairs that stand in different components
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, components, fresh_name, one_row_each, own_keys, store
@@ -133,13 +137,56 @@ def _held_before(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper < last").select(by, "keeper")
 
 
-def shared_contexts(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans (key, at, words, keeper) of contexts that an earlier document has; (key, at) of anchors to read again)."""
+def shared_anchors(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchors (key, h, context, at, words) that several documents have, stored; (key, at) of those to read again).
+
+    Read again is one occurrence of each context, where several contexts share the anchor.
+    """
     met = store(marks.join(_held_before(marks, "h").select("h"), "h"), "shared-anchors")
-    judged = store(met.join(_held_before(met, "context"), "context", "left").select("key", "h", "at", "words", "keeper"), "contexts")
-    spans = judged.where("key <> keeper").select("key", F.greatest(F.lit(0), F.col("at") - REACH).alias("at"), "words", "keeper")
-    first = judged.where("keeper is null or key = keeper").select("key", "h", "at")
-    return spans, first.join(_held_before(first, "h").select("h"), "h").select("key", "at")
+    first = met.groupBy("context", "h").agg(F.min(F.struct("key", "at")).alias("first")).select("first.key", "h", "first.at")
+    return met, first.join(_held_before(first, "h").select("h"), "h").select("key", "at")
+
+
+def reach(rows: DataFrame, gone: DataFrame, pos: Column) -> DataFrame:
+    """rows (key, ..) with far: the farthest end among the runs of gone (key, at, words) in the same text that begin at pos or before; 0 if none does."""
+    ends = gone.select("key", F.col("at").alias("__pos"), F.lit(0).alias("__row"), (F.col("at") + F.col("words")).alias("__stop"))
+    own = rows.withColumns({"__pos": pos, "__row": F.lit(1)})
+    upto = Window.partitionBy("key").orderBy("__pos", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    seen = own.unionByName(ends, allowMissingColumns=True).withColumn("far", F.coalesce(F.max("__stop").over(upto), F.lit(0)))
+    return seen.where("__row = 1").select(*rows.columns, "far")
+
+
+def untouched(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (key, at, words, ..) that no run of gone (key, at, words) overlaps."""
+    return reach(rows, gone, F.col("at") + F.col("words") - 1).where("far <= at").drop("far")
+
+
+def passages_of(met: DataFrame, edges: DataFrame, windows: DataFrame, gone: DataFrame) -> DataFrame:
+    """(key, at, words, keeper): runs that an earlier document has, where that document's words aren't in gone (key, at, words).
+
+    met, edges: shared_anchors(); windows (key, h, at): all of PASSAGE_WORDS around the edges. An occurrence of a context that gone
+    overlaps neither goes nor keeps: the first that it leaves alone keeps. Where that isn't the occurrence that was read, its
+    windows are those read, moved. Of occurrences that gone overlaps in part, the windows that it leaves alone are compared with
+    one another and with the first.
+    """
+    ours, size = ["context", "h"], F.lit(PASSAGE_WORDS).alias("words")
+    place = met.select("key", *ours, F.greatest(F.lit(0), F.col("at") - REACH).alias("at"), "words", F.col("at").alias("spot"))
+    seen = store(reach(place, gone, F.col("at") + F.col("words") - 1).withColumn("whole", F.col("far") <= F.col("at")).drop("far"), "context-places")
+    whole, hit = seen.where("whole").drop("whole"), seen.where("not whole").drop("whole")
+    keeps = whole.groupBy(*ours).agg(F.min(F.struct("key", "spot", "at")).alias("first"), F.max("key").alias("last"))
+    spans = whole.join(keeps.where("first.key < last").select(*ours, F.col("first.key").alias("keeper")), ours).where("key <> keeper").select("key", "at", "words", "keeper")
+    moved = hit.join(edges.withColumnRenamed("at", "spot"), ["key", "spot"]).join(keeps.select(*ours, "first"), ours)
+    steps = moved.select("key", "first", F.col("spot").alias("from"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("spot") - REACH), F.col("spot"))).alias("at"))
+    shifted = windows.join(steps, ["key", "at"]).select(F.col("first.key").alias("key"), "h", (F.col("at") - F.col("from") + F.col("first.spot")).alias("at"), size)
+    # of contexts hit in part: a window is named by its place in the context
+    parts = store(reach(hit, gone, F.col("at")).where("far < at + words").drop("far"), "hit-contexts")
+    firsts = keeps.select(*ours, "first").join(parts.select(*ours).distinct(), ours, "left_semi")
+    both = parts.select("key", *ours, "at", "words").unionByName(firsts.join(parts.groupBy(*ours).agg(F.max("words").alias("words")), ours).select("first.key", *ours, "first.at", "words"))
+    inner = both.select("key", *ours, "at", F.explode(F.sequence(F.lit(0), F.col("words") - PASSAGE_WORDS)).alias("step"))
+    named = inner.select("key", F.xxhash64(*ours, "step").alias("h"), (F.col("at") + F.col("step")).alias("at"), size)
+    held = store(untouched(windows.select("key", "h", "at", size), gone).unionByName(shifted).unionByName(untouched(named, gone)).distinct(), "whole-windows")
+    hits = held.join(_held_before(held, "h"), "h").where("key <> keeper").select("key", "at", "words", "keeper")
+    return merged(spans.unionByName(hits))
 
 
 def read_again(docs: DataFrame, key: str, text: str, spots: DataFrame) -> DataFrame:
@@ -309,16 +356,17 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     seen = scanned(docs, key, text)
     marks, units = seen.select("key", F.inline("anchors")), seen.select("key", F.inline("paragraphs"))
-    spans, edges = shared_contexts(marks)
+    anchored, edges = shared_anchors(marks)
+    edges = store(edges, "edges")
     met = in_buckets(units)
     anchors_again = edges.select("key", F.lit(None).cast("long").alias("h"), "at", F.lit(None).cast("int").alias("words"))
     again = read_again(docs, key, text, anchors_again.unionByName(set_spots(units, met)))
-    windows = again.select("key", F.inline("windows"))
-    hits = windows.join(_held_before(windows, "h"), "h").where("key <> keeper").select("key", "at", F.lit(PASSAGE_WORDS).alias("words"), "keeper")
-    passages = merged(spans.unionByName(hits)).withColumn("kind", F.lit("passage"))
     classes = similar(met, store(again.select(F.inline("sets")), "shingle-sets"))
     members = store(units.select("key", "h", "at", "words").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h")), "members")
-    near = members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key", "at", "words", "keeper", F.lit("paragraph").alias("kind"))
+    near = members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key", "at", "words", "keeper")
+    near = store(near, "near-paragraphs")
+    passages = passages_of(anchored, edges, again.select("key", F.inline("windows")), near).withColumn("kind", F.lit("passage"))
+    near = near.withColumn("kind", F.lit("paragraph"))
     found = passages.unionByName(near)
     return found.select(F.col("key").alias(key), F.col("at").alias("start"), "words", F.col("keeper").alias("keeper"), "kind")
 

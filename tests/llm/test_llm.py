@@ -378,33 +378,108 @@ def spans_of(found, texts):
     return {(r["doc_id"], " ".join(texts[r["doc_id"]].split()[r["start"] : r["start"] + r["words"]]), r["keeper"], r["kind"]) for r in found.collect()}
 
 
-def later_windows(texts, size=50):
-    """For each text the places of words in runs of `size` that a text with a smaller id has as well."""
-    first, out = {}, {i: set() for i in texts}
+def later_windows(texts, gone=None, size=50):
+    """For each text the places of words in runs of `size` that a text with a smaller id has as well; runs with a word of gone don't count."""
+    first, out, gone = {}, {i: set() for i in texts}, gone or {}
     for i in sorted(texts):
-        words = texts[i].encode().lower().split()
+        words, lost = texts[i].encode().lower().split(), gone.get(i, set())
         for at in range(len(words) - size + 1):
-            if first.setdefault(tuple(words[at : at + size]), i) != i:
+            if not lost.intersection(range(at, at + size)) and first.setdefault(tuple(words[at : at + size]), i) != i:
                 out[i].update(range(at, at + size))
     return out
 
 
+def nothing_lost(rows, texts):
+    """Every word of a removed passage stays in the keeper, or where the keeper's own passages have it; no keeper's part goes with a paragraph."""
+    words = {i: t.lower().split() for i, t in texts.items()}
+    gone = defaultdict(set)
+    for r in rows:
+        if r["kind"] == "paragraph":
+            gone[r["doc_id"]].update(range(r["start"], r["start"] + r["words"]))
+    passage = defaultdict(list)
+    for r in rows:
+        if r["kind"] == "passage":
+            passage[r["doc_id"]].append((r["start"], r["start"] + r["words"], r["keeper_doc_id"]))
+
+    def stays(i, at):
+        if at in gone[i]:
+            return False
+        held = [p for p in passage[i] if p[0] <= at < p[1]]
+        return not held or any(found(i, *p, at) for p in held)
+
+    def found(i, a, b, keeper, at):
+        own = words[keeper]
+        for low in range(max(a, at - 49), min(at, b - 50) + 1):
+            run = words[i][low : low + 50]
+            if any(own[k] == run[0] and own[k : k + 50] == run and stays(keeper, k + at - low) for k in range(len(own) - 49)):
+                return True
+        return False
+
+    for i, held in list(passage.items()):
+        for a, b, keeper in held:
+            assert keeper < i and not gone[i].intersection(range(a, b))
+            assert all(found(i, a, b, keeper, at) for at in (a, (a + b) // 2, b - 1)), (i, a, b, keeper)
+
+
 def test_op5_passages_match_brute_force(spark):
-    """Whole table: every run of 50 words that an earlier document has, no other word, and a keeper that has it."""
+    """Whole table: every run of 50 words that an earlier document has and keeps, no other word, and a keeper that has it."""
     sf_dir = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    want, got, lines = later_windows(texts), defaultdict(set), 0
+    got, gone, lines = defaultdict(set), defaultdict(set), 0
     joined = {i: " " + " ".join(t.lower().split()) + " " for i, t in texts.items()}
-    for r in passages.op5_paragraph_minhash(spark, sf_dir).collect():
+    rows = passages.op5_paragraph_minhash(spark, sf_dir).collect()
+    for r in rows:
         if r["kind"] == "passage":
             got[r["doc_id"]].update(range(r["start"], r["start"] + r["words"]))
             words = texts[r["doc_id"]].lower().split()
             assert all(" " + " ".join(words[at : at + 50]) + " " in joined[r["keeper_doc_id"]] for at in (r["start"], r["start"] + r["words"] - 50))
         else:
             lines += 1
+            gone[r["doc_id"]].update(range(r["start"], r["start"] + r["words"]))
             assert r["words"] >= passages.LEAST_WORDS and r["keeper_doc_id"] < r["doc_id"]
-    assert sum(map(len, want.values())) > 10_000 and lines > 100
+    want = later_windows(texts, gone)
+    assert lines > 100 and sum(map(len, got.values())) > 1000
     assert {i: x for i, x in want.items() if x} == dict(got)
+    nothing_lost(rows, texts)
+
+
+def test_a_passage_whose_keeper_goes_stays_elsewhere(spark):
+    """B is a near copy of A and holds a passage that C and D have: B goes, C keeps the passage, D loses it."""
+    rng = random.Random(21)
+    words = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10_000)}" for _ in range(n)]
+    a, z = words(600), words(55)
+    texts = {1: a, 2: [*a[:300], *z, *a[355:]], 3: [*words(100), *z, *words(100)], 4: [*words(80), *z, *words(90)]}
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    df = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
+    rows = [r.asDict() | {"keeper_doc_id": r["keeper"]} for r in passages.removals(df).collect()]
+    assert {(r["doc_id"], r["start"], r["words"], r["keeper"], r["kind"]) for r in rows} == {(2, 0, 600, 1, "paragraph"), (4, 80, 55, 3, "passage")}
+    nothing_lost(rows, texts)
+    out = {r["doc_id"]: r["text"] for r in passages.stage(spark, df, "").collect()}
+    assert out[1] == texts[1] and out[3] == texts[3] and 2 not in out and " ".join(z) not in out[4]
+
+
+def test_no_copy_is_lost_in_mixed_tables(spark):
+    """Near copies, passages across them and passages that overlap one another, in random order."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        words = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10_000)}" for _ in range(n)]
+        pool = [words(rng.randint(60, 200)) for _ in range(6)]
+        texts = {}
+        for i in range(40):
+            lines = []
+            for _ in range(rng.randint(1, 4)):
+                line = list(rng.choice(pool)) if rng.random() < 0.5 else words(rng.randint(30, 120))
+                if rng.random() < 0.4:
+                    line[rng.randrange(len(line))] = "changed"
+                if rng.random() < 0.5:
+                    other = rng.choice(pool)
+                    at = rng.randrange(len(other) - 50)
+                    line[10:10] = other[at : at + rng.randint(50, 90)]
+                lines.append(" ".join(line))
+            texts[i] = "\n".join(lines)
+        rows = [r.asDict() | {"keeper_doc_id": r["keeper"]} for r in passages.removals(docs_of(spark, [(i, t, "s") for i, t in texts.items()])).collect()]
+        assert {r["kind"] for r in rows} == {"passage", "paragraph"}
+        nothing_lost(rows, texts)
 
 
 def test_planted_passages(spark):
@@ -562,7 +637,7 @@ def test_op5_odd_tables(spark, odd, empty):
     docs, _, back = common.own_keys(docs_of(spark, rows), "doc_id", "text", "row")
     assert docs.select("row").distinct().count() == 6 and back.count() == 5
     got = passages.removals(docs, "row").collect()  # the key 9 of its own comes first
-    assert {(r["keeper"], r["words"]) for r in got if r["kind"] == "passage"} == {(9, 60)} and len({r["row"] for r in got}) == 4
+    assert {(r["keeper"], r["words"], r["kind"]) for r in got} == {(9, 60, "paragraph")} and len({r["row"] for r in got}) == 4
     left = Counter((r["doc_id"], r["text"]) for r in passages.stage(spark, docs_of(spark, rows), "").collect())
     assert left == Counter([(None, "one"), (None, "two"), (3, "three"), (3, "other words"), (3, "four"), (3, "four"), (9, passage + "\nfive")])
     assert {r["doc_id"] for r in passages.removals(common.own_keys(odd, "doc_id", "text", "row")[0], "row").join(common.own_keys(odd, "doc_id", "text", "row")[0], "row").collect()} == {5}
