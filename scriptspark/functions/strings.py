@@ -33,9 +33,18 @@ SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 SPACE = f"[{SPACES}]"
 
 
+#: The same characters as a text, for trims.
+_SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_space(text: Column) -> Column:
     """Without white space of any kind at both ends; `trim` takes blanks alone."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
+
+
+def has_rare_space(text: Column) -> Column:
+    """Whether white space beyond ASCII stands in the text."""
+    return text.rlike(r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
 
 def preview(text: Column, n: int = 80) -> Column:
@@ -79,8 +88,8 @@ INLINE_RULES = [
 
 def sentences_simple(text: Column) -> Column:
     """Array of sentences: cuts after . ! ? before white space."""
-    parts = F.transform(F.split(text, rf"(?<=[.!?]){SPACE}+"), trim_space)
-    return F.filter(parts, lambda x: x != "")
+    split = lambda space: F.split(text, rf"(?<=[.!?]){space}+")
+    return F.filter(F.transform(F.when(has_rare_space(text), split(SPACE)).otherwise(split(r"\s")), trim_space), lambda x: x != "")
 
 
 def strip_attribution(span: Column) -> Column:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from operator import and_
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptspark.functions import strings as S
+from scriptspark.operators.scan import chunked_scan
+from scriptspark.storage import store
 
 CHUNK_BYTES, SEGMENT_BYTES = 3000, 500
 
@@ -19,32 +17,42 @@ CHUNK_BYTES, SEGMENT_BYTES = 3000, 500
 ABBREVIATIONS = "Dr Fr Mr Mrs Ms St Prof Rev Lt Col Gen Sgt Cpl vs etc viz cf al op".split()
 LEAST_WORDS = 5
 
-_PIECE = rf"(?s).*?[.!?](?:{S.SPACE}+|\z)|.+\z"
-
 
 def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
     """Array of sentences: cuts at . ! ? that no abbreviation, lower-case word or short sentence forbids.
 
     Pieces end at each candidate; what makes one a cut is local to it, except for the words since the
-    last accepted cut, which a fold over the pieces of this one text carries.
+    last accepted cut, which a fold over the pieces of this one text carries. Texts without rare white space, nearly
+    all, are read with short patterns.
     """
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    word = lambda p: F.regexp_extract(p, rf"([^{S.SPACES}]*)[.!?]{S.SPACE}*\z", 1)
+    return F.when(S.has_rare_space(text), _guarded(text, strict_abbrev, S.SPACE)).otherwise(_guarded(text, strict_abbrev, r"\s"))
+
+
+def _guarded(text: Column, strict_abbrev: bool, space: str) -> Column:
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).*?[.!?](?:{space}+|\z)|.+\z"), F.lit(0))
+
+    def read(piece: Column) -> Column:
+        return F.struct(piece.alias("text"), F.split(S.trim_space(piece), f"{space}+").alias("tokens"))
+
+    def split(piece: Column) -> Column:
+        last = F.element_at(piece["tokens"], -1)
+        words = F.when(last == "", 0).otherwise(F.size(piece["tokens"]))
+        return F.struct(piece["text"].alias("text"), words.alias("words"), last.alias("last"), F.substring(last, 1, F.char_length(last) - 1).alias("w"))
 
     def cuts(piece: Column, after: Column) -> Column:
-        w = word(piece)
+        w = piece["w"]
         short = (F.octet_length(w) == 1) & w.rlike(r"^\p{L}$") | (F.octet_length(w) == 2) & w.rlike(r"^\p{L}+$")
         abbreviated = F.contains(w, F.lit(".")) | F.lower(w).isin([a.lower() for a in ABBREVIATIONS])
         if strict_abbrev:
             abbreviated = abbreviated | short
         follows = after.isNull() | after.rlike(r"^[\p{Lu}0-9\"'“‘]")
-        return piece.rlike(rf"[.!?]{S.SPACE}*\z") & ~abbreviated & follows
+        return F.substring(piece["last"], -1, 1).isin(".", "!", "?") & ~abbreviated & follows
 
     def mark(all_: Column) -> Column:
-        return F.transform(all_, lambda p, i: F.struct(p.alias("text"), F.size(F.filter(F.split(p, rf"{S.SPACE}+"), lambda x: x != "")).alias("words"), cuts(p, F.get(all_, i + 1)).alias("cut")))
+        return F.transform(all_, lambda p, i: F.struct(p["text"].alias("text"), p["words"].alias("words"), cuts(p, F.get(all_, i + 1)["text"]).alias("cut")))
 
-    # inside a one-element array the pieces are a bound variable: the pattern runs once per text, not once per piece
-    marked = F.get(F.transform(F.array(pieces), mark), F.lit(0))
+    # inside a one-element array the pieces are a bound variable: each is split once, not once for every use
+    marked = F.get(F.transform(F.array(F.transform(F.transform(pieces, read), split)), mark), F.lit(0))
     start = F.struct(F.lit("").alias("cur"), F.lit(0).alias("words"), F.array().cast("array<string>").alias("done"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -56,37 +64,97 @@ def sentences_guarded(text: Column, strict_abbrev: bool = True) -> Column:
     return F.filter(F.transform(done, S.trim_space), lambda x: x != "")
 
 
+class Packer:
+    """Greedy packs as an automaton: the state is (bytes in the open pack, its number).
+
+    A pack that begins at unit p ends where running sums pass a bound, so each unit has one successor. For any fill on entry,
+    the first cut in a chunk is found in the sums alone, and what follows it depends on that cut only: the map of a chunk is the
+    sums up to the farthest first cut, and for each cut the exit. Paths that meet are followed once.
+    """
+
+    columns = ["len", "slack", "glue", "force"]
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def _read(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size, slack, glue = (np.nan_to_num(c.astype(float)).astype(np.int64) for c in columns[:3])
+        upto = np.cumsum(size + glue)
+        reach = upto - glue + slack
+        if (np.diff(reach) < 0).any():
+            raise ValueError("slack must not fall by more than a unit's length and glue")
+        return size, upto, reach, columns[3].astype(bool)
+
+    def _successors(self, size: np.ndarray, upto: np.ndarray, reach: np.ndarray, forced: np.ndarray) -> np.ndarray:
+        """Where the pack that begins at each unit ends; forced: units that begin a pack anyway."""
+        n = len(size)
+        stop = np.r_[np.flatnonzero(forced), n]
+        own = np.arange(n)
+        nxt = np.maximum(np.searchsorted(reach, self.most + upto - size, side="right"), own + 1)
+        return np.minimum(nxt, stop[np.searchsorted(stop, own, side="right")])
+
+    def run(self, columns: list[np.ndarray], begins: np.ndarray, entry: tuple[int, int] | None) -> tuple[np.ndarray, tuple[int, int]]:
+        size, upto, reach, force = self._read(columns)
+        n = len(size)
+        forced = force.copy()
+        forced[begins] = True
+        nxt = self._successors(size, upto, reach, forced).tolist()
+        first = 0 if entry is None else self._first_cut(entry[0], reach, force)
+        starts, at = [], first
+        while at < n:
+            starts.append(at)
+            at = nxt[at]
+        new = np.zeros(n, np.int64)
+        new[starts] = 1
+        packs = np.cumsum(new) - 1 + (0 if entry is None else entry[1] + 1)
+        base = np.zeros(n, np.int64)
+        if len(begins) > 1:  # every key counts from 0
+            base[begins[1:]] = np.diff(packs[begins])
+            packs = packs - np.cumsum(base)
+        fill = entry[0] + int(upto[-1]) if not starts else int(upto[-1] - upto[starts[-1]] + size[starts[-1]])
+        return packs.astype(np.int32), (fill, int(packs[-1]))
+
+    def _first_cut(self, fill: int, reach: np.ndarray, force: np.ndarray) -> int:
+        at = int(np.searchsorted(reach, self.most - fill, side="right"))
+        return min(at, int(force.argmax())) if force.any() else at
+
+    def summary(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(sums up to each possible first cut, fill and packs after the chunk for each, sum of all)."""
+        size, upto, reach, force = self._read(columns)
+        n, far = len(size), self._first_cut(0, reach, force)
+        nxt = self._successors(size, upto, reach, force).tolist()
+        known: dict[int, tuple[int, int]] = {}
+        for p in range(min(far, n - 1), -1, -1):
+            path, at = [], p
+            while at not in known and nxt[at] < n:
+                path.append(at)
+                at = nxt[at]
+            fill, packs = known.setdefault(at, (int(upto[-1] - upto[at] + size[at]), 1))
+            for at in reversed(path):
+                packs += 1
+                known[at] = fill, packs
+        cuts = [known[p] for p in range(min(far, n - 1) + 1)]
+        return reach[: far + 1], np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts]), int(upto[-1]) if far >= n else -1
+
+    def through(self, summary: tuple, entry: tuple[int, int]) -> tuple[int, int]:
+        reach, fills, packs, whole = summary
+        at = min(int(np.searchsorted(reach, self.most - entry[0], side="right")), len(reach) if whole >= 0 else len(reach) - 1)
+        if at == len(reach):
+            return entry[0] + whole, entry[1]
+        return int(fills[at]), entry[1] + int(packs[at])
+
+
 def with_pack(units: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
     """units (keys, order, len, slack, glue, force) with column pack: greedy, a unit joins while pack + unit + slack <= most.
 
     `glue` bytes join two units, `force` begins a pack, a null length counts as 0; keys and order together name a unit.
-    What a unit's pack is depends on all before it in its key, so the fold runs in order, but over lengths alone:
-    sorted by Spark, read batch by batch, with two numbers kept. Texts are joined to their packs afterwards.
+    The units are stored, so that what makes them is computed once; the scan reads their lengths alone and a key of any
+    size is spread over tasks (see scan). Texts are joined to their packs afterwards.
     """
-    names = [*keys, *order]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cur, pack = None, 0, -1
-        for batch in batches:
-            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            sizes = zip(of, *(batch.column(c).to_pylist() for c in ("len", "slack", "glue", "force")), strict=True)
-            packs = []
-            for k, n, slack, glue, force in sizes:
-                n = n or 0
-                if k != key:
-                    key, cur, pack = k, n, 0
-                elif force or cur + n + slack > most:
-                    cur, pack = n, pack + 1
-                else:
-                    cur += glue + n
-                packs.append(pack)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(packs, pa.int32())], names=[*names, "pack"])
-
-    lengths = units.select(*names, "len", "slack", "glue", "force").repartition(*keys).sortWithinPartitions(*names)
-    packed = lengths.mapInArrow(fold, T.StructType([*(units.schema[c] for c in names), T.StructField("pack", T.IntegerType())]))
-    packed = packed.select(*(F.col(c).alias(f"__{c}") for c in names), "pack")
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in names))
-    return units.join(packed, same).drop(*(f"__{c}" for c in names))
+    held = store(units.withColumn("__unit", F.monotonically_increasing_id()), "units")
+    lengths = held.select("__unit", *keys, *order, *Packer.columns)
+    packed = chunked_scan(lengths, keys, [*order, "__unit"], T.StructField("pack", T.IntegerType()), Packer(most))
+    return held.join(packed.select("__unit", "pack"), "__unit").drop("__unit")
 
 
 def _paragraph_units(paragraphs: DataFrame, keys: list[str], most: int, sentences, para_slack: int, para_glue: int) -> DataFrame:
@@ -136,7 +204,7 @@ def single_speaker(paragraphs: DataFrame, voice: str, style: str, most: int = SE
     heading = F.col("kind") != "BODY"
     islands = paragraphs.withColumn("island", F.sum(heading.cast("long")).over(order))
     body = pack_segments(islands.where(~heading), ["book_id", "island"], most)
-    heads = islands.where(heading).select("book_id", "island", F.lit(-1).cast("long").alias("seg_idx"), F.col("kind").alias("speaker"), F.trim("text").alias("text"), heading_instruct(F.col("kind")).alias("instruct"))
+    heads = islands.where(heading).select("book_id", "island", F.lit(-1).cast("long").alias("seg_idx"), F.col("kind").alias("speaker"), S.trim_space(F.col("text")).alias("text"), heading_instruct(F.col("kind")).alias("instruct"))
     both = heads.unionByName(body.select("book_id", "island", "seg_idx", F.lit(voice).alias("speaker"), "text", F.lit(style).alias("instruct")))
     entry = F.row_number().over(Window.partitionBy("book_id").orderBy("island", "seg_idx")) - 1
     return both.select("book_id", entry.cast("long").alias("entry_idx"), "speaker", "text", "instruct")

@@ -10,6 +10,7 @@ from scriptspark.operators import packing as P
 from scriptspark.plans import fixtures as X
 from scriptspark.plans.fixtures import with_duck
 from scriptspark.sources import files
+from scriptspark.storage import spread
 
 QUERIES, ORACLE = {}, {}
 
@@ -35,7 +36,7 @@ def query(sql: str | None):
 
 def doc_lines(spark, sf_dir):
     """(doc_id, line_idx, text): the lines of documents, as paragraphs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "text")).withColumn("line_idx", F.col("line_idx").cast("long"))
 
 
