@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptspark.operators.scan import chunked_scan
+from scriptspark.storage import store
+
 FULL_SCALE = 32767
 FLOOR_DB = -120.0
 
@@ -91,13 +92,24 @@ def assemble(line: DataFrame, idx: str = "seg_idx", samples: str = "faded") -> D
 # On series -----------------------------------------------------------------
 
 
-def sliding_rms(series: DataFrame, n: int, keys: tuple[str, ...] = ("book_id",), x: str = "x") -> DataFrame:
-    """series with rms over the next n points (this one first), divided by n; by prefix sums, so n doesn't matter to the cost."""
-    order = Window.partitionBy(*keys).orderBy("pos")
-    summed = series.withColumn("__c", F.sum(F.col(x) * F.col(x)).over(order))
-    whole = F.max("__c").over(Window.partitionBy(*keys))
-    span = F.coalesce(F.lead("__c", n - 1).over(order), whole) - F.coalesce(F.lag("__c", 1).over(order), F.lit(0.0))
-    return summed.withColumn("rms", F.sqrt(F.greatest(span, F.lit(0.0)) / n)).drop("__c")
+#: Points of a block of a series.
+BLOCK = 1 << 16
+
+
+def sliding_rms(series: DataFrame, n: int, keys: tuple[str, ...] = ("book_id",), x: str = "x", block: int = BLOCK) -> DataFrame:
+    """series with rms over the next n points (this one first), divided by n; by prefix sums, so n doesn't matter to the cost.
+
+    pos counts a key's points from 0 without gaps. A series is cut in blocks, each of which borrows the n - 1 points after it, so no
+    task holds a key, and sums start anew in each, so long series lose no digits.
+    """
+    block = max(block, n)
+    own = series.withColumns({"__block": F.floor(F.col("pos") / block), "__lent": F.lit(False)})
+    lent = own.where((F.col("pos") % block < n - 1) & (F.col("__block") > 0)).select(*keys, "pos", x, (F.col("__block") - 1).alias("__block"), F.lit(True).alias("__lent"))
+    held = Window.partitionBy(*keys, "__block")
+    order = held.orderBy("pos")
+    summed = own.unionByName(lent, allowMissingColumns=True).withColumn("__c", F.sum(F.col(x) * F.col(x)).over(order))
+    span = F.coalesce(F.lead("__c", n - 1).over(order), F.max("__c").over(held)) - F.coalesce(F.lag("__c", 1).over(order), F.lit(0.0))
+    return summed.withColumn("rms", F.sqrt(F.greatest(span, F.lit(0.0)) / n)).where("not __lent").drop("__c", "__block", "__lent")
 
 
 def to_dbfs(rms: Column) -> Column:
@@ -122,29 +134,68 @@ def smooth_gains(targets: np.ndarray, attack: float, release: float, start: floa
     return out
 
 
-def attack_release(series: DataFrame, rate: int, settings: Compressor = Compressor(), keys: tuple[str, ...] = ("book_id",), target: str = "target") -> DataFrame:
-    """series with gain: a scan in order of pos within each key, sorted by Spark and read batch by batch with one gain kept.
+class Gain:
+    """One pole as an automaton: the state is the gain, which stays between the least and the greatest target and 0.
 
-    A null target counts as 0.
+    A step takes the entry gain through two lines that cross at the target, so what a chunk does to its entry is a rising
+    line of straight pieces. It is kept as corner points; each target inside its range adds one, and the range
+    shrinks with every step until all entries leave at one gain.
     """
-    attack, release = settings.coefficient(settings.attack_ms, rate), settings.coefficient(settings.release_ms, rate)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, gain = None, 0.0
-        for batch in batches:
-            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            targets = batch.column(target).fill_null(0.0).to_numpy(zero_copy_only=False)
-            cuts = [i for i in range(1, len(of)) if of[i] != of[i - 1]]
-            gains = []
-            for a, b in zip([0, *cuts], [*cuts, len(of)], strict=True):
-                if b > a:
-                    gains.append(smooth_gains(targets[a:b], attack, release, gain if of[a] == last else 0.0))
-                    last, gain = of[a], gains[-1][-1]
-            column = pa.array(np.concatenate(gains) if gains else np.empty(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "gain"])
-
-    ordered = series.repartition(*keys).sortWithinPartitions(*keys, "pos")
-    return ordered.mapInArrow(scan, T.StructType([*series.schema.fields, T.StructField("gain", T.DoubleType())]))
+    columns = ["__target"]
+
+    def __init__(self, attack: float, release: float, low: float, high: float):
+        self.attack, self.release, self.low, self.high = attack, release, low, high
+
+    def run(self, columns: list[np.ndarray], begins: np.ndarray, entry: float | None) -> tuple[np.ndarray, float]:
+        t = columns[0]
+        out, ends = np.empty(len(t)), np.r_[begins[1:], len(t)]
+        order = np.argsort(begins - ends, kind="stable")
+        start, size = begins[order], (ends - begins)[order]
+        gain = np.zeros(len(order))
+        gain[order == 0] = entry or 0.0
+        step, live = 0, len(order)
+        while live >= SIDE_BY_SIDE:  # many keys: one step of all at once
+            at = start[:live] + step
+            goal = t[at]
+            gain[:live] += np.where(goal < gain[:live], self.attack, self.release) * (goal - gain[:live])
+            out[at] = gain[:live]
+            step += 1
+            live = int(np.searchsorted(-size, -step, side="left"))
+        for k in range(live):
+            out[start[k] + step : start[k] + size[k]] = smooth_gains(t[start[k] + step : start[k] + size[k]], self.attack, self.release, float(gain[k]))
+        return out, float(out[-1])
+
+    def summary(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        t = columns[0]
+        x = y = np.array([self.low, self.high])
+        for i, goal in enumerate(t.tolist()):
+            if y[-1] - y[0] <= EVEN * max(1.0, abs(y[0])):
+                gain = smooth_gains(t[i:], self.attack, self.release, float(y[0]))[-1]
+                return np.array([self.low, self.high]), np.array([gain, gain])
+            if y[0] < goal < y[-1]:
+                k = int(np.searchsorted(y, goal))
+                if y[k] != goal:
+                    corner = x[k - 1] + (x[k] - x[k - 1]) * (goal - y[k - 1]) / (y[k] - y[k - 1])
+                    x, y = np.insert(x, k, corner), np.insert(y, k, goal)
+            y = y + np.where(goal < y, self.attack, self.release) * (goal - y)
+        return x, y
+
+    def through(self, summary: tuple[np.ndarray, np.ndarray], entry: float) -> float:
+        return float(np.interp(entry, *summary))
+
+
+#: From so many keys on a task takes them side by side; gains that differ by less, relative to their size, are one.
+SIDE_BY_SIDE, EVEN = 16, 1e-13
+
+
+def attack_release(series: DataFrame, rate: int, settings: Compressor = Compressor(), keys: tuple[str, ...] = ("book_id",), target: str = "target") -> DataFrame:
+    """series with gain: a scan in order of pos within each key, spread over tasks in chunks (see scan). A null target counts as 0."""
+    attack, release = settings.coefficient(settings.attack_ms, rate), settings.coefficient(settings.release_ms, rate)
+    held = store(series.withColumn("__target", F.coalesce(F.col(target).cast("double"), F.lit(0.0))), "targets")
+    low, high = held.agg(F.min("__target"), F.max("__target")).first()
+    gain = Gain(attack, release, min(low or 0.0, 0.0), max(high or 0.0, 0.0))
+    return chunked_scan(held, list(keys), ["pos"], T.StructField("gain", T.DoubleType()), gain).drop("__target")
 
 
 def limiter(x: Column, gain_db: Column, settings: Compressor = Compressor()) -> Column:

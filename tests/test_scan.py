@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptspark.operators import packing
+from scriptspark.operators import packing, signal
 from scriptspark.operators.scan import chunked_scan
 
 
@@ -77,3 +77,41 @@ def test_maps_of_chunks_compose(spark):
         for fill in range(62):
             _, leaves = packer.run(columns, np.array([0]), (fill, 5))
             assert packer.through(packer.summary(columns), (fill, 5)) == leaves
+
+
+@pytest.mark.parametrize("keys", [1, 3, 90])
+def test_gains_in_chunks_match_the_loop(spark, many_tasks, keys):
+    rng = np.random.default_rng(keys)
+    n = 30_000
+    key = np.sort(rng.integers(0, keys, n))
+    target = np.where(rng.random(n) < 0.02, 0.0, -30 * rng.random(n) * (rng.random(n) < 0.5))
+    pos = np.concatenate([np.arange((key == k).sum()) for k in range(keys)])
+    df = spark.createDataFrame(list(zip(key.tolist(), pos.tolist(), target.tolist(), strict=True)), "book_id long, pos long, target double").repartition(5)
+    for settings in (signal.Compressor(), signal.Compressor(attack_ms=3000, release_ms=20_000), signal.Compressor(attack_ms=50, release_ms=20)):
+        got = np.array([r.gain for r in signal.attack_release(df, 100, settings).orderBy("book_id", "pos").collect()])
+        up, down = settings.coefficient(settings.attack_ms, 100), settings.coefficient(settings.release_ms, 100)
+        want = np.concatenate([signal.smooth_gains(target[key == k], up, down) for k in range(keys)])
+        assert np.abs(got - want).max() < 1e-9
+
+
+def test_maps_of_gains(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 300):
+        step = signal.Gain(0.09, 0.01, -20.0, 0.0)
+        columns = [-20 * rng.random(n)]
+        for entry in np.linspace(-20, 0, 41):
+            _, leaves = step.run(columns, np.array([0]), entry)
+            assert abs(step.through(step.summary(columns), entry) - leaves) < 1e-12
+
+
+def test_sliding_rms_over_blocks(spark, many_tasks):
+    rng = np.random.default_rng(5)
+    rows = [(k, p, float(v)) for k, m in (("a", 1000), ("b", 64), ("c", 65), ("d", 1)) for p, v in enumerate(rng.random(m))]
+    df = spark.createDataFrame(rows, "book_id string, pos long, x double").repartition(4)
+    for n, block in ((1, 64), (16, 64), (50, 8), (64, 64)):
+        got = {(r.book_id, r.pos): r.rms for r in signal.sliding_rms(df, n, block=block).collect()}
+        for k in "abcd":
+            x = np.array([v for b, _, v in rows if b == k])
+            want = [np.sqrt((x[i : i + n] ** 2).sum() / n) for i in range(len(x))]
+            assert np.allclose(np.square([got[k, i] for i in range(len(x))]), np.square(want), rtol=0, atol=1e-12)
+    assert len(got) == len(rows)
