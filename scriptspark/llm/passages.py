@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, components, fresh_name, one_row_each, own_keys, store
+from .common import SPACES, broadcast_if_small, components, fresh_name, one_row_each, own_keys, store
 from .wordhash import Words, grouped, least_places, lists, mixed, signed, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -161,22 +161,48 @@ def untouched(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return reach(rows, gone, F.col("at") + F.col("words") - 1).where("far <= at").drop("far")
 
 
-def passages_of(met: DataFrame, edges: DataFrame, windows: DataFrame, gone: DataFrame) -> DataFrame:
+def untouched_windows(again: DataFrame, gone: DataFrame) -> DataFrame:
+    """(key, h, at): the windows of read_again() that no run of gone (key, at, words) overlaps; they move as arrays, a row per text."""
+    runs = gone.groupBy("key").agg(F.collect_list(F.struct("at", "words")).alias("gone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows, runs = batch.column("windows"), batch.column("gone")
+            text = np.repeat(np.arange(len(windows)), windows.value_lengths().to_numpy(zero_copy_only=False))
+            flat, lost = windows.flatten(), runs.flatten()
+            base = np.repeat(np.arange(len(runs)), runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) << 32
+            begin = base + lost.field("at").to_numpy(zero_copy_only=False)
+            order = np.argsort(begin)
+            # the farthest end so far: ends of earlier texts lie below all places of a later one
+            far = np.r_[-1, np.maximum.accumulate((begin + lost.field("words").to_numpy(zero_copy_only=False))[order])]
+            at = (text << 32) + flat.field("at").to_numpy(zero_copy_only=False)
+            free = pa.array(np.flatnonzero(far[np.searchsorted(begin[order], at + PASSAGE_WORDS)] <= at))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)).take(free), flat.field("h").take(free), flat.field("at").take(free)], ["key", "h", "at"])
+
+    held = again.select("key", "windows").where("size(windows) > 0")
+    return held.join(runs, "key", "left").mapInArrow(run, "key long, h long, at int")
+
+
+def passages_of(met: DataFrame, edges: DataFrame, again: DataFrame, gone: DataFrame) -> DataFrame:
     """(key, at, words, keeper): runs that an earlier document has, where that document's words aren't in gone (key, at, words).
 
-    met, edges: shared_anchors(); windows (key, h, at): all of PASSAGE_WORDS around the edges. An occurrence of a context that gone
+    met, edges: shared_anchors(); again: read_again() of the edges. An occurrence of a context that gone
     overlaps neither goes nor keeps: the first that it leaves alone keeps. Where that isn't the occurrence that was read, its
     windows are those read, moved. Of occurrences that gone overlaps in part, the windows that it leaves alone are compared with
     one another and with the first.
     """
     ours, size = ["context", "h"], F.lit(PASSAGE_WORDS).alias("words")
     place = met.select("key", *ours, F.greatest(F.lit(0), F.col("at") - REACH).alias("at"), "words", F.col("at").alias("spot"))
-    seen = store(reach(place, gone, F.col("at") + F.col("words") - 1).withColumn("whole", F.col("far") <= F.col("at")).drop("far"), "context-places")
+    texts = broadcast_if_small(store(gone.select("key").distinct().withColumn("cut", F.lit(True)), "cut-texts"), 200_000)
+    marked = place.join(texts, "key", "left")
+    met_by = reach(marked.where("cut").drop("cut"), gone, F.col("at") + F.col("words") - 1).withColumn("whole", F.col("far") <= F.col("at")).drop("far")
+    seen = store(marked.where("cut is null").withColumn("whole", F.lit(True)).drop("cut").unionByName(met_by), "context-places")
     whole, hit = seen.where("whole").drop("whole"), seen.where("not whole").drop("whole")
     keeps = whole.groupBy(*ours).agg(F.min(F.struct("key", "spot", "at")).alias("first"), F.max("key").alias("last"))
     spans = whole.join(keeps.where("first.key < last").select(*ours, F.col("first.key").alias("keeper")), ours).where("key <> keeper").select("key", "at", "words", "keeper")
     moved = hit.join(edges.withColumnRenamed("at", "spot"), ["key", "spot"]).join(keeps.select(*ours, "first"), ours)
     steps = moved.select("key", "first", F.col("spot").alias("from"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("spot") - REACH), F.col("spot"))).alias("at"))
+    windows = again.select("key", "windows").join(moved.select("key").distinct(), "key", "left_semi").select("key", F.inline("windows"))
     shifted = windows.join(steps, ["key", "at"]).select(F.col("first.key").alias("key"), "h", (F.col("at") - F.col("from") + F.col("first.spot")).alias("at"), size)
     # of contexts hit in part: a window is named by its place in the context
     parts = store(reach(hit, gone, F.col("at")).where("far < at + words").drop("far"), "hit-contexts")
@@ -184,8 +210,8 @@ def passages_of(met: DataFrame, edges: DataFrame, windows: DataFrame, gone: Data
     both = parts.select("key", *ours, "at", "words").unionByName(firsts.join(parts.groupBy(*ours).agg(F.max("words").alias("words")), ours).select("first.key", *ours, "first.at", "words"))
     inner = both.select("key", *ours, "at", F.explode(F.sequence(F.lit(0), F.col("words") - PASSAGE_WORDS)).alias("step"))
     named = inner.select("key", F.xxhash64(*ours, "step").alias("h"), (F.col("at") + F.col("step")).alias("at"), size)
-    held = store(untouched(windows.select("key", "h", "at", size), gone).unionByName(shifted).unionByName(untouched(named, gone)).distinct(), "whole-windows")
-    hits = held.join(_held_before(held, "h"), "h").where("key <> keeper").select("key", "at", "words", "keeper")
+    held = untouched_windows(again, gone).unionByName(shifted.drop("words")).unionByName(untouched(named, gone).drop("words"))
+    hits = held.join(_held_before(held, "h"), "h").where("key <> keeper").select("key", "at", size, "keeper")
     return merged(spans.unionByName(hits))
 
 
@@ -365,7 +391,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     members = store(units.select("key", "h", "at", "words").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h")), "members")
     near = members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key", "at", "words", "keeper")
     near = store(near, "near-paragraphs")
-    passages = passages_of(anchored, edges, again.select("key", F.inline("windows")), near).withColumn("kind", F.lit("passage"))
+    passages = passages_of(anchored, edges, again, near).withColumn("kind", F.lit("passage"))
     near = near.withColumn("kind", F.lit("paragraph"))
     found = passages.unionByName(near)
     return found.select(F.col("key").alias(key), F.col("at").alias("start"), "words", F.col("keeper").alias("keeper"), "kind")
