@@ -86,6 +86,19 @@ def _remove(stored: DataFrame) -> None:
         _delete(stored.sparkSession, path)
 
 
+def stored_so_far() -> int:
+    """A mark for drop_since()."""
+    return len(_paths)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: list[DataFrame]) -> None:
+    """Delete the tables that were stored since the mark, but for those that `keep` reads: a step's results are stored by then."""
+    needed = {path.rpartition("/")[0].rpartition("/")[2] for df in keep for path in df.inputFiles()}
+    for found in [x for x in _paths[mark:] if x[1].rpartition("/")[2] not in needed]:
+        _paths.remove(found)
+        _delete(spark, found[1])
+
+
 def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:
     """df with a broadcast hint if a count finds at most so many rows; beyond it Spark shuffles the join.
 

@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, components, fresh_name, one_row_each, own_keys, store
+from .common import SPACES, broadcast_if_small, components, drop_since, fresh_name, one_row_each, own_keys, store, stored_so_far
 from .wordhash import Words, grouped, least_places, lists, mixed, signed, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -147,40 +147,60 @@ def shared_anchors(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met, first.join(_held_before(first, "h").select("h"), "h").select("key", "at")
 
 
-def reach(rows: DataFrame, gone: DataFrame, pos: Column) -> DataFrame:
-    """rows (key, ..) with far: the farthest end among the runs of gone (key, at, words) in the same text that begin at pos or before; 0 if none does."""
-    ends = gone.select("key", F.col("at").alias("__pos"), F.lit(0).alias("__row"), (F.col("at") + F.col("words")).alias("__stop"))
-    own = rows.withColumns({"__pos": pos, "__row": F.lit(1)})
-    upto = Window.partitionBy("key").orderBy("__pos", "__row").rowsBetween(Window.unboundedPreceding, 0)
-    seen = own.unionByName(ends, allowMissingColumns=True).withColumn("far", F.coalesce(F.max("__stop").over(upto), F.lit(0)))
-    return seen.where("__row = 1").select(*rows.columns, "far")
-
-
-def untouched(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows (key, at, words, ..) that no run of gone (key, at, words) overlaps."""
-    return reach(rows, gone, F.col("at") + F.col("words") - 1).where("far <= at").drop("far")
-
-
 def untouched_windows(again: DataFrame, gone: DataFrame) -> DataFrame:
     """(key, h, at): the windows of read_again() that no run of gone (key, at, words) overlaps; they move as arrays, a row per text."""
-    runs = gone.groupBy("key").agg(F.collect_list(F.struct("at", "words")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows, runs = batch.column("windows"), batch.column("gone")
-            text = np.repeat(np.arange(len(windows)), windows.value_lengths().to_numpy(zero_copy_only=False))
-            flat, lost = windows.flatten(), runs.flatten()
-            base = np.repeat(np.arange(len(runs)), runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) << 32
-            begin = base + lost.field("at").to_numpy(zero_copy_only=False)
-            order = np.argsort(begin)
-            # the farthest end so far: ends of earlier texts lie below all places of a later one
-            far = np.r_[-1, np.maximum.accumulate((begin + lost.field("words").to_numpy(zero_copy_only=False))[order])]
+            windows = batch.column("windows")
+            text, flat = _texts(windows), windows.flatten()
             at = (text << 32) + flat.field("at").to_numpy(zero_copy_only=False)
-            free = pa.array(np.flatnonzero(far[np.searchsorted(begin[order], at + PASSAGE_WORDS)] <= at))
+            free = pa.array(np.flatnonzero(_free(batch.column("gone"), at, at + PASSAGE_WORDS)))
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(text)).take(free), flat.field("h").take(free), flat.field("at").take(free)], ["key", "h", "at"])
 
     held = again.select("key", "windows").where("size(windows) > 0")
-    return held.join(runs, "key", "left").mapInArrow(run, "key long, h long, at int")
+    return held.join(_runs(gone), "key", "left").mapInArrow(run, "key long, h long, at int")
+
+
+def _runs(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("key").agg(F.collect_list(F.struct("at", "words")).alias("gone"))
+
+
+def _texts(arrays: pa.ListArray) -> np.ndarray:
+    """The row of each element of a column of arrays."""
+    return np.repeat(np.arange(len(arrays)), arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
+def _free(runs: pa.ListArray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether no run of a text overlaps begin .. end; places are counted from row << 32."""
+    lost = runs.flatten()
+    first = (_texts(runs) << 32) + lost.field("at").to_numpy(zero_copy_only=False)
+    order = np.argsort(first)
+    # the farthest end so far: ends in earlier texts lie below all places of a later one
+    far = np.r_[-1, np.maximum.accumulate((first + lost.field("words").to_numpy(zero_copy_only=False))[order])]
+    return far[np.searchsorted(first[order], end)] <= begin
+
+
+def cut_contexts(places: DataFrame, gone: DataFrame) -> DataFrame:
+    """places (key, context, h, at, words, spot) with whole: that no run of gone overlaps; and free: else, its windows that none does, as steps from its start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, flat, runs = _texts(batch.column("held")), batch.column("held").flatten(), batch.column("gone")
+            at, words = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "words"))
+            begin = (text << 32) + at
+            whole = _free(runs, begin, begin + words)
+            steps = np.where(whole, 0, words - PASSAGE_WORDS + 1)
+            window, starts = _ranges(begin, steps)
+            free = _free(runs, window, window + PASSAGE_WORDS)
+            cuts = np.r_[0, np.cumsum(free)][np.r_[starts, len(window)]]
+            step = pa.array((window - np.repeat(begin, steps))[free].astype(np.int32))
+            columns = [batch.column("key").take(pa.array(text)), *(flat.field(c) for c in ("context", "h", "at", "words", "spot")), pa.array(whole), lists(cuts, step)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["key", "context", "h", "at", "words", "spot", "whole", "free"]
+    held = places.groupBy("key").agg(F.collect_list(F.struct("context", "h", "at", "words", "spot")).alias("held"))
+    return held.join(_runs(gone), "key").mapInArrow(run, "key long, context long, h long, at int, words int, spot int, whole boolean, free array<int>")
 
 
 def passages_of(met: DataFrame, edges: DataFrame, again: DataFrame, gone: DataFrame) -> DataFrame:
@@ -195,22 +215,20 @@ def passages_of(met: DataFrame, edges: DataFrame, again: DataFrame, gone: DataFr
     place = met.select("key", *ours, F.greatest(F.lit(0), F.col("at") - REACH).alias("at"), "words", F.col("at").alias("spot"))
     texts = broadcast_if_small(store(gone.select("key").distinct().withColumn("cut", F.lit(True)), "cut-texts"), 200_000)
     marked = place.join(texts, "key", "left")
-    met_by = reach(marked.where("cut").drop("cut"), gone, F.col("at") + F.col("words") - 1).withColumn("whole", F.col("far") <= F.col("at")).drop("far")
-    seen = store(marked.where("cut is null").withColumn("whole", F.lit(True)).drop("cut").unionByName(met_by), "context-places")
-    whole, hit = seen.where("whole").drop("whole"), seen.where("not whole").drop("whole")
+    uncut = marked.where("cut is null").drop("cut").withColumns({"whole": F.lit(True), "free": F.array().cast("array<int>")})
+    seen = store(uncut.unionByName(cut_contexts(marked.where("cut").drop("cut"), gone)), "context-places")
+    whole, hit = seen.where("whole").drop("whole", "free"), seen.where("not whole").drop("whole")
     keeps = whole.groupBy(*ours).agg(F.min(F.struct("key", "spot", "at")).alias("first"), F.max("key").alias("last"))
     spans = whole.join(keeps.where("first.key < last").select(*ours, F.col("first.key").alias("keeper")), ours).where("key <> keeper").select("key", "at", "words", "keeper")
     moved = hit.join(edges.withColumnRenamed("at", "spot"), ["key", "spot"]).join(keeps.select(*ours, "first"), ours)
     steps = moved.select("key", "first", F.col("spot").alias("from"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("spot") - REACH), F.col("spot"))).alias("at"))
     windows = again.select("key", "windows").join(moved.select("key").distinct(), "key", "left_semi").select("key", F.inline("windows"))
-    shifted = windows.join(steps, ["key", "at"]).select(F.col("first.key").alias("key"), "h", (F.col("at") - F.col("from") + F.col("first.spot")).alias("at"), size)
+    shifted = windows.join(steps, ["key", "at"]).select(F.col("first.key").alias("key"), "h", (F.col("at") - F.col("from") + F.col("first.spot")).alias("at"))
     # of contexts hit in part: a window is named by its place in the context
-    parts = store(reach(hit, gone, F.col("at")).where("far < at + words").drop("far"), "hit-contexts")
-    firsts = keeps.select(*ours, "first").join(parts.select(*ours).distinct(), ours, "left_semi")
-    both = parts.select("key", *ours, "at", "words").unionByName(firsts.join(parts.groupBy(*ours).agg(F.max("words").alias("words")), ours).select("first.key", *ours, "first.at", "words"))
-    inner = both.select("key", *ours, "at", F.explode(F.sequence(F.lit(0), F.col("words") - PASSAGE_WORDS)).alias("step"))
-    named = inner.select("key", F.xxhash64(*ours, "step").alias("h"), (F.col("at") + F.col("step")).alias("at"), size)
-    held = untouched_windows(again, gone).unionByName(shifted.drop("words")).unionByName(untouched(named, gone).drop("words"))
+    parts = hit.select("key", *ours, "at", F.explode("free").alias("step"))
+    firsts = parts.select(*ours, "step").distinct().join(keeps.select(*ours, "first"), ours).select("first.key", *ours, "first.at", "step")
+    named = parts.unionByName(firsts).select("key", F.xxhash64(*ours, "step").alias("h"), (F.col("at") + F.col("step")).alias("at"))
+    held = untouched_windows(again, gone).unionByName(shifted).unionByName(named)
     hits = held.join(_held_before(held, "h"), "h").where("key <> keeper").select("key", "at", size, "keeper")
     return merged(spans.unionByName(hits))
 
@@ -380,6 +398,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     key is a whole number, unique and never null (see common.own_keys).
     """
+    mark = stored_so_far()
     seen = scanned(docs, key, text)
     marks, units = seen.select("key", F.inline("anchors")), seen.select("key", F.inline("paragraphs"))
     anchored, edges = shared_anchors(marks)
@@ -391,6 +410,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     members = store(units.select("key", "h", "at", "words").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h")), "members")
     near = members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key", "at", "words", "keeper")
     near = store(near, "near-paragraphs")
+    drop_since(docs.sparkSession, mark, [near, again, anchored, edges])
     passages = passages_of(anchored, edges, again, near).withColumn("kind", F.lit("passage"))
     near = near.withColumn("kind", F.lit("paragraph"))
     found = passages.unionByName(near)
