@@ -91,12 +91,18 @@ def stored_so_far() -> int:
     return len(_paths)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Ask the driver for a garbage collection: with it go the shuffle files of finished steps that nothing refers to."""
+    spark._jvm.java.lang.System.gc()
+
+
 def drop_since(spark: SparkSession, mark: int, keep: list[DataFrame]) -> None:
     """Delete the tables that were stored since the mark, but for those that `keep` reads: a step's results are stored by then."""
     needed = {path.rpartition("/")[0].rpartition("/")[2] for df in keep for path in df.inputFiles()}
     for found in [x for x in _paths[mark:] if x[1].rpartition("/")[2] not in needed]:
         _paths.remove(found)
         _delete(spark, found[1])
+    tidy(spark)
 
 
 def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:

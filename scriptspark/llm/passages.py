@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, components, drop_since, fresh_name, one_row_each, own_keys, store, stored_so_far
+from .common import SPACES, broadcast_if_small, components, drop_since, fresh_name, one_row_each, own_keys, store, stored_so_far, tidy
 from .wordhash import Words, grouped, least_places, lists, mixed, signed, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -403,9 +403,12 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     marks, units = seen.select("key", F.inline("anchors")), seen.select("key", F.inline("paragraphs"))
     anchored, edges = shared_anchors(marks)
     edges = store(edges, "edges")
+    tidy(docs.sparkSession)
     met = in_buckets(units)
+    tidy(docs.sparkSession)
     anchors_again = edges.select("key", F.lit(None).cast("long").alias("h"), "at", F.lit(None).cast("int").alias("words"))
     again = read_again(docs, key, text, anchors_again.unionByName(set_spots(units, met)))
+    tidy(docs.sparkSession)
     classes = similar(met, store(again.select(F.inline("sets")), "shingle-sets"))
     members = store(units.select("key", "h", "at", "words").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h")), "members")
     near = members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key", "at", "words", "keeper")
