@@ -133,7 +133,10 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _held_before(df: DataFrame, by: str) -> DataFrame:
-    """(by, keeper): what several documents have, and the first of them."""
+    """(by, keeper): what several documents have, and the first of them.
+
+    Stored before a join with df itself, it leaves the join two plain shuffles, of which Spark splits a hot key's over tasks.
+    """
     return df.groupBy(by).agg(F.min("key").alias("keeper"), F.max("key").alias("last")).where("keeper < last").select(by, "keeper")
 
 
@@ -142,7 +145,8 @@ def shared_anchors(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Read again is one occurrence of each context, where several contexts share the anchor.
     """
-    met = store(marks.join(_held_before(marks, "h").select("h"), "h"), "shared-anchors")
+    several = store(_held_before(marks, "h").select("h"), "several")
+    met = store(marks.join(several, "h"), "shared-anchors")
     first = met.groupBy("context", "h").agg(F.min(F.struct("key", "at")).alias("first")).select("first.key", "h", "first.at")
     return met, first.join(_held_before(first, "h").select("h"), "h").select("key", "at")
 
@@ -218,7 +222,7 @@ def passages_of(met: DataFrame, edges: DataFrame, again: DataFrame, gone: DataFr
     uncut = marked.where("cut is null").drop("cut").withColumns({"whole": F.lit(True), "free": F.array().cast("array<int>")})
     seen = store(uncut.unionByName(cut_contexts(marked.where("cut").drop("cut"), gone)), "context-places")
     whole, hit = seen.where("whole").drop("whole", "free"), seen.where("not whole").drop("whole")
-    keeps = whole.groupBy(*ours).agg(F.min(F.struct("key", "spot", "at")).alias("first"), F.max("key").alias("last"))
+    keeps = store(whole.groupBy(*ours).agg(F.min(F.struct("key", "spot", "at")).alias("first"), F.max("key").alias("last")), "context-keepers")
     spans = whole.join(keeps.where("first.key < last").select(*ours, F.col("first.key").alias("keeper")), ours).where("key <> keeper").select("key", "at", "words", "keeper")
     moved = hit.join(edges.withColumnRenamed("at", "spot"), ["key", "spot"]).join(keeps.select(*ours, "first"), ours)
     steps = moved.select("key", "first", F.col("spot").alias("from"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("spot") - REACH), F.col("spot"))).alias("at"))
@@ -411,7 +415,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     tidy(docs.sparkSession)
     classes = similar(met, store(again.select(F.inline("sets")), "shingle-sets"))
     members = store(units.select("key", "h", "at", "words").join(classes, "h", "left").withColumn("component", F.coalesce("component", "h")), "members")
-    near = members.join(_held_before(members, "component"), "component").where("key <> keeper").select("key", "at", "words", "keeper")
+    near = members.join(store(_held_before(members, "component"), "first-members"), "component").where("key <> keeper").select("key", "at", "words", "keeper")
     near = store(near, "near-paragraphs")
     drop_since(docs.sparkSession, mark, [near, again, anchored, edges])
     passages = passages_of(anchored, edges, again, near).withColumn("kind", F.lit("passage"))
