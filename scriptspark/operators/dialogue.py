@@ -1,7 +1,7 @@
 """Names, genders and speakers of quoted speech, over text chunks (book_id, chunk_idx, text).
 
-A chunk's roster is the prefix of the book's roster of names first met by then, so it is one small row per book
-(the cast), joined by book. Who speaks without attribution alternates between the first two names of
+A chunk's roster is the prefix of the book's roster of names first met by then. Words meet it by an equality join, and what a
+turn needs of it (its size, its first names) is carried along the chunks, an as-of join. Who speaks without attribution alternates between the first two names of
 the roster; a window over the paragraphs since the last known speaker gives the turn.
 """
 
@@ -110,9 +110,8 @@ def gender_by_elimination(names: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def cast_of(names: DataFrame, genders: DataFrame) -> DataFrame:
-    """One row per book: its roster in order, with each name's first chunk, gender and the chunk that tells it."""
-    full = names.join(genders.select("book_id", "name", "gender", "from_chunk"), ["book_id", "name"], "left")
-    return full.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "first_chunk", "gender", "from_chunk"))).alias("cast"))
+    """(book_id, name, rank, first_chunk, gender, from_chunk): the roster, with each name's gender and the chunk that tells it."""
+    return names.join(genders.select("book_id", "name", "gender", "from_chunk"), ["book_id", "name"], "left")
 
 
 def quote_spans(paras: DataFrame) -> DataFrame:
@@ -130,30 +129,57 @@ def structural_entries(paras: DataFrame) -> DataFrame:
 
 
 def attribution_cues(paras: DataFrame, cast: DataFrame) -> DataFrame:
-    """Quoted paragraphs with roster (names as of the chunk, in order) and cue (type, name) of the first span that has one."""
-    quoted = paras.where(F.contains("text", F.lit('"'))).join(cast, "book_id", "left")
-    known = F.filter(F.coalesce("cast", F.array().cast(cast.schema["cast"].dataType)), lambda x: x["first_chunk"] <= F.col("chunk_idx"))
-    quoted = quoted.withColumn("cast", known).withColumn("roster", F.transform("cast", lambda x: x["name"]))
+    """(book_id, chunk_idx, para, cue, is_known) of quoted paragraphs, with the roster as of the chunk (see as_of_chunk).
+
+    cue (type, name) is that of the first span that has one; is_known: whether an inverted cue's name is in the roster. Words that
+    may be a beat's name meet the roster by an equality join, so no row carries a roster.
+    """
+    key = ["book_id", "chunk_idx", "para"]
     spans = F.filter(F.transform(F.split("text", '"'), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("t"))), lambda s: s["i"] % 2 == 0)
 
-    def cue(s: Column) -> Column:
+    def verb(s: Column) -> Column:
         forward, inverted = F.regexp_extract(s["t"], S.FORWARD, 1), F.regexp_extract(s["t"], S.INVERTED, 1)
-        words = F.transform(F.split(s["t"], r"\s+"), lambda w: F.upper(F.regexp_replace(w, r"[^\p{L}]+$", "")))
-        beat = F.get(F.filter(words, lambda w: F.array_contains("roster", w)), F.lit(0))
-        kind = F.when(forward != "", "forward").when(inverted.rlike("^[A-Z]"), "inverted").when(beat.isNotNull(), "beat")
-        return F.struct(kind.alias("type"), F.when(kind == "forward", F.upper(forward)).when(kind == "inverted", F.upper(inverted)).otherwise(beat).alias("name"))
-
-    first = F.get(F.filter(F.transform(spans, cue), lambda c: c["type"].isNotNull()), F.lit(0))
-    return quoted.withColumn("cue", first)
+        kind = F.when(forward != "", "forward").when(inverted.rlike("^[A-Z]"), "inverted")
+        return F.struct(s["i"].alias("i"), kind.alias("type"), F.upper(F.when(forward != "", forward).otherwise(inverted)).alias("name"))
+
+    quoted = paras.where(F.contains("text", F.lit('"'))).select(*key, spans.alias("spans"))
+    quoted = quoted.withColumn("verb", F.get(F.filter(F.transform("spans", verb), lambda c: c["type"].isNotNull()), F.lit(0)))
+    words = lambda s: F.transform(F.split(s["t"], r"\s+"), lambda w: F.upper(F.regexp_replace(w, r"[^\p{L}]+$", "")))
+    before = F.filter("spans", lambda s: F.col("verb").isNull() | (s["i"] < F.col("verb.i")))
+    quoted = quoted.withColumn("beats", F.array_distinct(F.filter(F.flatten(F.transform(before, words)), lambda w: w != "")))
+    asked = F.when(F.col("verb.type") == "inverted", F.concat("beats", F.array("verb.name"))).otherwise(F.col("beats"))
+    asked = quoted.select(*key, "verb", F.size("beats").alias("beats"), F.posexplode_outer(asked).alias("pos", "word"))
+    names = cast.select(F.col("book_id").alias("of"), "name", "first_chunk")
+    met = asked.join(names, (F.col("book_id") == F.col("of")) & (F.col("word") == F.col("name")) & (F.col("first_chunk") <= F.col("chunk_idx")), "left")
+    met = met.where("name is not null or coalesce(pos, 0) = 0")
+    found = met.groupBy(*key).agg(F.first("verb").alias("verb"), F.first("beats").alias("beats"), F.min(F.when(F.col("name").isNotNull(), F.struct("pos", "name"))).alias("hit"))
+    named = F.struct(F.lit("beat").alias("type"), F.col("hit.name").alias("name"))
+    cue = F.when(F.col("hit.pos") < F.col("beats"), named).when(F.col("verb").isNotNull(), F.struct("verb.type", "verb.name"))
+    return as_of_chunk(found.select(*key, cue.alias("cue"), F.coalesce(F.col("hit.pos") >= F.col("beats"), F.lit(False)).alias("is_known")), cast)
+
+
+def as_of_chunk(rows: DataFrame, cast: DataFrame) -> DataFrame:
+    """rows (book_id, chunk_idx, ...) with names (how many), first, second (the roster's first two), he and she (its first of each gender).
+
+    An as-of join: a row for each change of the cast goes before the rows of its chunk, and a running state is carried over both.
+    """
+    entered = cast.select("book_id", F.col("first_chunk").alias("chunk_idx"), F.struct("rank", "name").alias("__enters"))
+    told = cast.where("gender is not null").select("book_id", F.greatest("first_chunk", "from_chunk").alias("chunk_idx"), F.struct("rank", "name").alias("__told"), F.col("gender").alias("__gender"))
+    both = rows.withColumn("__row", F.lit(1)).unionByName(entered.unionByName(told, allowMissingColumns=True), allowMissingColumns=True)
+    order = Window.partitionBy("book_id").orderBy("chunk_idx", F.coalesce("__row", F.lit(0)))
+    least = lambda when, of: F.min(F.when(when, F.col(of))).over(order)["name"]
+    state = {
+        "names": F.count("__enters").over(order), "first": F.min("__enters").over(order)["name"], "second": least(F.col("__enters.rank") == 1, "__enters"),
+        "he": least(F.col("__gender") == "M", "__told"), "she": least(F.col("__gender") == "F", "__told"),
+    }
+    return both.withColumns(state).where("__row = 1").select(*rows.columns, *state)
 
 
 def resolve_cues(cues: DataFrame) -> DataFrame:
     """Adds anchor: the speaker that the cue alone settles, or null where the turn decides."""
-    name, kind = F.col("cue.name"), F.col("cue.type")
-    of = lambda g: F.get(F.transform(F.filter("cast", lambda x: (x["gender"] == g) & (x["from_chunk"] <= F.col("chunk_idx"))), lambda x: x["name"]), F.lit(0))
-    empty = F.size("roster") == 0
-    forward = F.when(name == "HE", F.when(empty, "HE").otherwise(of("M"))).when(name == "SHE", F.when(empty, "SHE").otherwise(of("F"))).when(~name.isin("THEY", "IT"), name)
-    anchor = F.when(kind == "forward", forward).when(kind == "inverted", F.when(F.array_contains("roster", name), name)).when(kind == "beat", name)
+    name, kind, empty = F.col("cue.name"), F.col("cue.type"), F.col("names") == 0
+    forward = F.when(name == "HE", F.when(empty, "HE").otherwise(F.col("he"))).when(name == "SHE", F.when(empty, "SHE").otherwise(F.col("she"))).when(~name.isin("THEY", "IT"), name)
+    anchor = F.when(kind == "forward", forward).when(kind == "inverted", F.when(F.col("is_known"), name)).when(kind == "beat", name)
     return cues.withColumn("anchor", anchor)
 
 
@@ -162,7 +188,7 @@ def speakers(paras: DataFrame, cast: DataFrame) -> DataFrame:
 
     Turns count from the last paragraph with a settled speaker, or from the last one without quotes, or from the chunk's start.
     """
-    settled = resolve_cues(attribution_cues(paras, cast)).select("book_id", "chunk_idx", "para", "roster", F.col("cue.type").alias("cue_type"), "anchor", F.lit(True).alias("quoted"))
+    settled = resolve_cues(attribution_cues(paras, cast)).select("book_id", "chunk_idx", "para", "names", "first", "second", F.col("cue.type").alias("cue_type"), "anchor", F.lit(True).alias("quoted"))
     plain = paras.where(~F.contains("text", F.lit('"'))).select("book_id", "chunk_idx", "para", F.lit(False).alias("quoted"))
     rows = settled.unionByName(plain, allowMissingColumns=True)
     order = Window.partitionBy("book_id", "chunk_idx").orderBy("para")
@@ -172,9 +198,9 @@ def speakers(paras: DataFrame, cast: DataFrame) -> DataFrame:
     inside = Window.partitionBy("book_id", "chunk_idx", "group").orderBy("para")
     open_ = F.col("quoted") & F.col("anchor").isNull()
     rows = rows.withColumn("last", F.first(F.when(marks, F.col("anchor"))).over(inside)).withColumn("turn", F.sum(open_.cast("long")).over(inside))
-    first = F.get("roster", F.lit(0))
-    shift = F.coalesce((F.col("last") == first).cast("long"), F.lit(0))
-    turn = F.when(F.size("roster") == 0, "UNKNOWN").when(F.size("roster") == 1, first).otherwise(F.get("roster", ((F.col("turn") - 1 + shift) % 2).cast("int")))
+    shift = F.coalesce((F.col("last") == F.col("first")).cast("long"), F.lit(0))
+    later = F.when((F.col("turn") - 1 + shift) % 2 == 0, F.col("first")).otherwise(F.col("second"))
+    turn = F.when(F.col("names") == 0, "UNKNOWN").when(F.col("names") == 1, F.col("first")).otherwise(later)
     return rows.where("quoted").select("book_id", "chunk_idx", "para", "cue_type", "anchor", F.coalesce("anchor", turn).alias("speaker"))
 
 

@@ -176,6 +176,29 @@ def test_alternate_speaker_matches_a_loop(spark):
         expected = expected[len(got):]
 
 
+def test_large_roster_as_of_chunk(spark):
+    """A cue's name counts from its own chunk on, whatever the roster's size; turns go between the first two."""
+    def spelled(i):
+        return "B" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    cast = [(1, spelled(i).upper(), i, 0 if i < 2 else i % 7, "FM"[i % 2] if i > 3 else None, i % 5 if i > 3 else None) for i in range(3000)]
+    cast = spark.createDataFrame(cast, "book_id long, name string, rank long, first_chunk long, gender string, from_chunk long")
+    late = spelled(2996 + (6 - 2996 % 7) % 7 - 7)  # first met in chunk 6
+    said = [f'"Well," said {late}.', f'{late} rose. "Well."', '"Well."', '"So?" he said.', '"So?" she said.']
+    paras = spark.createDataFrame([(1, c, i, t) for c in (0, 5, 6) for i, t in enumerate(said)], "book_id long, chunk_idx long, para long, text string")
+    got = {(r["chunk_idx"], r["para"]): (r["cue"] and tuple(r["cue"]), r["anchor"]) for r in D.resolve_cues(D.attribution_cues(paras, cast)).collect()}
+    rows = [tuple(r) for r in cast.collect()]
+    for c in (0, 5, 6):
+        of = {g: next((r[1] for r in rows if r[4] == g and max(r[3], r[5]) <= c), None) for g in "MF"}
+        met = c == 6
+        assert got[c, 0] == (("inverted", late.upper()), late.upper() if met else None)
+        assert got[c, 1] == ((("beat", late.upper()), late.upper()) if met else (None, None))
+        assert got[c, 2] == (None, None)
+        assert got[c, 3] == (("forward", "HE"), of["M"]) and got[c, 4] == (("forward", "SHE"), of["F"])
+    spoken = {(r["chunk_idx"], r["para"]): r["speaker"] for r in D.speakers(paras, cast).collect()}
+    assert spoken[0, 0] == spelled(0).upper() and spoken[0, 1] == spelled(1).upper() and spoken[6, 2] == spelled(0).upper()
+
+
 def test_gender_and_elimination(spark):
     df = D.clean_chunks(chunks(spark, 'Marcus said. Ann said.\n\n"Marcus," he said.', "Bob said."))
     paras, names = D.paragraphs_of(df), D.roster(D.extract_names(df))
