@@ -17,7 +17,7 @@ CHAPTER_WORDS = r"(?i)^(chapter|part|book|volume|prologue|epilogue|introduction|
 
 def chapters_structural(chunks: DataFrame) -> DataFrame:
     """(book_id, chapter_no, title, chunk_idx) of heading chunks."""
-    return _numbered(chunks.where(F.col("speaker").isin(STRUCTURAL)).select("book_id", "chunk_idx", F.substring(F.trim("text"), 1, TITLE_CHARS).alias("title")))
+    return _numbered(chunks.where(F.col("speaker").isin(STRUCTURAL)).select("book_id", "chunk_idx", F.substring(S.trim_space(F.col("text")), 1, TITLE_CHARS).alias("title")))
 
 
 def _numbered(found: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def _numbered(found: DataFrame) -> DataFrame:
 def chapters(chunks: DataFrame) -> DataFrame:
     """Heading chunks; in books without any, chunks that look like headings; else one chapter at 0."""
     tagged = chapters_structural(chunks)
-    t = F.trim("text")
-    likely = t.rlike(CHAPTER_WORDS) | ((F.octet_length(t) < 80) & ~t.rlike("[.?!]$"))
+    t = S.trim_space(F.col("text"))
+    likely = t.rlike(CHAPTER_WORDS) | ((F.octet_length(t) < 80) & ~t.rlike(r"[.?!]\z"))
     rest = chunks.join(tagged.select("book_id").distinct(), "book_id", "left_anti")
     guessed = _numbered(rest.where(likely).select("book_id", "chunk_idx", F.substring(t, 1, TITLE_CHARS).alias("title")))
     none = rest.select("book_id").distinct().join(guessed.select("book_id").distinct(), "book_id", "left_anti")

@@ -211,7 +211,7 @@ def test_dedupe(spark):
     assert D.dedupe_entries(entries(spark, [("A", "Yes."), ("A", "Yes."), ("B", "Yes.")])).count() == 2
 
 
-@pytest.mark.parametrize("text, title", [("Prologue.", "Prologue."), ("It rained.", "Audiobook")])
+@pytest.mark.parametrize("text, title", [("Prologue.", "Prologue."), ("It rained.", "Audiobook"), ("It rained.\n", "Audiobook"), ("\u3000Prologue.\xa0", "Prologue."), ("\tRain\u2003", "Rain")])
 def test_chapters(spark, text, title):
     df = spark.createDataFrame([(1, 0, "NARRATOR", text)], "book_id long, chunk_idx long, speaker string, text string")
     assert T.chapters(df).select("title", "chunk_idx").first() == (title, 0)
