@@ -1,13 +1,14 @@
 """Scans in chunks against plain loops, with keys that span many tasks."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptspark.operators import packing, signal
+from scriptspark.operators import markdown, packing, signal
 from scriptspark.operators.scan import chunked_scan
 
 
@@ -115,3 +116,68 @@ def test_sliding_rms_over_blocks(spark, many_tasks):
             want = [np.sqrt((x[i : i + n] ** 2).sum() / n) for i in range(len(x))]
             assert np.allclose(np.square([got[k, i] for i in range(len(x))]), np.square(want), rtol=0, atol=1e-12)
     assert len(got) == len(rows)
+
+
+def blocks_by_hand(lines):
+    """Kinds and paragraphs of a book's lines, one line after the other."""
+    kinds, paras, fenced, html, fresh, goes_on = [], [], False, False, True, False
+    for line in lines:
+        blank = not line.strip(" ")
+        if fresh:
+            html = bool(re.match(markdown.HTML, line))
+        fresh = blank
+        fence = bool(re.match(markdown.FENCE, line))
+        fenced ^= fence
+        level = re.match(r" {0,3}(#{1,6})(?:\s|$)", line)
+        if fence:
+            kind = "FENCE"
+        elif fenced:
+            kind = "CODE"
+        elif blank:
+            kind = "BLANK"
+        elif html:
+            kind = "HTML"
+        elif level:
+            kind = {1: "TITLE", 2: "CHAPTER", 3: "CHAPTER"}.get(len(level[1]), "SECTION")
+        else:
+            kind = next((k for k in ("RULE", "ITEM", "QUOTE") if re.search(getattr(markdown, k), line)), "TEXT")
+        kinds.append(kind)
+        text = re.sub(r"^[*] |<[a-z]+>", "", re.sub(r"^> ", "", re.sub(r"^#+ *", "", line))).strip(" ")
+        if kind in ("TITLE", "CHAPTER", "SECTION"):
+            paras.append((kind, [text]))
+        elif kind in ("TEXT", "ITEM", "QUOTE"):
+            if goes_on and kind != "ITEM":
+                paras[-1][1].append(text)
+            else:
+                paras.append(("BODY", [text]))
+        goes_on = kind in ("TEXT", "ITEM", "QUOTE") and not line.endswith("  ")
+    joined = [(k, " ".join(filter(None, p))) for k, p in paras]
+    return kinds, [x for x in joined if x[1]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_markdown_in_chunks_matches_a_loop(spark, many_tasks, seed):
+    """A book of 1500 lines, in seven ranges, beside short ones: an open fence, a long HTML block and a long paragraph cross ranges."""
+    rng = random.Random(seed)
+    pool = [["one", "two  ", "", "```", "# T", "### C", "#### S", "* item", "> said", "<div>q", "---", "~~~ x"], ["a", "b"], ["<p>q", "x", "x", "x"], ["```", "a", ""] + ["c"] * 60][seed]
+    books = {b: [rng.choice(pool) for _ in range(n)] for b, n in (("a", 1), ("m", 1500), ("n", 3), ("z", 40))}
+    lines = spark.createDataFrame([(b, i, x) for b, ls in books.items() for i, x in enumerate(ls)], "book_id string, line_idx long, line string").repartition(3)
+    kinds, paras = {}, {}
+    for r in markdown.classify_lines(lines).orderBy("line_idx").collect():
+        kinds.setdefault(r.book_id, []).append(r.kind)
+    for r in markdown.assemble_paragraphs(lines).orderBy("para_idx").collect():
+        assert r.para_idx == len(paras.setdefault(r.book_id, []))
+        paras[r.book_id].append((r.kind, r.text))
+    for b, ls in books.items():
+        expected = blocks_by_hand(ls)
+        assert kinds[b] == expected[0]
+        assert paras.get(b, []) == expected[1]
+
+
+def test_markdown_of_odd_tables(spark, many_tasks):
+    """An empty table gives none; a null line is text without words, a null book a book."""
+    schema = "book_id string, line_idx long, line string"
+    assert markdown.classify_lines(spark.createDataFrame([], schema)).count() == markdown.assemble_paragraphs(spark.createDataFrame([], schema)).count() == 0
+    odd = spark.createDataFrame([(None, 0, "# T"), (None, 1, None), (None, 2, "x"), ("b", 0, "y")], schema)
+    assert [r.kind for r in markdown.classify_lines(odd).orderBy("book_id", "line_idx").collect()] == ["TITLE", "TEXT", "TEXT", "TEXT"]
+    assert [(r.para_idx, r.text) for r in markdown.assemble_paragraphs(odd).orderBy("book_id", "para_idx").collect()] == [(0, "T"), (1, "x"), (0, "y")]
