@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptspark.sources import wav
+
 NEUTRAL = "Neutral, even narration."
 SCRIPT = "array<struct<speaker:string,text:string,instruct:string>>"
 
@@ -46,36 +49,10 @@ def write_script(entries: DataFrame, path: str) -> None:
 # Audio files ---------------------------------------------------------------
 
 
-def wav_header(raw: bytes) -> tuple[int, int, int, int, int, int]:
-    """(format, channels, rate, bits, start of the samples, their bytes); ValueError for what isn't RIFF PCM or float."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise ValueError("not a RIFF WAVE file")
-    at, fmt = 12, None
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        if name == b"fmt ":
-            kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", raw, at + 8)
-            if kind == 0xFFFE and size >= 26:
-                kind = struct.unpack_from("<H", raw, at + 32)[0]
-            fmt = (kind, channels, rate, bits)
-        elif name == b"data":
-            if fmt is None:
-                raise ValueError("samples before their format")
-            if (fmt[0], fmt[3]) not in ((1, 16), (1, 32), (3, 32)):
-                raise ValueError(f"format {fmt[0]} with {fmt[3]} bits isn't read")
-            return (*fmt, at + 8, min(size, max(0, len(raw) - at - 8)))
-        at += 8 + size + size % 2
-    raise ValueError("no samples")
-
-
 def wav_samples(raw: bytes) -> tuple[np.ndarray, int, int]:
     """(samples in [-1, 1], rate, channels); integers are divided by the largest of their own width."""
-    kind, channels, rate, bits, at, size = wav_header(raw)
-    body = raw[at : at + size - size % (bits // 8)]
-    if kind == 3:
-        return np.frombuffer(body, "<f4"), rate, channels
-    whole = np.frombuffer(body, "<i2" if bits == 16 else "<i4")
-    return (whole / float(2 ** (bits - 1) - 1)).astype(np.float32), rate, channels
+    found = wav.header(io.BytesIO(raw), len(raw))
+    return wav.block(io.BytesIO(raw), found, 0, len(raw))[1], found[2], found[1]
 
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
@@ -95,19 +72,17 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sample_rate int, channels int, samples array<float>, error string")
 
 
-def wav_stats(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sample_rate, channels, n_samples, seconds, error) from headers alone."""
+def _wav(spark: SparkSession, path: str, what: str, **options: str) -> DataFrame:
+    spark.dataSource.register(wav.WavSource)
+    return spark.read.format("wav").options(what=what, **options).load(path)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for p, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    _, channels, rate, bits, _, size = wav_header(bytes(content))
-                    n = size // (bits // 8) // max(1, channels)
-                    rows.append((p, rate, channels, n, n / rate, None))
-                except (ValueError, struct.error) as wrong:
-                    rows.append((p, None, None, None, None, str(wrong)))
-            yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "n_samples", "seconds", "error"]).astype({"sample_rate": "Int32", "channels": "Int32", "n_samples": "Int64"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sample_rate int, channels int, n_samples long, seconds double, error string")
+def read_wav_blocks(spark: SparkSession, path: str, block_bytes: int = wav.BLOCK_BYTES) -> DataFrame:
+    """(path, sample_rate, channels, first, samples, error): a row for each range of `block_bytes` of a file, so a long file is
+    read by many tasks; `first` is the number of the row's first sample. Samples of all channels stand in turn."""
+    return _wav(spark, path, "samples", block_bytes=str(block_bytes))
+
+
+def wav_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sample_rate, channels, n_samples, seconds, error) from headers alone: samples are never read."""
+    return _wav(spark, path, "stats")

@@ -17,6 +17,7 @@ from scriptspark.operators import signal as A
 from scriptspark.operators import timeline as T
 from scriptspark.operators import voices as V
 from scriptspark.sources import files
+from scriptspark.sources import wav as wav_source
 from scriptspark.streaming import resume as R
 
 
@@ -308,6 +309,45 @@ def wav(kind, bits, channels, rate, body):
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(body)) + body
 
 
+class Counting:
+    """A file that notes how many bytes were read."""
+
+    def __init__(self, file):
+        self.file, self.seek, self.taken = file, file.seek, 0
+
+    def read(self, n):
+        got = self.file.read(n)
+        self.taken += len(got)
+        return got
+
+
+def test_wav_ranges(spark, tmp_path):
+    """Of a file of 1 GB, its header and one range are read; blocks joined are the file's samples."""
+    head, tail = wav(1, 16, 2, 48000, b"")[:-4], 10**9
+    path = tmp_path / "long.wav"
+    with open(path, "wb") as out:
+        out.write(head + struct.pack("<I", tail))
+        out.truncate(len(head) + 4 + tail)
+    with open(path, "rb") as raw:
+        file = Counting(raw)
+        found = wav_source.header(file, path.stat().st_size)
+        assert found[5] == tail and file.taken <= 1024
+        first, samples = wav_source.block(file, found, 500_000_001, 500_000_101)
+        assert first == -(-(500_000_001 - found[4]) // 2) and len(samples) == 50 and file.taken <= 1024 + 100
+    assert files.wav_stats(spark, str(path)).collect()[0].n_samples == tail // 4
+    rng = np.random.default_rng(4)
+    noise = rng.integers(-32767, 32768, 5001).astype("<i2")
+    (tmp_path / "few").mkdir()
+    (tmp_path / "few" / "a.wav").write_bytes(wav(1, 16, 1, 8000, noise.tobytes()))
+    (tmp_path / "few" / "b.wav").write_bytes(wav(1, 16, 1, 8000, b""))
+    (tmp_path / "few" / "c.wav").write_bytes(b"junk" * 999)
+    rows = files.read_wav_blocks(spark, str(tmp_path / "few"), 777).orderBy("path", "first").collect()
+    a = [r for r in rows if r.path.endswith("a.wav")]
+    assert len(a) == 13 and [r.first for r in a] == np.cumsum([0, *(len(r.samples) for r in a[:-1])]).tolist()
+    assert np.concatenate([r.samples for r in a]).astype("f4").tolist() == files.wav_samples((tmp_path / "few" / "a.wav").read_bytes())[0].tolist()
+    assert [(r.first, r.samples, r.error) for r in rows if not r.path.endswith("a.wav")] == [(0, [], None), (None, None, "not a RIFF WAVE file")]
+
+
 def test_wav(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(wav(1, 16, 1, 8000, np.array([0, 32767, -32767], "<i2").tobytes()))
     (tmp_path / "b.wav").write_bytes(wav(3, 32, 2, 8000, np.array([0.5, -0.5], "<f4").tobytes()))
