@@ -1,8 +1,9 @@
-"""Batch calls of injected models, with failures as rows."""
+"""Batch calls of injected models, equal prompts asked once, with failures as rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,27 +14,47 @@ from scriptspark.functions import strings as S
 SYSTEM_PROMPT = "Answer with a delivery direction of a few words for the script line."
 
 
-def enrich(df: DataFrame, backend: Callable[[str, str], str], system: str, prompt: str, tries: int = 2) -> DataFrame:
-    """df with answer and error. backend(system, prompt) is called once per row; a call that still fails after `tries` gives an error and no answer."""
-    names = df.columns
+#: Over how many tasks the rows of one prompt are dealt when answers are joined back.
+PIECES = 16
+
+
+def enrich(df: DataFrame, backend: Callable, system: str, prompt: str, tries: int = 2, in_flight: int = 8, per_task: bool = False) -> DataFrame:
+    """df with answer and error. backend(system, prompt) is called once per distinct prompt, null too, and all its rows get what it gave.
+
+    A call that still fails after `tries` gives an error and no answer. A task keeps `in_flight` calls going at most, in threads.
+    With per_task, backend() is called once a task and gives the function to call: a session, say, that all its calls share.
+    """
+    asked, copy = (_fresh(df, n) for n in ("asked", "copy"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers, errors = [], []
-            for text in frame[prompt]:
-                answer = error = None
-                for _ in range(tries):
-                    try:
-                        answer, error = backend(system, text), None
-                        break
-                    except Exception as failed:  # any failure of the injected backend is the row's own
-                        error = f"{type(failed).__name__}: {failed}"
-                answers.append(answer)
-                errors.append(error)
-            yield frame[names].assign(answer=answers, error=errors)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{kinds}, answer string, error string")
+        call = backend() if per_task else backend
+
+        def one(text: str | None) -> tuple[str | None, str | None]:
+            error = None
+            for _ in range(tries):
+                try:
+                    return call(system, text), None
+                except Exception as failed:  # any failure of the injected backend is the prompt's own
+                    error = f"{type(failed).__name__}: {failed}"
+            return None, error
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for frame in frames:
+                got = list(pool.map(one, frame[asked]))
+                yield frame.assign(answer=[a for a, _ in got], error=[e for _, e in got])
+
+    prompts = df.select(F.col(prompt).alias(asked)).distinct()
+    answers = prompts.mapInPandas(run, f"`{asked}` string, answer string, error string").withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    dealt = df.withColumn(copy, F.pmod(F.xxhash64(*df.columns), F.lit(PIECES)).cast("int"))
+    on = [F.col(prompt).eqNullSafe(F.col(asked)), dealt[copy] == answers[copy]]
+    # answers grow with the prompts, and Spark can't tell the size of what a Python function returns: never broadcast them
+    return dealt.join(answers.hint("merge"), on).select(*(dealt[f"`{c}`"] for c in df.columns), "answer", "error")
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def failure_report(results: DataFrame, by: str = "book_id") -> DataFrame:
