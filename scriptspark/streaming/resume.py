@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,23 +16,47 @@ from scriptspark.operators.signal import Compressor, smooth_gains
 from scriptspark.operators.timeline import pending
 
 
+def committed(spark: SparkSession, outputs_path: str) -> list[str]:
+    """Names of the batches whose outputs count: those that the manifest below _done holds whole."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{outputs_path}/_done")
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{outputs_path}/_done/batch=*/_SUCCESS"))
+    return sorted(str(f.getPath().getParent().getName()).removeprefix("batch=") for f in found or [])
+
+
+def outputs(spark: SparkSession, outputs_path: str) -> DataFrame | None:
+    """The outputs of committed batches; None before the first."""
+    done = committed(spark, outputs_path)
+    return spark.read.parquet(*(f"{outputs_path}/batch={name}" for name in done)) if done else None
+
+
+def _commit(keys: DataFrame, path: str) -> None:
+    """A batch's line in the manifest: the keys it gave. It counts from the moment its _SUCCESS stands."""
+    keys.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
+
+
 def resume(spark: SparkSession, chunks_path: str, schema: str, outputs_path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Run `work` on chunk files that came since the last run and append its outputs.
+    """Run `work` on chunk files that came since the last run and add its outputs; read them with outputs().
 
-    The checkpoint remembers the files; chunks that have an output already (of a batch that was
-    written but not yet noted) are left out, so a batch that runs again adds nothing twice.
+    A batch writes a folder of its own, named after the checkpoint and its number, then its keys (book_id, chunk_idx) into the
+    manifest. Ended between the two, it runs again and replaces its folder; ended after them, before the checkpoint knows, it
+    is left alone. Chunks whose keys the manifest has, of any batch and any checkpoint, are left out: of the keys, only those
+    within the batch's range of books are read, and of the outputs none.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
-        try:
-            done = batch.sparkSession.read.parquet(outputs_path)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            todo = batch
-        else:
-            todo = pending(batch, done)
-        work(todo).write.mode("append").parquet(outputs_path)
+    def handle(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        name = f"{json.loads(session.read.text(f'{checkpoint}/metadata').first()[0])['id']}-{number}"
+        done = committed(session, outputs_path)
+        if name in done:
+            return
+        todo = batch
+        if done:
+            low, high = batch.agg(F.min("book_id"), F.max("book_id")).first()
+            known = session.read.parquet(*(f"{outputs_path}/_done/batch={d}" for d in done)).where(F.col("book_id").between(low, high))
+            todo = pending(batch, known)
+        path = f"{outputs_path}/batch={name}"
+        work(todo).write.mode("overwrite").parquet(path)
+        _commit(session.read.parquet(path).select("book_id", "chunk_idx"), f"{outputs_path}/_done/batch={name}")
 
     stream = spark.readStream.schema(schema).parquet(chunks_path)
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
