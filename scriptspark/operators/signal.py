@@ -37,6 +37,10 @@ class Compressor:
 # On arrays -----------------------------------------------------------------
 
 
+#: Points of a block of a series.
+BLOCK = 1 << 16
+
+
 def quantise(samples: Column) -> Column:
     """Samples in [-1, 1] to integers, cut towards zero; what lies outside is clamped."""
     return F.transform(samples, lambda x: (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * FULL_SCALE).cast("int"))
@@ -89,11 +93,26 @@ def assemble(line: DataFrame, idx: str = "seg_idx", samples: str = "faded") -> D
     return parts.select("book_id", F.flatten(F.transform("parts", lambda p: F.concat(p[samples], F.array_repeat(F.lit(0), p["gap"].cast("int"))))).alias("samples"))
 
 
-# On series -----------------------------------------------------------------
+def assemble_blocks(line: DataFrame, idx: str = "seg_idx", samples: str = "faded", block: int = BLOCK) -> DataFrame:
+    """(book_id, block_no, start_sample, samples): each book's samples, silence included, in blocks of `block`, the last shorter.
 
+    Segments, with the silence after each, tile the book; each is cut where blocks end, and a block joins its pieces. Only
+    lengths are summed along a book, so no task holds its samples. A null array is empty; a book without samples has no block.
+    """
+    whole = F.concat(F.coalesce(samples, F.array().cast("array<int>")), F.array_repeat(F.lit(0), F.coalesce("gap", F.lit(0)).cast("int")))
+    tiles = line.select("book_id", F.col(idx).alias("seg"), whole.alias("x"))
+    lengths = line.select("book_id", F.col(idx).alias("seg"), (F.coalesce(F.size(samples), F.lit(0)) + F.coalesce("gap", F.lit(0))).cast("long").alias("n")).where("n > 0")
+    begun = lengths.withColumn("start", F.sum("n").over(Window.partitionBy("book_id").orderBy("seg")) - F.col("n"))
+    numbers = F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + n - 1) div {block}"))
+    cut = tiles.join(begun, ["book_id", "seg"]).select("book_id", "x", "start", "n", F.explode(numbers).alias("block_no"))
+    first = F.greatest(F.col("start"), F.col("block_no") * block)
+    last = F.least(F.col("start") + F.col("n"), (F.col("block_no") + 1) * block)
+    piece = F.struct(first.alias("at"), F.slice("x", (first - F.col("start") + 1).cast("int"), (last - first).cast("int")).alias("x"))
+    joined = cut.select("book_id", "block_no", piece.alias("piece")).groupBy("book_id", "block_no").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return joined.select("book_id", "block_no", (F.col("block_no") * block).alias("start_sample"), F.flatten("pieces.x").alias("samples"))
 
-#: Points of a block of a series.
-BLOCK = 1 << 16
+
+# On series -----------------------------------------------------------------
 
 
 def sliding_rms(series: DataFrame, n: int, keys: tuple[str, ...] = ("book_id",), x: str = "x", block: int = BLOCK) -> DataFrame:

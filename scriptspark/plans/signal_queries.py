@@ -60,7 +60,7 @@ def fades(spark, sf_dir):
  select book_id, cast(sum(n) as bigint) as n_samples from g group by book_id""", "fx_segments"))
 def assembled_length(spark, sf_dir):
     line = T.segment_gaps(X.segments(spark, sf_dir)).withColumn("faded", A.quantise(F.col("samples")))
-    return A.assemble(line).select("book_id", F.size("samples").cast("long").alias("n_samples"))
+    return A.assemble_blocks(line, block=50).groupBy("book_id").agg(F.sum(F.size("samples")).cast("long").alias("n_samples"))
 
 
 RMS = ", rm as (select book_id, pos, x, sqrt(sum(x * x) over (partition by book_id order by pos rows between current row and 9 following) / 10) as rms from fx_series)"

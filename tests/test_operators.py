@@ -1,8 +1,12 @@
 """One test per operator on inline rows, with the quirks that are kept."""
 
 import json
+import os
 import random
 import struct
+import threading
+import time
+import uuid
 
 import numpy as np
 import pytest
@@ -359,13 +363,93 @@ def test_wav(spark, tmp_path):
     assert stats["a"]["n_samples"] == 3 and stats["b"]["n_samples"] == 1 and stats["d"]["error"]
 
 
-def test_resume(spark, tmp_path):
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    """Of 300 rows with nine prompts, one of them null and one failing, each prompt is asked once, at most four at a time, one session a task."""
+    log = str(tmp_path)
+
+    def session():
+        lock, state = threading.Lock(), [0, 0]
+        open(f"{log}/session-{uuid.uuid4().hex}", "w").close()
+
+        def ask(system, text):
+            open(f"{log}/call-{uuid.uuid4().hex}", "w").close()
+            with lock:
+                state[0] += 1
+                state[1] = max(state)
+            time.sleep(0.1)
+            with lock:
+                state[0] -= 1
+            if text == "p3":
+                raise ValueError("no")
+            return f"{text}|{state[1]}"
+
+        return ask
+
+    rows = [(i, None if i % 9 == 0 else f"p{i % 9}" if i % 2 else "p1") for i in range(300)]
+    df = spark.createDataFrame(rows, "copy long, asked string").repartition(3)
+    got = {r["copy"]: r for r in E.enrich(df, session, "s", "asked", tries=1, in_flight=4, per_task=True).collect()}
+    assert len(got) == 300 and {k: r["asked"] for k, r in got.items()} == dict(rows)
+    calls, sessions = ([f for f in os.listdir(log) if f.startswith(k)] for k in ("call", "session"))
+    assert len(calls) == len({p for _, p in rows}) and len(sessions) <= 4
+    assert all((r["error"] == "ValueError: no") == (r["asked"] == "p3") for r in got.values())
+    answers = [r["answer"] for r in got.values() if r["answer"]]
+    assert all(r["answer"].split("|")[0] == str(r["asked"]) for r in got.values() if r["answer"])
+    assert max(int(a.split("|")[1]) for a in answers) <= 4
+
+
+def test_blocks_are_the_assembled_book(spark):
+    rng = random.Random(3)
+    rows = [(b, i, [rng.randint(-9, 9) for _ in range(rng.choice([0, 1, 5, 40]))], rng.choice([0, 3, 25])) for b in ("a", "b") for i in range(30)]
+    line = spark.createDataFrame([*rows, ("n", 0, None, 4), ("z", 0, [], 0)], "book_id string, seg_idx long, faded array<int>, gap int")
+    got = {}
+    for r in A.assemble_blocks(line, block=16).orderBy("book_id", "block_no").collect():
+        assert r.start_sample == len(got.setdefault(r.book_id, [])) == 16 * r.block_no and len(r.samples) <= 16
+        got[r.book_id] += r.samples
+    want = {}
+    for b, _, x, gap in rows:
+        want.setdefault(b, []).extend(x + [0] * gap)
+    assert got == want | {"n": [0] * 4}
+
+
+def test_resume(spark, tmp_path, monkeypatch):
+    """Runs that end between outputs and manifest, or between manifest and checkpoint, add nothing twice; nor does a lost checkpoint."""
     schema = "book_id long, chunk_idx long"
     source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
-    for part in ([(1, 0), (1, 1)], [(1, 1), (1, 2)]):
-        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
-        R.resume(spark, source, schema, out, check, lambda df: df).awaitTermination()
-    assert sorted(r["chunk_idx"] for r in spark.read.parquet(out).collect()) == [0, 1, 2]
+
+    def run(checkpoint=check):
+        R.resume(spark, source, schema, out, checkpoint, lambda df: df).awaitTermination()
+
+    def done():
+        found = R.outputs(spark, out)
+        return [] if found is None else sorted(r["chunk_idx"] for r in found.collect())
+
+    def add(*rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+
+    add((1, 0), (1, 1))
+    assert done() == []
+    commit = R._commit
+    monkeypatch.setattr(R, "_commit", lambda keys, path: (_ for _ in ()).throw(RuntimeError("ended before the manifest")))
+    with pytest.raises(Exception, match="ended before the manifest"):
+        run()
+    assert done() == []
+    monkeypatch.setattr(R, "_commit", commit)
+    run()
+    assert done() == [0, 1]
+    add((1, 1), (1, 2))
+
+    def late(keys, path):
+        commit(keys, path)
+        raise RuntimeError("ended after the manifest")
+
+    monkeypatch.setattr(R, "_commit", late)
+    with pytest.raises(Exception, match="ended after the manifest"):
+        run()
+    monkeypatch.setattr(R, "_commit", commit)
+    assert done() == [0, 1, 2]
+    run()
+    run(str(tmp_path / "other"))
+    assert done() == [0, 1, 2]
 
 
 def test_smooth_stream_matches_batch(spark, tmp_path):
