@@ -82,28 +82,56 @@ def book_totals(segments: DataFrame) -> DataFrame:
     return segments.groupBy("book_id").agg(F.count("*").alias("n_segments"), F.sum("n_samples").cast("long").alias("total_samples"), F.countDistinct("speaker").alias("n_speakers"))
 
 
+def _metadata_parts() -> tuple[Column, Column]:
+    """(the head of a book, the block of a chapter)"""
+    head = F.concat(F.lit(";FFMETADATA1\ntitle="), S.escape_meta(F.col("title")), F.lit("\nartist="), S.escape_meta(F.col("author")), F.lit("\ngenre=Audiobook\n\n"))
+    block = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), F.col("start_ms"), F.lit("\nEND="), F.col("end_ms"), F.lit("\ntitle="), S.escape_meta(F.col("title")), F.lit("\n\n"))
+    return head, block
+
+
 def chapter_metadata(marks: DataFrame, titles: DataFrame) -> DataFrame:
     """(book_id, metadata): the chapter metadata document of each book. titles: book_id, title, author."""
-    block = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), F.col("start_ms"), F.lit("\nEND="), F.col("end_ms"), F.lit("\ntitle="), S.escape_meta(F.col("title")), F.lit("\n\n"))
+    head, block = _metadata_parts()
     blocks = marks.select("book_id", F.struct("chapter_no", block.alias("block")).alias("b")).groupBy("book_id").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
-    head = F.concat(F.lit(";FFMETADATA1\ntitle="), S.escape_meta(F.col("title")), F.lit("\nartist="), S.escape_meta(F.col("author")), F.lit("\ngenre=Audiobook\n\n"))
     return blocks.join(titles, "book_id").select("book_id", F.concat(head, F.array_join(F.transform("blocks", lambda b: b["block"]), "")).alias("metadata"))
 
 
+def _as_rows(marks: DataFrame, titles: DataFrame, head: Column, block: Column) -> DataFrame:
+    """(book_id, part, body): a book's head as part -1, then its chapters."""
+    heads = titles.join(marks.select("book_id").distinct(), "book_id", "left_semi").select("book_id", F.lit(-1).cast("long").alias("part"), head.alias("body"))
+    return heads.unionByName(marks.join(titles, "book_id", "left_semi").select("book_id", F.col("chapter_no").cast("long").alias("part"), block.alias("body")))
+
+
+def metadata_rows(marks: DataFrame, titles: DataFrame) -> DataFrame:
+    """chapter_metadata() as rows (book_id, part, body), for a sink that streams them."""
+    return _as_rows(marks, titles, *_metadata_parts())
+
+
 def cue_time(samples: Column, rate: Column) -> Column:
     """mm:ss:ff with 75 frames a second."""
     frames = F.floor(samples.cast("decimal(38,0)") * 75 / rate).cast("long")
     return F.format_string("%02d:%02d:%02d", F.floor(frames / 4500), F.floor(frames / 75) % 60, frames % 75)
 
 
+def _cue_parts() -> tuple[Column, Column]:
+    """(the head of a book, the track of a chapter)"""
+    head = F.concat(F.lit('PERFORMER "'), F.col("author"), F.lit('"\nTITLE "'), F.col("title"), F.lit('"\nFILE "'), F.col("file"), F.lit('" WAVE\n'))
+    number = F.format_string("  TRACK %02d AUDIO\n    TITLE \"", F.col("chapter_no") + 1)
+    return head, F.concat(number, F.col("title"), F.lit('"\n    INDEX 01 '), cue_time(F.col("start_sample"), F.col("sample_rate")), F.lit("\n"))
+
+
 def cue_sheet(marks: DataFrame, titles: DataFrame) -> DataFrame:
     """(book_id, cue). titles: book_id, title, author, file."""
-    track = F.concat(F.format_string("  TRACK %02d AUDIO\n    TITLE \"", F.col("chapter_no") + 1), F.col("title"), F.lit('"\n    INDEX 01 '), cue_time(F.col("start_sample"), F.col("sample_rate")), F.lit("\n"))
+    head, track = _cue_parts()
     tracks = marks.select("book_id", F.struct("chapter_no", track.alias("track")).alias("t")).groupBy("book_id").agg(F.array_sort(F.collect_list("t")).alias("tracks"))
-    head = F.concat(F.lit('PERFORMER "'), F.col("author"), F.lit('"\nTITLE "'), F.col("title"), F.lit('"\nFILE "'), F.col("file"), F.lit('" WAVE\n'))
     return tracks.join(titles, "book_id").select("book_id", F.concat(head, F.array_join(F.transform("tracks", lambda t: t["track"]), "")).alias("cue"))
 
 
+def cue_rows(marks: DataFrame, titles: DataFrame) -> DataFrame:
+    """cue_sheet() as rows (book_id, part, body), for a sink that streams them."""
+    return _as_rows(marks, titles, *_cue_parts())
+
+
 # Work plan -----------------------------------------------------------------
 
 

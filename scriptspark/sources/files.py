@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptspark.operators import timeline
 from scriptspark.sources import wav
+from scriptspark.sources.bookfiles import write_ordered
 
 NEUTRAL = "Neutral, even narration."
 SCRIPT = "array<struct<speaker:string,text:string,instruct:string>>"
@@ -41,9 +43,24 @@ def script_json(entries: DataFrame) -> DataFrame:
     return ordered.select("book_id", F.to_json(bare, {"pretty": "true"}).alias("script"))
 
 
+def _in_folder(name: str) -> Column:
+    return F.concat(F.lit("book_id="), F.url_encode(F.col("book_id").cast("string")), F.lit(f"/{name}"))
+
+
 def write_script(entries: DataFrame, path: str) -> None:
-    """One JSON array per book, in a folder of its own."""
-    script_json(entries).write.partitionBy("book_id").mode("overwrite").text(path)
+    """One JSON array per book, script_json()'s text, in a folder of its own. Entries are streamed in order: no row holds a book."""
+    body = F.to_json(F.struct("speaker", "text", "instruct"), {"pretty": "true"})
+    write_ordered(entries, path, _in_folder("script.txt"), ["entry_idx"], body, "[ ", ", ", " ]")
+
+
+def write_metadata(marks: DataFrame, titles: DataFrame, path: str) -> None:
+    """Each book's chapter metadata document in a folder of its own, streamed chapter by chapter."""
+    write_ordered(timeline.metadata_rows(marks, titles), path, _in_folder("metadata.txt"), ["part"], F.col("body"))
+
+
+def write_cue(marks: DataFrame, titles: DataFrame, path: str) -> None:
+    """Each book's cue sheet in a folder of its own, streamed track by track."""
+    write_ordered(timeline.cue_rows(marks, titles), path, _in_folder("book.cue"), ["part"], F.col("body"))
 
 
 # Audio files ---------------------------------------------------------------

@@ -308,6 +308,28 @@ def test_script_files(spark, tmp_path):
     assert files.read_books(spark, str(tmp_path / "book.md")).first()["markdown"] == "# T\n\nx"
 
 
+def test_books_are_streamed_to_files(spark, tmp_path):
+    """Files are those of the whole-book columns; a second write replaces the first; one that fails leaves the first alone."""
+    top, rng = tmp_path / "out", random.Random(2)
+    rows = [(f"file:///x/{b} 1.md", i, "A", "é \"q\" " * rng.randint(0, 3), "calm") for b in "abcdefgh" for i in range(rng.randint(1, 50))]
+    df = spark.createDataFrame(rows, "book_id string, entry_idx long, speaker string, text string, instruct string").repartition(5)
+    files.write_script(df.where("book_id like '%a%'").withColumn("speaker", F.lit("OLD")), str(top))
+    files.write_script(df, str(top))
+    want = {r.book_id: r.script for r in files.script_json(df).collect()}
+    found = {p.parent.name: p.read_text() for p in top.rglob("*.txt")}
+    assert len(found) == 8 and sorted(found.values()) == sorted(want.values())
+    assert found["book_id=file%3A%2F%2F%2Fx%2Fa+1.md"] == want["file:///x/a 1.md"] and [p.name for p in top.iterdir() if "=" not in p.name] == []
+    with pytest.raises(Exception, match="a row without a file"):
+        files.write_script(df.withColumn("book_id", F.when(F.col("book_id").like("%b%"), F.col("book_id"))), str(top))
+    assert {p.parent.name: p.read_text() for p in top.rglob("*.txt")} == found and not (top / "_temporary").exists()
+    marks = spark.createDataFrame([(b, n, f"T=\u00e9{n}", n * 48000, n * 1000, n * 1000 + 999, 48000) for b in ("a", "b", "untitled") for n in range(12)], "book_id string, chapter_no long, title string, start_sample long, start_ms long, end_ms long, sample_rate int")
+    titles = spark.createDataFrame([("a", "Book; A", "X", "a.wav"), ("b", "B", "Y", "b.wav"), ("none", "N", "Z", "n.wav")], "book_id string, title string, author string, file string")
+    files.write_metadata(marks, titles, str(tmp_path / "meta"))
+    files.write_cue(marks, titles, str(tmp_path / "cue"))
+    assert {p.parent.name[8:]: p.read_text() for p in (tmp_path / "meta").rglob("*.txt")} == {r.book_id: r.metadata for r in T.chapter_metadata(marks, titles).collect()}
+    assert {p.parent.name[8:]: p.read_text() for p in (tmp_path / "cue").rglob("*.cue")} == {r.book_id: r.cue for r in T.cue_sheet(marks, titles).collect()}
+
+
 def wav(kind, bits, channels, rate, body):
     fmt = struct.pack("<HHIIHH", kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(body)) + body
