@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from scriptspark.operators.signal import Compressor, smooth_gains
 from scriptspark.operators.timeline import pending
@@ -79,3 +80,52 @@ def smooth_stream(series: DataFrame, rate: int, settings: Compressor = Compresso
             yield pd.DataFrame({"book_id": key[0], "pos": points["pos"].to_numpy(np.int64), "gain": gains})
 
     return series.groupBy("book_id").applyInPandasWithState(scan, "book_id long, pos long, gain double", "gain double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+class LateSmoother(StatefulProcessor):
+    """Smooths a book's points in the order of (at, pos), each once the watermark is past it. State: the gain, and the points that wait."""
+
+    def __init__(self, attack: float, release: float):
+        self.attack, self.release = attack, release
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.gain = handle.getValueState("gain", "gain double")
+        self.waiting = handle.getListState("waiting", "at long, pos long, target double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came = [p for frame in rows for p in zip(frame["at"].tolist(), frame["pos"].tolist(), frame["target"].tolist(), strict=True)]
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(min(p[0] for p in came))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        past = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(p) for p in self.waiting.get())
+        ready, rest = [p for p in held if p[0] <= past], [p for p in held if p[0] > past]
+        if not ready:
+            return
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0])
+        else:
+            self.waiting.clear()
+        gains = smooth_gains(np.array([p[2] for p in ready]), self.attack, self.release, self.gain.get()[0] if self.gain.exists() else 0.0)
+        self.gain.update((float(gains[-1]),))
+        yield pd.DataFrame({"book_id": key[0], "pos": [p[1] for p in ready], "gain": gains})
+
+    def close(self) -> None:
+        pass
+
+
+def smooth_late_stream(series: DataFrame, rate: int, wait: str, settings: Compressor = Compressor(), at: str = "at") -> DataFrame:
+    """(book_id, pos, gain) of a stream (book_id, pos, target, at): points that come late by up to `wait` take their place in order.
+
+    A point waits until the watermark, `wait` behind the newest time `at` seen, is past its own time; then it is smoothed and given
+    out. Only points older than the watermark when they come are left out. `at` must not fall as pos rises. A book's state is one
+    gain and the points of about `wait`. The session's state store must be RocksDB (spark.sql.streaming.stateStore.providerClass).
+    """
+    attack, release = settings.coefficient(settings.attack_ms, rate), settings.coefficient(settings.release_ms, rate)
+    known = series.withWatermark(at, wait).select("book_id", "pos", F.col("target").cast("double").alias("target"), F.unix_millis(at).alias("at"), F.col(at).alias("event"))
+    return known.groupBy("book_id").transformWithStateInPandas(LateSmoother(attack, release), "book_id long, pos long, gain double", "Append", "EventTime")

@@ -489,6 +489,24 @@ def test_smooth_stream_matches_batch(spark, tmp_path):
     assert len(got) == 80 and all(abs(got[r["book_id"], r["pos"]] - r["gain"]) < 1e-12 for r in want)
 
 
+def test_late_points_wait_for_their_place(spark, tmp_path):
+    """Points that come up to ten seconds late, in three micro-batches, are smoothed in order; one that comes a minute late is left out."""
+    rng = np.random.default_rng(6)
+    rows = [(b, i, float(-v), i * 1000) for b in (1, 2) for i, v in enumerate(rng.random(40))]
+    parts = [rows[0:15] + rows[40:62], rows[20:40] + [r for r in rows[62:] if r[1] % 2], rows[15:20] + [r for r in rows[62:] if not r[1] % 2], [(3, 0, 0.0, 90_000)], [(3, 1, 0.0, 200_000), (1, 7, -9.0, 7_500)]]
+    source, key = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, "book_id long, pos long, target double, ms long").select("book_id", "pos", "target", F.timestamp_millis(F.col("ms") + 10**12).alias("at")).coalesce(1).write.mode("append").parquet(source)
+        stream = R.smooth_late_stream(spark.readStream.schema("book_id long, pos long, target double, at timestamp").parquet(source), 100, "30 seconds")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(key, old)
+    got = [(r["book_id"], r["pos"], r["gain"]) for r in spark.read.parquet(str(tmp_path / "out")).where("book_id < 3").collect()]
+    want = {(r["book_id"], r["pos"]): r["gain"] for r in A.attack_release(spark.createDataFrame([r[:3] for r in rows], "book_id long, pos long, target double"), 100).collect()}
+    assert len(got) == 80 and max(abs(want[b, p] - g) for b, p, g in got) < 1e-12
+
+
 def test_white_space_of_any_kind(spark):
     nb = "\u00a0"
     row = spark.range(1).select(
