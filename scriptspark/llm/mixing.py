@@ -21,6 +21,7 @@ part, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -107,22 +108,68 @@ def _seed(rank: int, passes: int) -> int:
     return zlib.crc32(f"{SEED}:{rank}:{passes}".encode())
 
 
-def _taken_of(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of `take` slots, drawn from counts[i] slots of each source i, fall to each: multivariate hypergeometric.
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without loss of digits where x is near the mean."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, j = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        more = total + term / (2 * j + 1)
+        if more == total:
+            return more
+        total, j = more, j + 1
+
+
+def _stirling_rest(n: int) -> float:
+    """What Stirling's formula lacks of log n!."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n**2) / n**2) / n**2) / n
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """Log of the chance of x in n, by the saddle point: digits don't suffer where n is large."""
+    if not n:
+        return 0.0
+    if x == 0 or x == n:
+        return n * (math.log(q) if p > 0.1 else math.log1p(-p)) if x == 0 else n * (math.log(p) if q > 0.1 else math.log1p(-q))
+    rests = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x)
+    return rests - _deviance(x, n * p) - _deviance(n - x, n * q) - 0.5 * (math.log(2 * math.pi * x) + math.log1p(-x / n))
+
+
+def _hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of `take` drawn from good + bad are good: one draw of that law, by ratio of uniforms, for numbers of any size."""
+    total = good + bad
+    low, high = max(0, take - bad), min(take, good)
+    if low == high:
+        return low
+    p, q = take / total, (total - take) / total
+
+    def log_chance(x: int) -> float:
+        return _log_binomial(x, good, p, q) + _log_binomial(take - x, bad, p, q)
+
+    mean = take * (good / total)
+    spread = math.sqrt(mean * (bad / total) * ((total - take) / (total - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    top = log_chance(min(high, max(low, (take + 1) * (good + 1) // (total + 2))))
+    while True:
+        u = 1 - rng.random()
+        x = math.floor(mean + 0.5 + width * (rng.random() - 0.5) / u)
+        if low <= x <= high and 2 * math.log(u) <= log_chance(x) - top:
+            return x
 
-    Where a number is beyond what the generator draws (1e9), a normal draw of the same mean and spread stands in.
-    """
+
+def _taken_of(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `take` slots, drawn from counts[i] slots of each source i, fall to each: multivariate hypergeometric."""
     out, rest = np.zeros_like(counts), int(counts.sum())
     for i in np.flatnonzero(counts).tolist():
         n = int(counts[i])
         if not take:
             break
-        if rest < 10**9:
-            got = int(rng.hypergeometric(n, rest - n, take))
-        else:
-            spread = np.sqrt(take * (n / rest) * (1 - n / rest) * (rest - take) / max(1, rest - 1))
-            got = int(min(n, take, max(0, take - (rest - n), round(rng.normal(take * (n / rest), spread)))))
-        out[i], rest, take = got, rest - n, take - got
+        out[i] = _hypergeometric(n, rest - n, take, rng)
+        rest, take = rest - n, take - int(out[i])
     return out
 
 

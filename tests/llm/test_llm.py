@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out pages."""
 
 import hashlib
+import math
 import random
 import time
 import zlib
@@ -238,6 +239,28 @@ def test_draws_by_shard(spark, documents, monkeypatch):
     assert large.sum() == 2 * 10**9 and abs(large[0] - 1.5e9) < 1e6
 
 
+@pytest.mark.parametrize("good, bad, take", [(1, 1, 1), (1, 10, 3), (7, 5, 6), (30, 970, 50), (3, 400, 390), (500, 500, 20)])
+def test_op2_draws_follow_the_law(good, bad, take):
+    """Draws of small numbers against the exact chances; of numbers beyond 1e12, mean and spread, and the chances against exact ratios."""
+    rng, n = np.random.default_rng(good), 20_000
+    low, high = max(0, take - bad), min(take, good)
+    chance = np.array([math.comb(good, x) * math.comb(bad, take - x) / math.comb(good + bad, take) for x in range(low, high + 1)])
+    seen = np.bincount([mixing._hypergeometric(good, bad, take, rng) - low for _ in range(n)], minlength=high - low + 1)
+    held = chance * n >= 5
+    chi = ((seen - chance * n)[held] ** 2 / (chance * n)[held]).sum()
+    free = max(1, held.sum() - 1)
+    assert chi < free + 5 * math.sqrt(2 * free) + 5 and seen[~held].sum() <= 5 + 3 * n * chance[~held].sum()
+    big = 10**12
+    wide = [mixing._hypergeometric(good * big, bad * big, take * big // 2, rng) for _ in range(500)]
+    total, t = (good + bad) * big, take * big // 2
+    mean, spread = t * good / (good + bad), math.sqrt(t * (good / (good + bad)) * (bad / (good + bad)) * ((total - t) / total))
+    assert abs(np.mean(wide) - mean) < 5 * spread / math.sqrt(500) and 0.8 < np.std(wide) / spread < 1.2
+    x, p, q = round(mean + spread), t / total, (total - t) / total
+    step = mixing._log_binomial(x + 1, good * big, p, q) + mixing._log_binomial(t - x - 1, bad * big, p, q) - mixing._log_binomial(x, good * big, p, q) - mixing._log_binomial(t - x, bad * big, p, q)
+    exact = math.log1p((((good * big - x) * (t - x)) - (x + 1) * (bad * big - t + x + 1)) / ((x + 1) * (bad * big - t + x + 1)))
+    assert abs(step - exact) < 1e-9
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 257, 1000):
         p = mixing._permuted(np.arange(n), n, 5)
