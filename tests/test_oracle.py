@@ -34,5 +34,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_query_reads_tables():
+def test_every_query_reads_tables(spark, tmp_path):
+    """Without the tables no query gives anything."""
+    for name, query in entry.queries().items():
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            query(spark, str(tmp_path)).count()
+            pytest.fail(f"{name} reads no table")
+
+
+def test_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
