@@ -8,12 +8,13 @@ twelve states in all, so a chunk's effect on the lines after it is a table of tw
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptspark.functions import strings as S
-from scriptspark.operators.scan import chunked_scan
+from scriptspark.operators.scan import CHUNK_ROWS, numbered_scan
+from scriptspark.storage import store
 
 # Line forms.
 FENCE = r"^ {0,3}(```|~~~)"
@@ -82,27 +83,6 @@ class Blocks:
         return (*left, entry[3] + more)
 
 
-class Counter:
-    """The number of a row within its book, from 0."""
-
-    def __init__(self, column: str):
-        self.columns = [column]
-
-    def run(self, columns: list[np.ndarray], begins: np.ndarray, entry: int | None) -> tuple[np.ndarray, int]:
-        n = len(columns[0])
-        first = np.zeros(n, np.int64)
-        first[begins] = begins
-        first = np.maximum.accumulate(first)
-        number = np.arange(n) - first + np.where(first == 0, entry or 0, 0)
-        return number, int(number[-1]) + 1
-
-    def summary(self, columns: list[np.ndarray]) -> int:
-        return len(columns[0])
-
-    def through(self, summary: int, entry: int) -> int:
-        return entry + summary
-
-
 def _known(lines: DataFrame) -> DataFrame:
     """book_id, line_idx, line, kind, island: kinds of lines, and the number of the paragraph they would stand in."""
     line = F.col("line")
@@ -115,7 +95,7 @@ def _known(lines: DataFrame) -> DataFrame:
     )
     flag = lambda pattern, bit: F.when(line.rlike(pattern), F.lit(bit)).otherwise(F.lit(0))
     marked = lines.select("book_id", "line_idx", "line", (plain + flag(HTML, _HTML_BIT) + flag(HARD_BREAK, _BREAK_BIT)).cast("long").alias("__mark"))
-    found = chunked_scan(marked, ["book_id"], ["line_idx"], T.StructField("__at", T.LongType()), Blocks())
+    found = numbered_scan(store(marked, "lines"), ["book_id"], "line_idx", T.StructField("__at", T.LongType()), Blocks())
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("__at").bitwiseAND(15) + 1).cast("int"))
     return found.select("book_id", "line_idx", "line", kind.alias("kind"), F.shiftright("__at", 4).alias("island"))
 
@@ -142,10 +122,19 @@ def assemble_paragraphs(lines: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", ITEM, ""), QUOTE, ""), r"\\$", "")
     clean = F.when(head, F.regexp_replace(F.regexp_replace("line", r"^ {0,3}#{1,6}\s*", ""), r"\s+#+\s*$", "")).otherwise(body)
     kept = _known(lines).where(F.col("kind").isin(*HEADS, "TEXT", "ITEM", "QUOTE")).select("book_id", "line_idx", "kind", "island", clean.alias("line"))
-    parts = kept.groupBy("book_id", "island").agg(F.min(F.when(head, F.col("kind"))).alias("kind"), F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("parts"))
+    chunk = F.floor(F.col("island") / CHUNK_ROWS).alias("chunk")
+    parts = kept.select("*", chunk).repartition("book_id", "chunk").groupBy("book_id", "chunk", "island").agg(F.min(F.when(head, F.col("kind"))).alias("kind"), F.array_sort(F.collect_list(F.struct("line_idx", "line"))).alias("parts"))
     joined = F.array_join(F.filter(F.transform("parts", lambda p: F.trim(p["line"])), lambda x: x != ""), " ")
-    text = parts.select("book_id", "island", F.coalesce("kind", F.lit("BODY")).alias("kind"), F.trim(S.strip_inline(joined)).alias("text")).where("text <> ''")
-    return chunked_scan(text, ["book_id"], ["island"], T.StructField("para_idx", T.LongType()), Counter("island")).select("book_id", "para_idx", "kind", "text")
+    text = parts.select("book_id", "chunk", "island", F.coalesce("kind", F.lit("BODY")).alias("kind"), F.trim(S.strip_inline(joined)).alias("text")).where("text <> ''")
+    # numbered within a chunk of paragraphs, which one task holds anyway, and from what the chunks before it have
+    own = F.row_number().over(Window.partitionBy("book_id", "chunk").orderBy("island"))
+    held = store(text.withColumn("own", own.cast("long")).drop("island"), "paragraphs")
+    counts = held.groupBy("book_id", "chunk").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("book_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    # at most one in CHUNK_ROWS paragraphs
+    later = F.broadcast(store(counts.withColumn("before", before).where("chunk > 0").select(F.struct("book_id", "chunk").alias("of"), "before"), "paragraphs-before"))
+    found = held.withColumn("of", F.struct("book_id", "chunk")).join(later, "of", "left")
+    return found.select("book_id", (F.col("own") + F.coalesce("before", F.lit(0)) - 1).alias("para_idx"), "kind", "text")
 
 
 def tagged(paragraphs: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ Spark sorts rows by key and order into ranges; a range holds a chunk of each key
 that begin a key are scanned at once. Of the first chunk in a range, whose key may have begun
 before, the scan's whole map is taken: which state each entry state would leave it in. The maps, one
 for each range at most, are composed in order; then the chunks with an entry are scanned from it.
+
+numbered_scan() does the same for wide rows with numbers to cut them by: maps come from narrow columns first, so that wide
+rows are read once, batch by batch.
 """
 
 from __future__ import annotations
@@ -111,3 +114,89 @@ def chunked_scan(rows: DataFrame, keys: list[str], order: list[str], out: T.Stru
 
     redone = done.where(goes_on).select(*names, "__part", "__row").repartition("__part").sortWithinPartitions("__part", "__row")
     return done.where(~goes_on).select(*names, out.name).unionByName(redone.mapInArrow(again, T.StructType([*rows.schema.fields, out])))
+
+
+#: Rows of a key that numbered_scan() puts in one chunk.
+CHUNK_ROWS = 32_768
+
+
+def numbered_scan(rows: DataFrame, keys: list[str], number: str, out: T.StructField, automaton: Automaton) -> DataFrame:
+    """rows with the column `out`, as chunked_scan() gives it, for a stored table whose column `number` counts the rows of a key, from about 0.
+
+    A chunk is CHUNK_ROWS numbers of a key. Keys of one chunk need no map. Of longer keys, at most one in CHUNK_ROWS rows, the automaton's
+    columns give each chunk's map; the driver composes one for each chunk. Rows then pass through a task in batches, of which it holds one.
+    """
+    names, part = rows.columns, "__chunk"
+    cut = rows.withColumn(part, F.floor(F.col(number) / CHUNK_ROWS).cast("long"))
+    long_ = cut.where(F.col(part) > 0).select(F.struct(*keys).alias("__key")).distinct()
+    entries = _entries(cut, long_, keys, part, number, automaton) if not long_.isEmpty() else {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            columns, begins = [table.column(c).to_numpy() for c in automaton.columns], _begins(table, [*keys, part])
+            firsts = list(zip(*(table.column(c).take(pa.array(begins)).to_pylist() for c in [*keys, part]), strict=True))
+            goes_on = firsts[0] == last
+            # one run from each chunk that goes on; keys that begin are left to the run before them
+            heads = [i for i, of in enumerate(firsts) if i == 0 or of in entries]
+            values = []
+            for i, j in zip(heads, [*heads[1:], len(begins)], strict=True):
+                a, b = begins[i], begins[j] if j < len(begins) else table.num_rows
+                entry = state if i == 0 and goes_on else entries.get(firsts[i])
+                got, state = automaton.run([c[a:b] for c in columns], begins[i:j] - a, entry)
+                values.append(got)
+            last = firsts[-1]
+            yield from _batches(table.append_column(out.name, pa.array(np.concatenate(values))), [*names, out.name])
+
+    ordered = cut.repartition(*keys, part).sortWithinPartitions(*keys, part, number)
+    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields, out]))
+
+
+def _entries(cut: DataFrame, long_: DataFrame, keys: list[str], part: str, number: str, automaton: Automaton) -> dict[tuple, Any]:
+    """The state on entry of each chunk that goes on: by keys and chunk."""
+    fields = [f for f in cut.schema.fields if f.name in (*keys, part)]
+    narrow = cut.select(F.struct(*keys).alias("__key"), *dict.fromkeys([*keys, part, number, *automaton.columns]))
+    narrow = narrow.join(F.broadcast(long_), "__key", "left_semi").drop("__key").repartition(*keys, part).sortWithinPartitions(*keys, part, number)
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in fields]
+
+        def made(held: list[pa.Table]) -> pa.RecordBatch:
+            chunk = pa.concat_tables(held)
+            columns = [chunk.column(c).to_numpy() for c in automaton.columns]
+            _, leaves = automaton.run(columns, np.array([0]), None)
+            row = chunk.select(names).slice(0, 1).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*row.columns, pa.array([pickle.dumps(automaton.summary(columns))]), pa.array([pickle.dumps(leaves)])], [*names, "map", "exit"])
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            begins = _begins(table, names).tolist()
+            for a, b in zip(begins, [*begins[1:], table.num_rows], strict=True):
+                piece = table.slice(a, b - a)
+                of = tuple(piece.column(c)[0].as_py() for c in names)
+                if held and of != last:
+                    yield made(held)
+                    held = []
+                held.append(piece)
+                last = of
+        if held:
+            yield made(held)
+
+    ddl = T.StructType([*fields, *T.StructType.fromDDL("map binary, exit binary").fields])
+    entries: dict[tuple, Any] = {}
+    last, state = None, None
+    for r in narrow.mapInArrow(maps, ddl).orderBy(*keys, part).collect():
+        key = tuple(r[k] for k in keys)
+        if key == last:
+            entries[*key, r[part]] = state
+            state = automaton.through(pickle.loads(r["map"]), state)
+        else:
+            state = pickle.loads(r["exit"])
+        last = key
+    return entries

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptspark.operators import markdown, packing, signal
+from scriptspark.operators import scan
 from scriptspark.operators.scan import chunked_scan
+from scriptspark.storage import store
 
 
 @pytest.fixture
@@ -181,3 +183,34 @@ def test_markdown_of_odd_tables(spark, many_tasks):
     odd = spark.createDataFrame([(None, 0, "# T"), (None, 1, None), (None, 2, "x"), ("b", 0, "y")], schema)
     assert [r.kind for r in markdown.classify_lines(odd).orderBy("book_id", "line_idx").collect()] == ["TITLE", "TEXT", "TEXT", "TEXT"]
     assert [(r.para_idx, r.text) for r in markdown.assemble_paragraphs(odd).orderBy("book_id", "para_idx").collect()] == [(0, "T"), (1, "x"), (0, "y")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_numbered_markdown_matches_a_loop(spark, many_tasks, monkeypatch, seed):
+    """Chunks of 64 numbers, batches of 50 rows: books of many chunks, of one, and chunks cut by batches."""
+    monkeypatch.setattr(scan, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(markdown, "CHUNK_ROWS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        test_markdown_in_chunks_matches_a_loop(spark, many_tasks, seed)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+class Held:
+    """Gives each row the number of rows that the scan holds with it."""
+
+    columns = ["x"]
+
+    def run(self, columns, begins, entry):
+        return np.full(len(columns[0]), len(columns[0])), None
+
+
+def test_a_scan_of_lines_holds_one_batch(spark, many_tasks):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        rows = store(spark.range(5000).selectExpr("cast(id % 2 as string) as book_id", "id div 2 as i", "id as x"), "held")
+        got = scan.numbered_scan(rows, ["book_id"], "i", T.StructField("held", T.LongType()), Held())
+        assert got.count() == 5000 and got.agg(F.max("held")).first()[0] <= 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
