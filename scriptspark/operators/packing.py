@@ -154,7 +154,8 @@ def with_pack(units: DataFrame, keys: list[str], order: list[str], most: int) ->
     held = store(units.withColumn("__unit", F.monotonically_increasing_id()), "units")
     lengths = held.select("__unit", *keys, *order, *Packer.columns)
     packed = chunked_scan(lengths, keys, [*order, "__unit"], T.StructField("pack", T.IntegerType()), Packer(most))
-    return held.join(packed.select("__unit", "pack"), "__unit").drop("__unit")
+    # a row each for every unit: its columns press well in files, so that by their size Spark would broadcast millions of them
+    return held.join(packed.select("__unit", "pack").hint("merge"), "__unit").drop("__unit")
 
 
 def _paragraph_units(paragraphs: DataFrame, keys: list[str], most: int, sentences, para_slack: int, para_glue: int) -> DataFrame:

@@ -214,3 +214,9 @@ def test_a_scan_of_lines_holds_one_batch(spark, many_tasks):
         assert got.count() == 5000 and got.agg(F.max("held")).first()[0] <= 100
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packs_are_not_broadcast(spark):
+    df = spark.createDataFrame([("a", i, 5, 1, 1, False) for i in range(300)], "book_id string, i long, len int, slack int, glue int, force boolean")
+    plan = packing.with_pack(df, ["book_id"], ["i"], 100)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
