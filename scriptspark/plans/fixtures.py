@@ -57,9 +57,17 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(mod(4) == 0, f"{fence}\ncode **x**\n{fence}\n\n").otherwise("")
     body = F.when(mod(2) == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
     md = F.concat(head, F.col("doc_id").cast("string"), F.lit("\n\n"), code, F.lit("**Lead** "), body, F.lit("\n"))
-    lines = _table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.posexplode(F.split(md, "\n")).alias("pos", "line"))
-    order = Window.partitionBy("lang", "source").orderBy("doc_id", "pos")
-    return lines.select(F.concat("lang", F.lit("/"), "source").alias("book_id"), (F.row_number().over(order) - 1).cast("long").alias("line_idx"), "line")
+    docs = _table(spark, sf_dir, "documents").select(F.struct("lang", "source", "doc_id").alias("of"), F.split(md, "\n").alias("lines"))
+    docs = docs.where("lines is not null")
+    # a document's first line counts the lines before it in its book: few columns are sorted by book, texts go by document
+    counts = docs.groupBy("of").agg(F.sum(F.size("lines")).alias("n"), F.count("*").alias("copies")).select("of", F.col("of.lang").alias("lang"), F.col("of.source").alias("source"), F.col("of.doc_id").alias("doc_id"), "n", "copies")
+    order = Window.partitionBy("lang", "source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("of", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"), "copies")
+    placed = lambda copies: docs.join(starts.where(copies).hint("merge"), "of").select("of", "start", F.posexplode("lines").alias("pos", "line"))
+    # documents of one id lie line by line beside each other
+    beside = F.row_number().over(Window.partitionBy("of").orderBy("pos")) - 1
+    lines = placed("copies = 1").unionByName(placed("copies > 1").withColumn("pos", beside))
+    return lines.select(F.concat("of.lang", F.lit("/"), "of.source").alias("book_id"), (F.col("start") + F.col("pos")).cast("long").alias("line_idx"), "line")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from scriptspark.operators import markdown, packing, signal
 from scriptspark.operators import scan
 from scriptspark.operators.scan import chunked_scan
+from scriptspark.plans import fixtures
 from scriptspark.storage import store
 
 
@@ -220,3 +221,15 @@ def test_packs_are_not_broadcast(spark):
     df = spark.createDataFrame([("a", i, 5, 1, 1, False) for i in range(300)], "book_id string, i long, len int, slack int, glue int, force boolean")
     plan = packing.with_pack(df, ["book_id"], ["i"], 100)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_lines_of_a_book_are_spread(spark, many_tasks, tmp_path):
+    """One book of 300 documents is no single task's; documents of one id, null ones too, have their lines beside each other."""
+    docs = [("en", "s", i, f"a{i}\nb") for i in range(300)] + [("en", "s", 7, "c"), ("en", None, 1, "x"), ("en", None, None, "y"), ("en", None, None, "z\nw"), ("de", "s", 5, None)]
+    spark.createDataFrame(docs, "lang string, source string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = fixtures.markdown(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    book = [r for r in lines if r.book_id == "en/s"]
+    assert len({r.task for r in book}) > 1
+    assert sorted(r.line_idx for r in book) == list(range(len(book)))
+    assert [r.line for r in sorted(book, key=lambda r: r.line_idx) if r.line.startswith("#")] == [f"{'# Part' if i % 5 == 0 else '### Note' if i % 5 == 1 else '#### Aside' if i % 5 == 2 else '## Chapter'} {i}" for i in range(300) for _ in range(1 + (i == 7))]
+    assert sorted(r.line_idx for r in lines if r.book_id is None) == list(range(sum(r.book_id is None for r in lines)))
