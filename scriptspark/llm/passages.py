@@ -404,10 +404,11 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     mark = stored_so_far()
     seen = scanned(docs, key, text)
-    marks, units = seen.select("key", F.inline("anchors")), seen.select("key", F.inline("paragraphs"))
-    anchored, edges = shared_anchors(marks)
+    units = store(seen.select("key", F.inline("paragraphs")), "paragraph-units")
+    anchored, edges = shared_anchors(seen.select("key", F.inline("anchors")))
     edges = store(edges, "edges")
-    tidy(docs.sparkSession)
+    # of the anchors, the most of what is stored, only those that several documents have are read again
+    drop_since(docs.sparkSession, mark, [units, anchored, edges])
     met = in_buckets(units)
     tidy(docs.sparkSession)
     anchors_again = edges.select("key", F.lit(None).cast("long").alias("h"), "at", F.lit(None).cast("int").alias("words"))

@@ -950,3 +950,14 @@ def test_pipeline(spark, sf_dir, texts, odd):
                 assert at.columns == odd.columns
         assert {r["doc_id"] for r in at.collect()} <= ids
     assert own.count() == 1
+
+
+def test_anchors_are_gone_before_texts_are_read_again(spark, monkeypatch):
+    """What every document's anchors take is not held on disk through the later steps."""
+    held, read_again = [], passages.read_again
+    monkeypatch.setattr(passages, "read_again", lambda *a: held.extend(x[1] for x in common._paths[mark:]) or read_again(*a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60)) + f" x{i % 2}") for i in range(4)], "doc_id long, text string")
+    mark = common.stored_so_far()
+    found = passages.removals(docs)
+    assert held and not any("/scanned-" in path for path in held)
+    assert {r.doc_id for r in found.collect()} == {1, 2, 3}
