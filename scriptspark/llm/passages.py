@@ -18,8 +18,9 @@ key, so each word of it stays there or, where a still earlier document has that
 
 Equal paragraphs are one node. In a bucket every paragraph is held against a leader (in buckets of over SMALL_BUCKET
 against a few more, turn by turn); when the components of these links are known, only pairs that stand in different components
-are left, and all of these are verified. Smaller buckets take them directly; paragraphs of larger ones meet
-by their rarest shingles (prefix filter): sets of similarity 0.8 share one early in both orders, so no pair is lost.
+are left, and all of these are decided. Smaller buckets take them directly; paragraphs of larger ones meet
+by the rarest of what sets them apart from their bucket's usual shingles (prefix filter), which similar ones share early in both
+orders; those that differ too little to share any are joined through the one that differs least. So no component is lost.
 
 Null and wordless text has nothing to remove. Ties: the first occurrence is that with the smallest key. Rows alike
 in key and text count as one document; null keys, and keys that several texts share, are told apart by the
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, components, drop_since, fresh_name, one_row_each, own_keys, store, stored_so_far, tidy
+from .common import SPACES, broadcast_if_small, components, drop_since, fresh_name, join_hot, one_row_each, own_keys, store, stored_so_far, tidy
 from .wordhash import Words, grouped, least_places, lists, mixed, signed, words_of
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -353,35 +354,60 @@ def _small_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _large_buckets(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs across components, among the paragraphs of larger buckets, that a prefix filter leaves.
+    """Pairs across components that are candidates in larger buckets: with links and components so far they connect all that is similar.
 
-    Shingles are ordered by rarity, those of a single component first: they can't link two. Of n shingles, two
-    sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of each.
+    Paragraphs meet within groups, the buckets whose largest component is the same. Each is taken as its difference from
+    what is usual in its group (the shingles that over half have): shingles of its own, and usual ones that it lacks. Copies
+    of one text differ from it in few places, so what all of them have brings nobody together. Of sizes x and y, two sets have similarity 0.8
+    if (x + y) / 9 shingles at most are in one alone; their differences are apart by just as many.
     """
-    large = open_.where(F.col("n") > SMALL_BUCKET).select("h", "component").distinct()
-    tokens = store(large.join(sets, "h").select("h", "component", F.size("set").alias("size"), F.explode("set").alias("token")), "large-tokens")
-    spread = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    met = tokens.join(spread.where("low < high").select("token", "n"), "token")
-    ranked = met.groupBy("h", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
-    ranked = ranked.withColumn("alone", F.col("size") - F.size("ranked"))
-    taken = F.greatest(F.lit(0), F.expr("size - (4 * size + 4) div 5 + 1 - alone").cast("int"))
-    ranked = ranked.select("h", "component", "size", "alone", F.posexplode(F.slice("ranked", F.lit(1), taken)).alias("pos", "at"))
-    after = F.col("size") - F.col("alone") - F.col("pos") - 1
-    apart = _meeting(store(ranked.select("h", "component", "size", F.col("at.token").alias("token"), after.alias("after")), "prefixes"))
-    # Shared shingles: those met so far, and at most what comes after the last of them.
-    counted = apart.groupBy("a", "b", "size", "size_b").agg((F.count("*") + F.least(F.min("after"), F.min("after_b"))).alias("most"))
-    return counted.where("9 * most >= 4 * (size + size_b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = open_.where(F.col("n") > SMALL_BUCKET)
+    shares = large.groupBy("band", "component").agg(F.count("*").alias("share"))
+    groups = shares.groupBy("band").agg(F.max_by("component", F.struct("share", "component")).alias("group"))
+    members = store(large.select("h", "band", "component").join(groups, "band").select("group", "h", "component").distinct(), "group-members")
+    differ = store(_differences(members, sets), "differences")
+    # Pairs whose differences are small enough together need share nothing of them: each is similar to the member with the least.
+    near = differ.select("group", "h", "component", (9 * F.col("d") - F.col("size")).alias("excess"))
+    least = near.groupBy("group").agg(F.min(F.struct("excess", "h", "component")).alias("least"))
+    usual = join_hot(near, least, "group", "h").where("excess + least.excess <= 0 and component <> least.component").select("h", F.col("least.h").alias("b"))
+    # Of a pair's first common element: all before it, those of one component first, are in one alone.
+    taken = F.greatest(F.lit(0), F.expr("size div 4 - alone + 1").cast("int"))
+    ranked = differ.select("group", "h", "component", "size", "d", "alone", F.posexplode(F.slice("ranked", F.lit(1), taken)).alias("pos", "token"))
+    rank = F.col("alone") + F.col("pos")
+    prefix = ranked.select("group", "h", "component", "size", rank.alias("rank"), (F.col("d") - rank).alias("rest"), "token")
+    apart = _meeting(store(prefix, "prefixes")).select("h", "b").unionByName(usual)
+    return apart.select(F.least("h", "b").alias("a"), F.greatest("h", "b").alias("b")).distinct()
+
+
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members (group, h, component) with size, d: how many shingles differ from the usual ones, alone: how many of these a single
+    component has, ranked: the others, rare ones first, then the usual ones that are lacking (with all bits turned), the least often lacking first."""
+    tokens = store(members.join(sets, "h").select("group", "h", "component", F.explode("set").alias("token")), "large-tokens")
+    sizes = members.groupBy("group").agg(F.count("*").alias("members"))
+    spread = tokens.groupBy("group", "token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = store(join_hot(spread, sizes, "group", "token"), "spread")
+    often = spread.where("2 * n > members").groupBy("group").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "token"))).alias("usual"))
+    rare = spread.where("low < high and 2 * n <= members").select("group", "token", "n")
+    own = tokens.join(rare, ["group", "token"]).groupBy("group", "h").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))
+    none = F.array().cast("array<long>")
+    with_own = members.join(sets, "h").join(own.select("group", "h", F.col("own.token").alias("own")), ["group", "h"], "left")
+    met = join_hot(with_own, often.select("group", F.col("usual.token").alias("usual")), "group", "h", "left")
+    met = met.withColumns({"own": F.coalesce("own", none), "usual": F.coalesce("usual", none)}).withColumn("lacking", F.array_except("usual", "set"))
+    d = F.size("set") - F.size("usual") + 2 * F.size("lacking")
+    ranked = F.concat("own", F.transform("lacking", F.bitwise_not))
+    return met.select("group", "h", "component", F.size("set").alias("size"), d.alias("d"), (d - F.size(ranked)).alias("alone"), ranked.alias("ranked"))
 
 
 def _meeting(prefix: DataFrame) -> DataFrame:
-    """Pairs across components by a shared token of their prefixes (after: how many tokens follow it).
+    """Pairs of a group across components by a common element of their differences.
 
-    Two sets of sizes x and y have similarity 0.8 if they share 4/9 of x + y. So the first token that they share
-    is followed, with itself counted, by that many in either set; where the sizes are alike, that leaves a ninth of each.
+    rank: how many elements come before it, rest: how many from it on. Those before the first that two have in common are in one
+    alone, and so are at least as many as one has more after it: together (size + size_b) / 9 at most. So either rank is
+    an eighth of its size at most (the sizes differ by a quarter at most), and both are a fourth at most.
     """
-    other = prefix.select("token", F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("after").alias("after_b"))
-    fits = "component < component_b and 9 * (least(after, after_b) + 1) >= 4 * (size + size_b)"
-    return prefix.withColumnRenamed("h", "a").join(other, "token").where(fits)
+    other = prefix.select("group", "token", F.col("h").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("component", "size", "rank", "rest")))
+    fits = "component <> component_b and 9 * (rank + rank_b + abs(rest - rest_b)) <= size + size_b"
+    return prefix.where("8 * rank <= size").join(other, ["group", "token"]).where(fits)
 
 
 def near_copies(units: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

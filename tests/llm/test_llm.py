@@ -614,6 +614,24 @@ def test_a_large_bucket_of_many_families(spark):
     assert len(linked_like_brute_force(spark, lines)) == len(families) > 200
 
 
+def test_copies_with_one_changed_word_name_few_pairs(spark):
+    """Copies of one text, each with a word of its own: pairs named in their bucket are about those that are similar, not all."""
+    rng = random.Random(17)
+    base = [rng.choice(WORDS) + str(i) for i in range(60)]
+    lines = []
+    for i in range(150):
+        at = rng.randrange(60)
+        lines.append([*base[:at], f"own{i}", *base[at + 1 :]])
+    ids = {x: i for i, x in enumerate(sorted(set().union(*map(shingle_set, lines))))}
+    sets = [shingle_set(w) for w in lines]
+    rows = common.store(spark.createDataFrame([(h, [ids[x] for x in s]) for h, s in enumerate(sets)], "h long, set array<long>"), "sets")
+    open_ = common.store(rows.select("h", F.lit(7).cast("long").alias("band"), F.col("h").alias("component"), F.lit(150).cast("long").alias("n")), "open")
+    named = {(r["a"], r["b"]) for r in passages._large_buckets(open_, rows).collect()}
+    links = {(a, b) for a, b in combinations(range(150), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert components_of(set(range(150)), named & links) == components_of(set(range(150)), links)
+    assert len(named) < 2 * len(links) < 3000
+
+
 def test_short_lines_and_wrapped_text(spark):
     rng = random.Random(13)
     words = lambda n: [rng.choice(WORDS) for _ in range(n)]
