@@ -105,12 +105,13 @@ def drop_since(spark: SparkSession, mark: int, keep: list[DataFrame]) -> None:
     tidy(spark)
 
 
-def broadcast_if_small(df: DataFrame, most: int = 20_000) -> DataFrame:
-    """df with a broadcast hint if a count finds at most so many rows; beyond it Spark shuffles the join.
+def broadcast_if_small(df: DataFrame, most: int = 20_000, merge: bool = False) -> DataFrame:
+    """df with a broadcast hint if a count finds at most so many rows; beyond it Spark decides by the size of the files.
 
-    Call it on stored tables of narrow rows (under 200 bytes), so that the hint stays below 4 MB.
+    Call it on stored tables of narrow rows (under 200 bytes), so that the hint stays below 4 MB. merge: beyond it the join is
+    sorted and merged whatever the files' size, as keys that press well in files are millions of rows before Spark finds them large.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df.hint("merge") if merge else df
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

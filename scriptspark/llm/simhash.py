@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh_name, one_row_each, own_keys, store
+from .common import broadcast_if_small, components, fresh_name, one_row_each, own_keys, store
 from .passages import BANDS, band_keys, near_copies
 from .wordhash import grouped, lists, signed, words_of
 
@@ -87,17 +87,19 @@ def links(fps: DataFrame) -> DataFrame:
     index = variants(fps)
     other = index.withColumnRenamed("fp", "b").withColumnRenamed("variant", "other")
     near = (F.col("variant") == F.col("other")) & (F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    return index.join(other, near).select(F.col("fp").alias("a"), "b").distinct()
+    # Spark takes the variants to be no larger than the fingerprints before the explode, and would broadcast 64 rows of each
+    return index.join(other.hint("merge"), near).select(F.col("fp").alias("a"), "b").distinct()
 
 
 def near_duplicates(marked: DataFrame, key: str) -> DataFrame:
     """(key, fp, component) of the stored marked (key, fp): component is the smallest key that it can reach, itself included."""
     nodes = store(marked.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     found = store(components(links(nodes.select("fp")), "a", "b", "fp-components"), "fp-components")
-    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    # a row a fingerprint or document: Spark would broadcast them by the size of their files
+    roots = nodes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = roots.join(lowest, "root").select("fp", "component")
-    return marked.join(by_fp, "fp")
+    by_fp = roots.join(lowest.hint("merge"), "root").select("fp", "component")
+    return marked.join(by_fp.hint("merge"), "fp")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
@@ -117,7 +119,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, odd, _ = own_keys(docs, "doc_id", "text", row)
     signed_ = store(with_signature(keyed, row, "text"), "signatures")
     firsts = store(near_duplicates(signed_.select("key", "fp"), "key").where("key = component").select("key").distinct(), "firsts")
-    units = store(signed_.where("words > 0").select("key", "h", "words", "bands").join(firsts, "key", "left_semi"), "first-texts")
+    units = store(signed_.where("words > 0").select("key", "h", "words", "bands").join(broadcast_if_small(firsts, merge=True), "key", "left_semi"), "first-texts")
     again = near_copies(units, keyed, row, "text")
     kept = store(firsts.join(again, "key", "left_anti").withColumnRenamed("key", row), "kept")
-    return one_row_each(keyed.join(kept, row, "left_semi"), row, odd).select(*docs.columns)
+    return one_row_each(keyed.join(broadcast_if_small(kept, merge=True), row, "left_semi"), row, odd).select(*docs.columns)

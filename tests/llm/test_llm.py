@@ -930,6 +930,14 @@ def test_links_match_brute_force(spark):
     assert got == want
 
 
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """A small file of fingerprints gives 64 times its rows, and well-pressed files many rows: no file size makes them a broadcast."""
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    marked = common.store(spark.range(300).selectExpr("id as doc_id", "id * id * 7919 as fp"), "fingerprints")
+    assert "BroadcastHashJoin" not in plan_of(simhash.links(marked.select("fp")))
+    assert "BroadcastHashJoin" not in plan_of(simhash.near_duplicates(marked, "doc_id"))
+
+
 # Pipeline ------------------------------------------------------------------
 
 
