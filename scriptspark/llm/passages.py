@@ -218,20 +218,22 @@ def passages_of(met: DataFrame, edges: DataFrame, again: DataFrame, gone: DataFr
     """
     ours, size = ["context", "h"], F.lit(PASSAGE_WORDS).alias("words")
     place = met.select("key", *ours, F.greatest(F.lit(0), F.col("at") - REACH).alias("at"), "words", F.col("at").alias("spot"))
-    texts = broadcast_if_small(store(gone.select("key").distinct().withColumn("cut", F.lit(True)), "cut-texts"), 200_000)
+    texts = broadcast_if_small(store(gone.select("key").distinct().withColumn("cut", F.lit(True)), "cut-texts"), 200_000, merge=True)
     marked = place.join(texts, "key", "left")
     uncut = marked.where("cut is null").drop("cut").withColumns({"whole": F.lit(True), "free": F.array().cast("array<int>")})
     seen = store(uncut.unionByName(cut_contexts(marked.where("cut").drop("cut"), gone)), "context-places")
     whole, hit = seen.where("whole").drop("whole", "free"), seen.where("not whole").drop("whole")
     keeps = store(whole.groupBy(*ours).agg(F.min(F.struct("key", "spot", "at")).alias("first"), F.max("key").alias("last")), "context-keepers")
     spans = whole.join(keeps.where("first.key < last").select(*ours, F.col("first.key").alias("keeper")), ours).where("key <> keeper").select("key", "at", "words", "keeper")
-    moved = hit.join(edges.withColumnRenamed("at", "spot"), ["key", "spot"]).join(keeps.select(*ours, "first"), ours)
+    # edges and keepers grow with the anchors, windows and steps come by an explode: Spark would broadcast them by the size of their files
+    moved = hit.join(edges.withColumnRenamed("at", "spot").hint("merge"), ["key", "spot"]).join(keeps.select(*ours, "first").hint("merge"), ours)
+    moved = store(moved.select("key", "spot", "first"), "moved-contexts")
     steps = moved.select("key", "first", F.col("spot").alias("from"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("spot") - REACH), F.col("spot"))).alias("at"))
-    windows = again.select("key", "windows").join(moved.select("key").distinct(), "key", "left_semi").select("key", F.inline("windows"))
-    shifted = windows.join(steps, ["key", "at"]).select(F.col("first.key").alias("key"), "h", (F.col("at") - F.col("from") + F.col("first.spot")).alias("at"))
+    windows = again.select("key", "windows").join(broadcast_if_small(moved.select("key").distinct(), merge=True), "key", "left_semi").select("key", F.inline("windows"))
+    shifted = windows.join(steps.hint("merge"), ["key", "at"]).select(F.col("first.key").alias("key"), "h", (F.col("at") - F.col("from") + F.col("first.spot")).alias("at"))
     # of contexts hit in part: a window is named by its place in the context
     parts = hit.select("key", *ours, "at", F.explode("free").alias("step"))
-    firsts = parts.select(*ours, "step").distinct().join(keeps.select(*ours, "first"), ours).select("first.key", *ours, "first.at", "step")
+    firsts = parts.select(*ours, "step").distinct().join(keeps.select(*ours, "first").hint("merge"), ours).select("first.key", *ours, "first.at", "step")
     named = parts.unionByName(firsts).select("key", F.xxhash64(*ours, "step").alias("h"), (F.col("at") + F.col("step")).alias("at"))
     held = untouched_windows(again, gone).unionByName(shifted).unionByName(named)
     hits = held.join(_held_before(held, "h"), "h").where("key <> keeper").select("key", "at", size, "keeper")
@@ -293,7 +295,8 @@ def in_buckets(units: DataFrame) -> DataFrame:
     turned = F.col("h").bitwiseXOR(F.xxhash64("band"))
     crowded = keyed.groupBy("band").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low < high")
     leaders = crowded.select("band", F.col("low").bitwiseXOR(F.xxhash64("band")).alias("leader"))
-    return store(keyed.join(leaders, "band").distinct(), "buckets")
+    # nine rows a paragraph, of which Spark knows by the size before the explode only
+    return store(keyed.join(leaders.hint("merge"), "band").distinct(), "buckets")
 
 
 def set_spots(units: DataFrame, met: DataFrame) -> DataFrame:
@@ -315,7 +318,7 @@ def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
     found, open_ = _open_buckets(met, links)
     # In large buckets more leaders link most of a family, so that few pairs are left across components.
     for turn in range(LEADER_TURNS):
-        more = store(_leader_pairs(open_.where(F.col("n") > SMALL_BUCKET), turn).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        more = store(_leader_pairs(open_.where(F.col("n") > SMALL_BUCKET), turn).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "more-pairs")
         new = store(_verified(more, sets), "more-links")
         if new.isEmpty():
             break
@@ -324,7 +327,7 @@ def similar(met: DataFrame, sets: DataFrame) -> DataFrame:
     if open_.isEmpty():
         return found
     rest = _small_buckets(open_, sets).unionByName(_large_buckets(open_, sets)).distinct()
-    rest = store(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets), "rest-links")
+    rest = store(_verified(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"), sets), "rest-links")
     return found if rest.isEmpty() else store(components(links.unionByName(rest), "a", "b"), "all-components").withColumnRenamed("node", "h")
 
 

@@ -987,3 +987,21 @@ def test_anchors_are_gone_before_texts_are_read_again(spark, monkeypatch):
     found = passages.removals(docs)
     assert held and not any("/scanned-" in path for path in held)
     assert {r.doc_id for r in found.collect()} == {1, 2, 3}
+
+
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """Band keys, moved windows and keys of kept documents grow with the texts: small files don't make them a broadcast."""
+    plans, store = {}, common.store
+    see = lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and store(df, name)
+    monkeypatch.setattr(passages, "store", see)
+    monkeypatch.setattr(simhash, "store", see)
+    small = common.broadcast_if_small
+    for module in (passages, simhash):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df, most=20_000, **b: small(df, 0, **b))
+    text = lambda i: " ".join(f"w{j}" for j in range(60)) + f" x{i % 2} " + " ".join(f"y{i}z{j}" for j in range(i * 10))
+    docs = common.store(spark.createDataFrame([(i, text(i)) for i in range(4)], "doc_id long, text string"), "docs")
+    kept = simhash.stage(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {0, 2, 3}
+    assert {r.doc_id for r in passages.removals(docs).collect()} == {1, 2, 3}
+    assert not {name for name in ("buckets", "moved-contexts", "first-texts") if "BroadcastHashJoin" in plans[name]}
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
