@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from scriptspark.functions import strings as S
 from scriptspark.operators.scan import CHUNK_ROWS, numbered_scan
-from scriptspark.storage import store
+from scriptspark.storage import drop_since, store, stored_so_far, tidy
 
 # Line forms.
 FENCE = r"^ {0,3}(```|~~~)"
@@ -96,6 +96,7 @@ def _known(lines: DataFrame) -> DataFrame:
     flag = lambda pattern, bit: F.when(line.rlike(pattern), F.lit(bit)).otherwise(F.lit(0))
     marked = lines.select("book_id", "line_idx", "line", (plain + flag(HTML, _HTML_BIT) + flag(HARD_BREAK, _BREAK_BIT)).cast("long").alias("__mark"))
     found = numbered_scan(store(marked, "lines"), ["book_id"], "line_idx", T.StructField("__at", T.LongType()), Blocks())
+    tidy(lines.sparkSession)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("__at").bitwiseAND(15) + 1).cast("int"))
     return found.select("book_id", "line_idx", "line", kind.alias("kind"), F.shiftright("__at", 4).alias("island"))
 
@@ -118,6 +119,7 @@ def headings(lines: DataFrame) -> DataFrame:
 
 def assemble_paragraphs(lines: DataFrame) -> DataFrame:
     """Paragraphs (book_id, para_idx, kind, text): soft-wrapped lines joined, headings on their own, inline marks gone."""
+    mark = stored_so_far()
     head = F.col("kind").isin(*HEADS)
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", ITEM, ""), QUOTE, ""), r"\\$", "")
     clean = F.when(head, F.regexp_replace(F.regexp_replace("line", r"^ {0,3}#{1,6}\s*", ""), r"\s+#+\s*$", "")).otherwise(body)
@@ -132,8 +134,10 @@ def assemble_paragraphs(lines: DataFrame) -> DataFrame:
     counts = held.groupBy("book_id", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("book_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     # at most one in CHUNK_ROWS paragraphs
-    later = F.broadcast(store(counts.withColumn("before", before).where("chunk > 0").select(F.struct("book_id", "chunk").alias("of"), "before"), "paragraphs-before"))
-    found = held.withColumn("of", F.struct("book_id", "chunk")).join(later, "of", "left")
+    later = store(counts.withColumn("before", before).where("chunk > 0").select(F.struct("book_id", "chunk").alias("of"), "before"), "paragraphs-before")
+    # no step from here on reads the lines
+    drop_since(lines.sparkSession, mark, [held, later])
+    found = held.withColumn("of", F.struct("book_id", "chunk")).join(F.broadcast(later), "of", "left")
     return found.select("book_id", (F.col("own") + F.coalesce("before", F.lit(0)) - 1).alias("para_idx"), "kind", "text")
 
 

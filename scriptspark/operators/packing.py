@@ -179,10 +179,14 @@ def pack_text_chunks(paragraphs: DataFrame, most: int = CHUNK_BYTES) -> DataFram
     return parts.select("book_id", "chunk_idx", joined.alias("text"))
 
 
+def _segment_units(paragraphs: DataFrame, keys: list[str], most: int) -> DataFrame:
+    lines = paragraphs.withColumn("text", S.soft_wrap_join(F.col("text"))).where("text <> ''")
+    return _paragraph_units(lines, keys, most, sentences_guarded, 2, 1)
+
+
 def pack_segments(paragraphs: DataFrame, keys: list[str], most: int = SEGMENT_BYTES) -> DataFrame:
     """(keys, seg_idx, text): paragraphs joined by spaces under the cap; over-long ones by guarded sentences."""
-    lines = paragraphs.withColumn("text", S.soft_wrap_join(F.col("text"))).where("text <> ''")
-    units = _paragraph_units(lines, keys, most, sentences_guarded, 2, 1)
+    units = _segment_units(paragraphs, keys, most)
     packed = with_pack(units, keys, ["para_idx", "sent"], most)
     parts = packed.groupBy(*keys, F.col("pack").cast("long").alias("seg_idx")).agg(F.array_sort(F.collect_list(F.struct("para_idx", "sent", "text"))).alias("parts"))
     return parts.select(*keys, "seg_idx", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
@@ -200,15 +204,19 @@ def heading_instruct(kind: Column) -> Column:
 
 
 def single_speaker(paragraphs: DataFrame, voice: str, style: str, most: int = SEGMENT_BYTES) -> DataFrame:
-    """Entries (book_id, entry_idx, speaker, text, instruct): headings, and the text between them packed under one voice."""
-    order = Window.partitionBy("book_id").orderBy("para_idx")
+    """Entries (book_id, entry_idx, speaker, text, instruct): headings, and the text between them packed under one voice.
+
+    A heading counts as longer than a pack may be, so nothing joins it: a book's packs are its entries, and no text is moved to number them.
+    """
     heading = F.col("kind") != "BODY"
-    islands = paragraphs.withColumn("island", F.sum(heading.cast("long")).over(order))
-    body = pack_segments(islands.where(~heading), ["book_id", "island"], most)
-    heads = islands.where(heading).select("book_id", "island", F.lit(-1).cast("long").alias("seg_idx"), F.col("kind").alias("speaker"), S.trim_space(F.col("text")).alias("text"), heading_instruct(F.col("kind")).alias("instruct"))
-    both = heads.unionByName(body.select("book_id", "island", "seg_idx", F.lit(voice).alias("speaker"), "text", F.lit(style).alias("instruct")))
-    entry = F.row_number().over(Window.partitionBy("book_id").orderBy("island", "seg_idx")) - 1
-    return both.select("book_id", entry.cast("long").alias("entry_idx"), "speaker", "text", "instruct")
+    lone = {"sent": F.lit(0), "text": S.trim_space(F.col("text")), "len": F.lit(most + 1), "slack": F.lit(2), "glue": F.lit(1), "force": F.lit(False)}
+    heads = paragraphs.where(heading).withColumns(lone).select("book_id", "para_idx", "kind", *lone)
+    units = heads.unionByName(_segment_units(paragraphs.where(~heading), ["book_id"], most).withColumn("kind", F.lit("BODY")))
+    packed = with_pack(units, ["book_id"], ["para_idx", "sent"], most).select("book_id", "para_idx", "sent", "kind", "text", "pack")
+    parts = packed.groupBy("book_id", F.col("pack").cast("long").alias("entry_idx")).agg(F.min("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("para_idx", "sent", "text"))).alias("parts"))
+    spoken = F.col("kind") == "BODY"
+    speaker, instruct = F.when(spoken, voice).otherwise(F.col("kind")), F.when(spoken, style).otherwise(heading_instruct(F.col("kind")))
+    return parts.select("book_id", "entry_idx", speaker.alias("speaker"), F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"), instruct.alias("instruct"))
 
 
 def speaker_runs(entries: DataFrame) -> DataFrame:

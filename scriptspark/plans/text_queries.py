@@ -10,7 +10,7 @@ from scriptspark.operators import packing as P
 from scriptspark.plans import fixtures as X
 from scriptspark.plans.fixtures import with_duck
 from scriptspark.sources import files
-from scriptspark.storage import spread
+from scriptspark.storage import drop_since, spread, stored_so_far
 
 QUERIES, ORACLE = {}, {}
 
@@ -138,6 +138,15 @@ def soft_wrap_join(spark, sf_dir):
 
 # Packing -------------------------------------------------------------------
 
+
+def from_paragraphs(spark, sf_dir, pack):
+    """What pack makes of the paragraphs of the Markdown lines. It has stored its units by then, so the paragraphs' own table goes."""
+    mark = stored_so_far()
+    found = pack(M.assemble_paragraphs(X.markdown(spark, sf_dir)))
+    drop_since(spark, mark, [found])
+    return found
+
+
 #: Sentences without lookbehind: each match ends at a cut or at the end.
 _DUCK_SIMPLE = white(r"list_filter(list_transform(regexp_extract_all({0}, '(?s).*?[.!?](?:\s+|\z)|.+\z'), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '')").replace('{', '{{').replace('}', '}}').replace('{{0}}', '{0}')
 
@@ -187,7 +196,7 @@ un as (select *, row_number() over (partition by book_id order by para_idx, s) a
                  + _pack_ctes("book_id", 3000) + """, jn as (select u.*, p.pack, row_number() over (partition by u.book_id, p.pack order by u.i) as k from un u join pk p using (book_id, i))
  select book_id, cast(pack as bigint) as chunk_idx, string_agg(case when k = 1 then '' when glue = 2 then chr(10) || chr(10) else ' ' end || text, '' order by i) as text from jn group by book_id, pack""", "fx_md", recursive=True))
 def pack_chunks(spark, sf_dir):
-    return P.pack_text_chunks(M.assemble_paragraphs(X.markdown(spark, sf_dir)))
+    return from_paragraphs(spark, sf_dir, P.pack_text_chunks)
 
 
 def _segments_ctes(source: str, keys: str, voice_keys: str) -> str:
@@ -202,7 +211,7 @@ un as (select *, row_number() over (partition by {keys} order by para_idx, s) as
 
 @query(with_duck(PARAS + _segments_ctes("pg", "book_id", "book_id") + " select * from sg", "fx_md", recursive=True))
 def pack_segments(spark, sf_dir):
-    return P.pack_segments(M.assemble_paragraphs(X.markdown(spark, sf_dir)), ["book_id"])
+    return from_paragraphs(spark, sf_dir, lambda paragraphs: P.pack_segments(paragraphs, ["book_id"]))
 
 
 @query(with_duck(PARAS + """, il as (select *, cast(sum(case when kind <> 'BODY' then 1 else 0 end) over (partition by book_id order by para_idx) as bigint) as island from pg),
@@ -211,4 +220,4 @@ bd as (select book_id, island, para_idx, text from il where kind = 'BODY')""" +
  union all select book_id, island, seg_idx, 'warm alto, even', text, 'calm' from sg)
  select book_id, row_number() over (partition by book_id order by island, seg_idx) - 1 as entry_idx, speaker, text, instruct from en""", "fx_md", recursive=True))
 def single_speaker(spark, sf_dir):
-    return P.single_speaker(M.assemble_paragraphs(X.markdown(spark, sf_dir)), "warm alto, even", "calm")
+    return from_paragraphs(spark, sf_dir, lambda paragraphs: P.single_speaker(paragraphs, "warm alto, even", "calm"))

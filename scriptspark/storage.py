@@ -36,8 +36,34 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Remove what store() has written. Call it once results that rest on it are written."""
     while _paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, _paths.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored_so_far() -> int:
+    """A mark for drop_since()."""
+    return len(_paths)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: list[DataFrame]) -> None:
+    """Delete the tables stored since the mark, but for those that `keep` reads: a step's results are stored by then."""
+    needed = {path.rpartition("/")[0].rpartition("/")[2] for df in keep for path in df.inputFiles()}
+    for path in [x for x in _paths[mark:] if x.rpartition("/")[2] not in needed]:
+        _paths.remove(path)
+        _delete(spark, path)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Ask the driver for a garbage collection: with it go the shuffle files of finished steps that nothing refers to.
+
+    Listeners hold the step that has just ended for a moment more: call it once a further one has run.
+    """
+    spark._jvm.java.lang.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptspark import storage
 from scriptspark.functions import strings as S
 from scriptspark.operators import dialogue as D
 from scriptspark.operators import enrich as E
@@ -20,6 +21,7 @@ from scriptspark.operators import packing as P
 from scriptspark.operators import signal as A
 from scriptspark.operators import timeline as T
 from scriptspark.operators import voices as V
+from scriptspark.plans import text_queries
 from scriptspark.sources import files
 from scriptspark.sources import wav as wav_source
 from scriptspark.streaming import resume as R
@@ -544,3 +546,28 @@ def test_cue_of_many_tracks(spark, tmp_path):
     titles = spark.createDataFrame([(1, "t", "a", "f")], "book_id int, title string, author string, file string")
     whole = T.cue_sheet(marks, titles).first().cue
     assert "TRACK 121 AUDIO" in whole and "INDEX 01 130:00:00" in whole
+
+
+def test_entries_are_the_packs_of_a_book(spark):
+    """Headings stand alone among packs, and no window moves a book's texts to number them."""
+    kinds = ["BODY", "TITLE", "CHAPTER", "BODY", "BODY", "SECTION", "BODY", "BODY", "BODY", "CHAPTER", "CHAPTER"]
+    texts = ["before.", "T", "", "a" * 200, "b" * 298, "h" * 600, "c" * 250, "d" * 249, "One two three four five. " * 40, "K", "L"]
+    rows = [(b, i, k, t) for b in ("x", None) for i, (k, t) in enumerate(zip(kinds, texts, strict=True))]
+    found = P.single_speaker(spark.createDataFrame(rows, "book_id string, para_idx long, kind string, text string"), "v", "s")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    entries = {b: [(r.speaker, r.text, r.instruct) for r in sorted(found.collect(), key=lambda r: r.entry_idx) if r.book_id == b] for b in ("x", None)}
+    sentence = "One two three four five."
+    body = ["before.", " ".join(["a" * 200, "b" * 298]), "c" * 250, "d" * 249, *[" ".join([sentence] * 20)] * 2]
+    assert entries["x"] == entries[None] == [
+        ("v", body[0], "s"), ("TITLE", "T", "Slow, atmospheric."), ("CHAPTER", "", "Measured, clear chapter announcement."), ("v", body[1], "s"), ("SECTION", "h" * 600, "Neutral, even narration."),
+        *(("v", t, "s") for t in body[2:]), ("CHAPTER", "K", "Measured, clear chapter announcement."), ("CHAPTER", "L", "Measured, clear chapter announcement."),
+    ]
+    assert sorted(r.entry_idx for r in found.collect() if r.book_id == "x") == list(range(len(entries["x"])))
+
+
+def test_finished_tables_are_gone(spark, sf_dir):
+    """Lines and paragraphs don't stay on disk through the steps after them."""
+    mark = storage.stored_so_far()
+    found = text_queries.single_speaker(spark, sf_dir)
+    held = {path.rpartition("/")[2].rsplit("-", 5)[0] for path in storage._paths[mark:]}
+    assert held == {"units", "scan"} and found.count() > 0
